@@ -143,6 +143,7 @@ def agent_actions(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("/p/"), F.pmod(k, F.lit(20)).cast("string"))).alias("page_url"),
         F.when(F.pmod(k, F.lit(6)) == 0, F.lit("")).otherwise(F.concat(F.lit("target "), k.cast("string"))).alias("target"),
         (F.pmod(k, F.lit(7)) == 0).alias("skipped"),
+        _when({"click": "click", "view": "scroll", "signup": "type", "purchase": "wait", "error": "navigate_back"}).alias("action"),
         k.alias("k"),
     )
 
@@ -158,7 +159,8 @@ agent AS (
     CASE WHEN k % 5 = 0 THEN 'error ' || k ELSE '' END AS error,
     CASE WHEN k % 20 = 0 THEN '' WHEN k % 20 = 1 THEN 'unknown' ELSE '/p/' || (k % 20) END AS page_url,
     CASE WHEN k % 6 = 0 THEN '' ELSE 'target ' || k END AS target,
-    k % 7 = 0 AS skipped, k
+    k % 7 = 0 AS skipped, k,
+    CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' WHEN 'signup' THEN 'type' WHEN 'purchase' THEN 'wait' ELSE 'navigate_back' END AS action
   FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id))"""
 
 
@@ -237,3 +239,22 @@ snap AS (
 typed AS (
   SELECT * FROM snap
   WHERE kind NOT IN ('MUTATION', 'BAD', 'MOUSE_UP') AND NOT (kind = 'INPUT' AND k = 0))"""
+
+
+def action_kinds(t: Tables) -> DataFrame:
+    """``(session_id, action)`` of the action table, for counts that need no order."""
+    return t.events.select(
+        F.col("user_id").alias("session_id"),
+        _when({"click": "CLICK", "view": "SCROLL", "signup": "TYPE", "purchase": "API_CALL", "error": "PAGE_LOAD"}).alias("action"),
+    )
+
+
+def agent_sequences(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(planned, actual) action sequences ``(session_id, pos, action)``: the plan is what the user before did."""
+    actual = ordered(events(t)).number("pos").build().select("session_id", "pos", F.col("event_type").alias("action"))
+    return actual.withColumn("session_id", F.col("session_id") + 1), actual
+
+
+SEQUENCES_SQL = EVENTS_SQL + """,
+actual AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY us, event_id) AS pos, event_type AS action FROM ev),
+planned AS (SELECT session_id + 1 AS session_id, pos, action FROM actual)"""

@@ -193,18 +193,18 @@ def session_overview(t):
 
 @query("min_actions", WITH + "SELECT session_id, count(*) AS n_actions FROM actions GROUP BY 1 HAVING count(*) >= 60")
 def min_actions(t):
-    return FL.min_actions(B.actions(t), 60)
+    return FL.min_actions(B.action_kinds(t), 60)
 
 
 @query("real_actions", WITH + """SELECT session_id, count(*) AS n_actions, count(*) FILTER (WHERE action NOT IN ('API_CALL', 'PAGE_LOAD')) AS n_real_actions
 FROM actions GROUP BY 1 HAVING count(*) FILTER (WHERE action NOT IN ('API_CALL', 'PAGE_LOAD')) >= 40""")
 def real_actions(t):
-    return FL.real_actions(B.actions(t), 40)
+    return FL.real_actions(B.action_kinds(t), 40)
 
 
 @query("corpus_stats", WITH + """SELECT count(*) AS sessions, sum(n)::BIGINT AS total_real_actions, floor(sum(n)::DOUBLE / count(*) * 100 + 0.5) / 100 AS avg_real_actions
 FROM (SELECT session_id, count(*) FILTER (WHERE action NOT IN ('API_CALL', 'PAGE_LOAD')) AS n FROM actions GROUP BY 1) WHERE n >= 3""")
 def corpus_stats(t):
-    return FL.real_actions(B.actions(t)).agg(
+    return FL.real_actions(B.action_kinds(t)).agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("n_real_actions").alias("total_real_actions"),
         rounded(F.sum("n_real_actions") / F.count(F.lit(1))).alias("avg_real_actions"))
