@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.exprs import millis_to_seconds, seconds_between
+from wayfold.functions.text import json_object
 from wayfold.operators.sequence import Sequence, position_segment
 from wayfold.schemas import ACTION_COLUMNS, PAYLOAD
 from wayfold.session import reliable_checkpoint
@@ -65,9 +66,7 @@ def decode_payload(snapshots: DataFrame, data: str = "data", name: str = "payloa
     marked = F.coalesce(F.col(data).startswith(GZIP_MARK), F.lit(False))
     plain = F.when(~marked, F.col(data))
     inflated = F.when(marked, F.pandas_udf(_inflate, "string")(F.when(marked, F.col(data))))
-    text = F.coalesce(inflated, plain)
-    is_object = F.json_object_keys(text).isNotNull()
-    return snapshots.withColumn(name, F.when(is_object, text).otherwise(F.lit("{}")))
+    return snapshots.withColumn(name, F.coalesce(json_object(F.coalesce(inflated, plain)), F.lit("{}")))
 
 
 def with_fields(snapshots: DataFrame, payload: str = "payload") -> DataFrame:
