@@ -67,9 +67,13 @@ def buttons(visible: Column) -> Column:
     return F.transform(F.slice(found, 1, MAX_BUTTONS), shape)
 
 
-def clickable(visible: Column) -> Column:
-    """Links then buttons, one per text whatever its case."""
-    named = F.filter(F.concat(links(visible), buttons(visible)), lambda c: c["text"] != "")
+def named_clickable(visible: Column) -> Column:
+    """Links then buttons that have a text."""
+    return F.filter(F.concat(links(visible), buttons(visible)), lambda c: c["text"] != "")
+
+
+def clickable(named: Column) -> Column:
+    """One element per text whatever its case.  Pass a computed column: it is read once per element."""
     return F.slice(_unique(named, lambda c: F.lower(c["text"])), 1, MAX_CLICKABLE)
 
 
@@ -107,8 +111,9 @@ def page_observation(pages, url: str = "url", html: str = "html"):
     """Adds the observed parts of each page and ``observation``, the text summary a model reads."""
     seen = pages.withColumn("_v", visible_html(F.col(html)))
     v = F.col("_v")
-    parts = seen.withColumns({
-        "title": title(F.col(html)), "clickable": clickable(v), "inputs": inputs(v), "headings": headings(v), "texts": texts(v), "forms": form_count(v)})
+    found = seen.withColumns({
+        "title": title(F.col(html)), "_named": named_clickable(v), "inputs": inputs(v), "headings": headings(v), "texts": texts(v), "forms": form_count(v)})
+    parts = found.withColumn("clickable", clickable(F.col("_named")))
 
     def block(name: str, head: str, line) -> Column:
         return F.when(F.size(name) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(name, line), "\n")))
@@ -126,4 +131,4 @@ def page_observation(pages, url: str = "url", html: str = "html"):
         block("texts", "Page content:", lambda x: F.concat(F.lit("  - "), x)),
         F.when(F.col("forms") > 0, F.concat(F.lit("Forms: "), F.col("forms").cast("string"), F.lit(" visible"))),
     )
-    return parts.withColumn("observation", summary).drop("_v")
+    return parts.withColumn("observation", summary).drop("_v", "_named")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.vectors import distances_to, fetch_centroids
-from wayfold.session import reliable_checkpoint
+from wayfold.session import materialize
 
 STARTS = 10
 SEED = 42
@@ -100,7 +100,7 @@ def balanced_assign(points: DataFrame, centroids: DataFrame, id_: str, vector: s
     places = F.transform("_d", lambda d, i: F.struct(d.alias("d"), i.alias("i")))
     kind = dict(points.dtypes)[id_]
     tie = F.col(id_).cast("long") if kind in ("int", "bigint", "smallint", "tinyint") else F.xxhash64(id_)
-    table = reliable_checkpoint(
+    table = materialize(
         points.select(F.col(id_), tie.alias("tie"), distances_to(points.sparkSession, matrix, F.col(vector)).alias("_d"))
         .select(id_, "tie", F.array_min("_d").alias("own_distance"), F.array_sort(places).alias("prefs"))
     )

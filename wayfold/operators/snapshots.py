@@ -15,7 +15,7 @@ from wayfold.functions.exprs import millis_to_seconds, seconds_between
 from wayfold.functions.text import json_object
 from wayfold.operators.sequence import Sequence, position_segment
 from wayfold.schemas import ACTION_COLUMNS, PAYLOAD
-from wayfold.session import reliable_checkpoint
+from wayfold.session import materialize
 
 PART_ROWS = 1_000
 """Snapshots per part when one long recording is stored as several rows."""
@@ -61,7 +61,7 @@ def _inflate(payload: pd.Series) -> pd.Series:
 def decode_payload(snapshots: DataFrame, data: str = "data", name: str = "payload") -> DataFrame:
     """JSON text of the payload: inflated when gzipped, ``{}`` when unreadable.
 
-    Only gzip-marked rows meet Python; the plain rows never leave the JVM.
+    Only the text of gzip-marked rows is sent to Python; plain payloads stay in the JVM.
     """
     marked = F.coalesce(F.col(data).startswith(GZIP_MARK), F.lit(False))
     plain = F.when(~marked, F.col(data))
@@ -70,7 +70,13 @@ def decode_payload(snapshots: DataFrame, data: str = "data", name: str = "payloa
 
 
 def with_fields(snapshots: DataFrame, payload: str = "payload") -> DataFrame:
-    return snapshots.withColumn("p", F.from_json(payload, PAYLOAD))
+    """Adds the parsed payload ``p``.
+
+    Parsing sits in a generator because filters on ``p`` are then applied to its result; on a plain
+    column they would be pushed below it and parse the text again for every condition.
+    """
+    rest = [c for c in snapshots.columns if c != payload]
+    return snapshots.select(*rest, F.explode(F.array(F.from_json(payload, PAYLOAD))).alias("p"))
 
 
 def event_type(type_: Column, source: Column, interaction: Column) -> Column:
@@ -303,7 +309,7 @@ def to_action_columns(df: DataFrame, extra: list[str] | None = None) -> DataFram
     return df.select(*keep, *columns)
 
 
-def high_level_actions(direct: DataFrame, runs: DataFrame, materialize: Callable = reliable_checkpoint) -> DataFrame:
+def high_level_actions(direct: DataFrame, runs: DataFrame, stage: Callable = materialize) -> DataFrame:
     """Typed events with resolved nodes plus collapsed scroll runs -> the ordered action table."""
     kind = F.col("event_type")
     shaped = direct.filter(kind.isin("CLICK", "INPUT", "API_CALL", "PAGE_META")).withColumns(
@@ -319,13 +325,13 @@ def high_level_actions(direct: DataFrame, runs: DataFrame, materialize: Callable
         }
     )
     place = ["seq", "sub"]
-    both = materialize(to_action_columns(shaped, place).unionByName(to_action_columns(runs, place)))
+    both = stage(to_action_columns(shaped, place).unionByName(to_action_columns(runs, place)))
     numbered = Sequence(both, ["session_id"], place, position_segment(F.col("seq"))).number("step").build()
     return numbered.select("session_id", "step", *[c for c in ACTION_COLUMNS if c not in ("session_id", "step")])
 
 
 def parse_recordings(
-    recordings: DataFrame, part: str | None = None, materialize: Callable = reliable_checkpoint
+    recordings: DataFrame, part: str | None = None, stage: Callable = materialize
 ) -> tuple[DataFrame, DataFrame]:
     """Recordings -> (actions, session headers).
 
@@ -334,15 +340,15 @@ def parse_recordings(
     """
     snapshots = explode_snapshots(recordings, part)
     fields = with_fields(decode_payload(snapshots))
-    typed = materialize(typed_events(fields))
-    nodes = materialize(flatten_dom(fields))
+    typed = stage(typed_events(fields))
+    nodes = stage(flatten_dom(fields))
     starts = session_spans(snapshots).select("session_id", "first_ms")
     timed = typed.join(starts, "session_id").withColumn(
         "relative_s", millis_to_seconds(F.col("ts_ms") - F.col("first_ms"))
     )
     pointer = F.col("event_type").isin("CLICK", "INPUT")
     direct = resolve_node(timed.filter(pointer), nodes).unionByName(timed.filter(~pointer), allowMissingColumns=True)
-    return high_level_actions(direct, collapse_scrolls(timed), materialize), session_header(snapshots, typed)
+    return high_level_actions(direct, collapse_scrolls(timed), stage), session_header(snapshots, typed)
 
 
 def user_profile(recordings: DataFrame, properties: str = "person.properties") -> DataFrame:

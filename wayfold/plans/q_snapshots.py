@@ -8,6 +8,7 @@ from wayfold.functions.exprs import millis_to_seconds
 from wayfold.operators import snapshots as S
 from wayfold.plans import bindings as B
 from wayfold.plans.registry import query
+from wayfold.session import materialize
 
 WITH = "WITH " + B.SNAPSHOTS_SQL
 
@@ -16,17 +17,30 @@ def _snapshots(t):
     return S.explode_snapshots(B.recordings(t), part="part")
 
 
-def _fields(t):
-    return S.with_fields(S.decode_payload(_snapshots(t)))
+def _landed(t):
+    """Snapshots of recordings that were written once, for queries that read them several times."""
+    return S.explode_snapshots(materialize(B.recordings(t)), part="part")
 
 
-def _typed(t):
-    return S.typed_events(_fields(t))
+def _fields(snapshots):
+    return S.with_fields(S.decode_payload(snapshots))
+
+
+def _typed(snapshots):
+    return S.typed_events(_fields(snapshots))
 
 
 def _timed(t):
-    starts = S.session_spans(_snapshots(t)).select("session_id", "first_ms")
-    return _typed(t).join(starts, "session_id").withColumn("relative_s", millis_to_seconds(F.col("ts_ms") - F.col("first_ms")))
+    snapshots = _landed(t)
+    starts = S.session_spans(snapshots).select("session_id", "first_ms")
+    return materialize(_typed(snapshots)).join(starts, "session_id").withColumn("relative_s", millis_to_seconds(F.col("ts_ms") - F.col("first_ms")))
+
+
+def _references(t, *kinds):
+    """Pointer events and element definitions as stage tables."""
+    fields = _fields(_landed(t))
+    refs = S.typed_events(fields).filter(F.col("event_type").isin(*kinds))
+    return materialize(refs), materialize(S.flatten_dom(fields))
 
 
 @query("explode_snapshots", WITH + """
@@ -50,12 +64,12 @@ def decode_payload(t):
 
 @query("classify_snapshot", WITH + "SELECT session_id, seq, kind AS event_type FROM typed")
 def classify_snapshot(t):
-    return S.classify_snapshot(_fields(t)).select("session_id", "seq", "event_type")
+    return S.classify_snapshot(_fields(_snapshots(t))).select("session_id", "seq", "event_type")
 
 
 @query("relative_time", WITH + "SELECT session_id, seq, relative_s FROM snap")
 def relative_time(t):
-    return S.relative_time(_snapshots(t)).select("session_id", "seq", "relative_s")
+    return S.relative_time(_landed(t)).select("session_id", "seq", "relative_s")
 
 
 NODES = """,
@@ -68,7 +82,7 @@ defs AS (SELECT session_id, seq, k AS node_id, 'div' AS tag, '/n/' || event_id A
 @query("flatten_dom", WITH + NODES + """
 SELECT session_id, seq, node_id, tag, href, "class", "text", CASE WHEN node_id >= 1000 THEN 1 ELSE 0 END::BIGINT AS depth FROM defs""")
 def flatten_dom(t):
-    return S.flatten_dom(_fields(t)).select("session_id", "seq", "node_id", "tag", "href", "class", "text", F.col("depth").cast("long").alias("depth"))
+    return S.flatten_dom(_fields(_snapshots(t))).select("session_id", "seq", "node_id", "tag", "href", "class", "text", F.col("depth").cast("long").alias("depth"))
 
 
 @query("resolve_node", WITH + NODES + """
@@ -77,9 +91,8 @@ SELECT r.session_id, r.seq, r.k AS node_id, coalesce(d.tag, 'unknown') AS tag, c
 FROM (SELECT * FROM typed WHERE kind IN ('CLICK', 'INPUT')) r
 ASOF LEFT JOIN defs d ON r.session_id = d.session_id AND r.k = d.node_id AND r.seq >= d.seq""")
 def resolve_node(t):
-    fields = _fields(t)
-    refs = S.typed_events(fields).filter(F.col("event_type").isin("CLICK", "INPUT"))
-    return S.resolve_node(refs, S.flatten_dom(fields)).select("session_id", "seq", "node_id", "tag", "href", "class", "text")
+    refs, nodes = _references(t, "CLICK", "INPUT")
+    return S.resolve_node(refs, nodes).select("session_id", "seq", "node_id", "tag", "href", "class", "text")
 
 
 @query("click_rows", WITH + NODES + """
@@ -87,34 +100,33 @@ SELECT r.session_id, r.seq, CAST(r.k AS DOUBLE) AS x, CAST(r.event_id % 1000 AS
 FROM (SELECT * FROM typed WHERE kind = 'CLICK') r
 ASOF LEFT JOIN defs d ON r.session_id = d.session_id AND r.k = d.node_id AND r.seq >= d.seq""")
 def click_rows(t):
-    fields = _fields(t)
-    clicks = S.typed_events(fields).filter(F.col("event_type") == "CLICK")
-    return S.resolve_node(clicks, S.flatten_dom(fields)).select("session_id", "seq", "x", "y", "tag")
+    clicks, nodes = _references(t, "CLICK")
+    return S.resolve_node(clicks, nodes).select("session_id", "seq", "x", "y", "tag")
 
 
 @query("scroll_rows", WITH + """
 SELECT session_id, seq, k AS node_id, y AS scroll_y, 0::BIGINT AS scroll_x FROM typed WHERE kind = 'SCROLL'""")
 def scroll_rows(t):
-    return _typed(t).filter(F.col("event_type") == "SCROLL").select("session_id", "seq", "node_id", "scroll_y", "scroll_x")
+    return _typed(_snapshots(t)).filter(F.col("event_type") == "SCROLL").select("session_id", "seq", "node_id", "scroll_y", "scroll_x")
 
 
 @query("mouse_move_rows", WITH + """
 SELECT session_id, seq, CAST(k AS DOUBLE) AS x, floor(value)::DOUBLE AS y, 2::BIGINT AS positions_count FROM typed WHERE kind = 'MOUSE_MOVE'""")
 def mouse_move_rows(t):
-    return _typed(t).filter(F.col("event_type") == "MOUSE_MOVE").select("session_id", "seq", "x", "y", "positions_count")
+    return _typed(_snapshots(t)).filter(F.col("event_type") == "MOUSE_MOVE").select("session_id", "seq", "x", "y", "positions_count")
 
 
 @query("input_rows", WITH + """
 SELECT session_id, seq, CASE WHEN k % 5 = 0 THEN k ELSE 2 * k END AS text_length, k % 5 = 0 AS is_masked FROM typed WHERE kind = 'INPUT'""")
 def input_rows(t):
-    return _typed(t).filter(F.col("event_type") == "INPUT").select("session_id", "seq", "text_length", "is_masked")
+    return _typed(_snapshots(t)).filter(F.col("event_type") == "INPUT").select("session_id", "seq", "text_length", "is_masked")
 
 
 @query("api_call_rows", WITH + """
 SELECT session_id, seq, '/api/' || k AS path, '/api/' || k || '?u=' || session_id AS full_path,
        CASE WHEN digit = 4 THEN 'unknown' ELSE 'GET' END AS "method" FROM typed WHERE kind = 'API_CALL'""")
 def api_call_rows(t):
-    return _typed(t).filter(F.col("event_type") == "API_CALL").select("session_id", "seq", "path", "full_path", "method")
+    return _typed(_snapshots(t)).filter(F.col("event_type") == "API_CALL").select("session_id", "seq", "path", "full_path", "method")
 
 
 @query("page_rows", WITH + """
@@ -122,7 +134,7 @@ SELECT session_id, seq, CASE kind WHEN 'PAGE_META' THEN '/page/' || k ELSE 'init
        CASE WHEN kind = 'PAGE_META' THEN '1280x' || CASE WHEN digit = 2 THEN 'None' ELSE '720' END END AS viewport
 FROM typed WHERE kind IN ('PAGE_META', 'FULL_SNAPSHOT')""")
 def page_rows(t):
-    return _typed(t).filter(F.col("event_type").isin("PAGE_META", "FULL_SNAPSHOT")).select("session_id", "seq", "url", "viewport")
+    return _typed(_snapshots(t)).filter(F.col("event_type").isin("PAGE_META", "FULL_SNAPSHOT")).select("session_id", "seq", "url", "viewport")
 
 
 @query("api_paths", """
@@ -147,7 +159,8 @@ SELECT s.session_id, s.duration AS session_duration_s, coalesce(n, 0) AS total_r
 FROM (SELECT session_id, arg_max(relative_s, seq) AS duration FROM snap GROUP BY 1) s
 LEFT JOIN (SELECT session_id, count(*) AS n FROM typed GROUP BY 1) c USING (session_id)""")
 def session_header(t):
-    return S.session_header(_snapshots(t), _typed(t))
+    snapshots = _landed(t)
+    return S.session_header(snapshots, _typed(snapshots))
 
 
 RUNS = """,
@@ -179,7 +192,7 @@ SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS s
 FROM (SELECT * FROM direct UNION ALL
       SELECT session_id, seq, "time", 'SCROLL', NULL, NULL, NULL, NULL, scroll_to FROM runs)""")
 def high_level_actions(t):
-    actions, _ = S.parse_recordings(B.recordings(t), part="part")
+    actions, _ = S.parse_recordings(materialize(B.recordings(t)), part="part")
     return actions.select("session_id", "step", "time", "action", "target_tag", "target_text", "url", "path", "scroll_to")
 
 

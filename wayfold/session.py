@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder so that lost executors cost no recomputation chain."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a stage table into the shared folder and continue from it.
+
+    Lost executors then cost no recomputation of the stage, and later branches read only the
+    columns they need.  The folder's owner decides how long stage tables are kept.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
