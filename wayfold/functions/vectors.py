@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_CENTROIDS = 4_096
-BLOCK = 256
 
 
 def centroid_means(points: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
@@ -58,7 +57,8 @@ def distance_matrix(points: DataFrame, centroids: DataFrame, vector: str = "embe
     model = fetch_centroids(centroids)
     keep = [c for c in points.columns if c != vector]
     if model is None:
-        return _by_block(points, centroids, vector, keep)
+        pairs = _by_block(points, centroids, vector).select(*keep, F.explode("_pairs").alias("_p"))
+        return pairs.select(*keep, F.col("_p.id").alias("cluster_id"), F.col("_p.d").alias("distance"))
     ids, matrix = model
     measured = points.withColumn("_d", distances_to(spark, matrix, F.col(vector)))
     pair = F.explode(F.arrays_zip(F.array(*[F.lit(i).cast("long") for i in ids]).alias("id"), F.col("_d").alias("d")))
@@ -70,9 +70,9 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, vector: str = "emb
     spark = points.sparkSession
     model = fetch_centroids(centroids)
     if model is None:
-        keep = [c for c in points.columns if c != vector]
-        near = F.min_by("cluster_id", F.struct("distance", "cluster_id"))
-        return _by_block(points, centroids, vector, keep).groupBy(*keep).agg(near.alias("cluster_id"), F.min("distance").alias("distance"))
+        best = _by_block(points, centroids, vector).withColumn("_best", F.array_min("_pairs"))
+        near = best.groupBy(*points.columns).agg(F.min("_best").alias("_best"))
+        return near.select(*points.columns, F.col("_best.id").alias("cluster_id"), F.col("_best.d").alias("distance"))
     ids, matrix = model
     lookup = F.array(*[F.lit(i).cast("long") for i in ids])
     measured = points.withColumn("_d", distances_to(spark, matrix, F.col(vector)))
@@ -82,12 +82,15 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, vector: str = "emb
     ).drop("_d")
 
 
-def _by_block(points: DataFrame, centroids: DataFrame, vector: str, keep: list[str]) -> DataFrame:
-    """Distances by an equi-join on centroid blocks, for models too large to ship with the tasks."""
-    block = F.pmod(F.xxhash64("cluster_id"), F.lit(BLOCK))
-    blocks = centroids.withColumn("_block", block).groupBy("_block").agg(
+def _by_block(points: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
+    """Points next to one block of centroids at a time, by an equi-join, with ``_pairs`` of (distance, id).
+
+    For models too large to ship with the tasks: a row per point and block of ``MAX_CENTROIDS``.
+    """
+    count = -(-centroids.count() // MAX_CENTROIDS)
+    blocks = centroids.withColumn("_block", F.pmod(F.xxhash64("cluster_id"), F.lit(count))).groupBy("_block").agg(
         F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("_centres"))
-    spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).cast("long"))
+    spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
 
     def measure(vectors: pd.Series, centres: pd.Series) -> pd.Series:
         return pd.Series([
@@ -96,5 +99,4 @@ def _by_block(points: DataFrame, centroids: DataFrame, vector: str, keep: list[s
         ])
 
     pairs = spread.join(blocks, "_block").withColumn("_d", F.pandas_udf(measure, "array<double>")(F.col(vector), F.col("_centres")))
-    zipped = F.explode(F.arrays_zip(F.col("_centres.cluster_id").alias("id"), F.col("_d").alias("d"))).alias("_p")
-    return pairs.select(*keep, zipped).select(*keep, F.col("_p.id").alias("cluster_id"), F.col("_p.d").alias("distance"))
+    return pairs.withColumn("_pairs", F.arrays_zip(F.col("_d").alias("d"), F.col("_centres.cluster_id").alias("id"))).drop("_block", "_centres", "_d")
