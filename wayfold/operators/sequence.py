@@ -43,7 +43,8 @@ class Sequence:
     """Collects ordered columns over one ``(keys, order)`` and computes them together.
 
     ``keys`` identify a session (or another entity) and are never null; ``segment`` is a
-    non-decreasing function of the first ordering column.
+    non-decreasing function of the first ordering column.  A single ordering column is a position
+    and never null; with several, nulls sort first.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], segment: Column):
@@ -52,7 +53,8 @@ class Sequence:
         # Rows without an order value sort first, so they share the first segment.
         self._df = df.withColumn(self._seg, F.coalesce(segment, F.lit(FIRST_SEGMENT)))
         self._order = [F.col(c) for c in order]
-        self._rank = F.struct(*self._order)
+        # One plain ordering column keeps the summaries in hash aggregation; several need a struct.
+        self._rank = self._order[0] if len(order) == 1 else F.struct(*self._order)
         self._group = [*keys, self._seg]
         local = Window.partitionBy(*self._group).orderBy(*self._order)
         start, now = Window.unboundedPreceding, Window.currentRow
@@ -95,25 +97,26 @@ class Sequence:
 
     def previous(self, name: str, value: Column) -> "Sequence":
         """Value of the row just before, whatever it is; null for the first row."""
-        boxed = F.struct(value.alias("v"))
-        self._local[f"_l_{name}"] = F.lag(boxed).over(self._row)
-        self._summary[f"_s_{name}"] = F.max_by(boxed, self._rank)
+        # Boxed, so that a null value of the row before differs from having no row before.
+        self._local[f"_l_{name}"] = F.lag(F.struct(value.alias("v"))).over(self._row)
+        self._summary[f"_s_{name}"] = F.max_by(value, self._rank)
         self._carry[f"_c_{name}"] = F.lag(f"_s_{name}").over(self._seg_order)
-        self._final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}"))["v"]
+        boxed = F.col(f"_l_{name}")
+        self._final[name] = F.when(boxed.isNotNull(), boxed["v"]).otherwise(F.col(f"_c_{name}"))
         return self
 
     def first(self, name: str, value: Column) -> "Sequence":
         """Value of the first row of the key, on every row."""
-        return self._whole(name, F.min_by(F.struct(value.alias("v")), self._rank), F.min_by, "v")
+        return self._whole(name, F.min_by(value, self._rank), F.min_by)
 
     def last(self, name: str, value: Column) -> "Sequence":
         """Value of the last row of the key, on every row."""
-        return self._whole(name, F.max_by(F.struct(value.alias("v")), self._rank), F.max_by, "v")
+        return self._whole(name, F.max_by(value, self._rank), F.max_by)
 
-    def _whole(self, name: str, agg: Column, pick: Callable, field: str) -> "Sequence":
+    def _whole(self, name: str, agg: Column, pick: Callable) -> "Sequence":
         self._summary[f"_s_{name}"] = agg
         self._carry[f"_c_{name}"] = pick(f"_s_{name}", self._seg).over(self._seg_all)
-        self._final[name] = F.col(f"_c_{name}")[field]
+        self._final[name] = F.col(f"_c_{name}")
         return self
 
     def total(self, name: str, agg: Column, merge: Callable) -> "Sequence":

@@ -17,9 +17,14 @@ def id_from_name(file_name: Column, pattern: str) -> Column:
     return F.regexp_extract(file_name, pattern, 1)
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Nested recordings, one row per file: ``session_id, version, person, snapshots, file_session_id``."""
-    raw = spark.read.schema(schemas.RECORDING).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: str, one_per_file: bool) -> DataFrame:
+    """One document per file, or one per line where many small documents share a file."""
+    return spark.read.schema(schema).option("multiLine", one_per_file).json(path)
+
+
+def read_recordings(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Nested recordings, one row per document: ``session_id, version, person, snapshots, file_session_id``."""
+    raw = _json(spark, path, schemas.RECORDING, one_per_file)
     return raw.select(
         F.col("data.id").alias("session_id"), "version", F.col("data.person").alias("person"), F.col("data.snapshots").alias("snapshots"),
         id_from_name(F.col("_metadata.file_name"), RECORDING_NAME).alias("file_session_id"))
@@ -48,9 +53,9 @@ def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_snapshot_lines(lines)
 
 
-def read_flat_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Flat-event sessions, one row per file, with ``event_count``."""
-    raw = spark.read.schema(schemas.FLAT_SESSION).option("multiLine", True).json(path)
+def read_flat_sessions(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Flat-event sessions, one row per document, with ``event_count``."""
+    raw = _json(spark, path, schemas.FLAT_SESSION, one_per_file)
     return raw.withColumnRenamed("id", "session_id").withColumn("event_count", F.coalesce(F.size("events"), F.lit(0)))
 
 
@@ -81,10 +86,9 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return parse_policies(raw)
 
 
-def read_agent_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Logged sessions, one row per file, newest name first by ``file_name``."""
-    raw = spark.read.schema(schemas.AGENT_LOG).option("multiLine", True).json(path)
-    return raw.withColumn("file_name", F.col("_metadata.file_name"))
+def read_agent_logs(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Logged sessions, one row per document; sort by ``file_name`` descending for the latest first."""
+    return _json(spark, path, schemas.AGENT_LOG, one_per_file).withColumn("file_name", F.col("_metadata.file_name"))
 
 
 def agent_actions(logs: DataFrame) -> DataFrame:
