@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.vectors import distances_to, fetch_centroids
@@ -40,6 +41,12 @@ def assign(model: KMeansModel, points: DataFrame, vector: str = "embedding") ->
     return model.transform(prepared).withColumn("cluster_id", F.col("prediction").cast("long")).drop("features", "prediction")
 
 
+def _bounded_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of one row per cluster, small by the limit on the number of centroids."""
+    names = [column.split()[0] for column in schema.split(", ")]
+    return F.broadcast(df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=names), schema))
+
+
 def select_rank(df: DataFrame, group: str, value: str, ranks: dict[int, int], descending: bool) -> dict[int, tuple]:
     """Exact order statistic per group: ``{group: (value, rank among the rows equal to it)}``.
 
@@ -47,43 +54,37 @@ def select_rank(df: DataFrame, group: str, value: str, ranks: dict[int, int], de
     wanted row, so neither a large group nor a pile of equal values is ever sorted.
     """
     sign = -1 if descending else 1
-    scored = df.filter(F.col(group).isin(list(ranks))).select(F.col(group).alias("g"), (F.col(value) * sign).alias("v"))
-    spans = {r["g"]: (r["lo"], r["hi"]) for r in scored.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    wanted, done = dict(ranks), {}
+    scored = df.select(F.col(group).cast("long").alias("g"), (F.col(value) * sign).alias("v"))
+    kind = dict(scored.dtypes)["v"]
+    asked = _bounded_table(df, [(g,) for g in ranks], "g BIGINT")
+    limits = scored.join(asked, "g").groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    spans, wanted, done = {r["g"]: (r["lo"], r["hi"]) for r in limits}, dict(ranks), {}
     while wanted:
         for g in [g for g in wanted if spans[g][0] == spans[g][1]]:
             done[g] = (spans[g][0] * sign, wanted.pop(g))
         if not wanted:
             break
-        bin_ = inside = None
-        for g in wanted:
-            lo, hi = spans[g]
-            here = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.lit(lo)) / F.lit(float(hi) - float(lo)) * F.lit(float(BINS - 1)))).cast("int")
-            within = (F.col("g") == g) & F.col("v").between(lo, hi)
-            bin_ = F.when(F.col("g") == g, here) if bin_ is None else bin_.when(F.col("g") == g, here)
-            inside = within if inside is None else inside | within
+        table = _bounded_table(df, [(g, *spans[g]) for g in wanted], f"g BIGINT, lo {kind}, hi {kind}")
+        low, high = F.col("lo").cast("double"), F.col("hi").cast("double")
+        place = F.try_divide(F.col("v").cast("double") - low, high - low)
+        # Both ends have a bin of their own, so every pass narrows the interval.
+        inner = F.floor(F.coalesce(place, F.lit(0.0)) * F.lit(float(BINS))).cast("int")
+        bin_ = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), BINS - 1).otherwise(
+            F.greatest(F.lit(1), F.least(F.lit(BINS - 2), inner)))
         histogram = (
-            scored.filter(inside).groupBy("g", bin_.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            scored.join(table, "g").filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("g", bin_.alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
         )
         for g in wanted:
             left = wanted[g]
             for row in sorted((r for r in histogram if r["g"] == g), key=lambda r: r["bin"]):
                 if left <= row["n"]:
-                    wanted[g], spans[g] = left, (row["lo"], row["hi"])
+                    wanted[g], spans[g] = left, (row["least"], row["most"])
                     break
                 left -= row["n"]
     return done
 
 
-def _admitted(cutoff: tuple | None) -> Column:
-    if cutoff is None:
-        return F.lit(True)
-    distance, tie = cutoff
-    own = F.col("own_distance")
-    return (own > F.lit(distance)) | ((own == F.lit(distance)) & (F.col("tie") <= F.lit(tie)))
-
-
 def balanced_assign(points: DataFrame, centroids: DataFrame, id_: str, vector: str = "embedding") -> DataFrame:
     """Capacity-balanced assignment: ``(id, cluster_id, distance)``.
 
@@ -107,10 +108,18 @@ def balanced_assign(points: DataFrame, centroids: DataFrame, id_: str, vector: s
     n = table.count()
     k = len(ids)
     capacity = n // k + (1 if n % k else 0)
-    cutoffs: list[tuple | None] = [None] * k
+    # Distances are never negative, so a cut-off of -1 admits every point.
+    cutoffs: list[tuple] = [(-1.0, 0)] * k
+    own, tie_col = F.col("own_distance"), F.col("tie")
     while True:
-        open_ = F.array(*[_admitted(c) for c in cutoffs])
-        choice = F.try_element_at(F.filter("prefs", lambda p: F.element_at(open_, p["i"] + 1)), F.lit(1))
+        edges = F.array(*[F.lit(float(d)) for d, _ in cutoffs])
+        last = F.array(*[F.lit(x).cast("long") for _, x in cutoffs])
+
+        def admits(p, edges=edges, last=last):
+            edge = F.element_at(edges, p["i"] + 1)
+            return (own > edge) | ((own == edge) & (tie_col <= F.element_at(last, p["i"] + 1)))
+
+        choice = F.try_element_at(F.filter("prefs", lambda p: admits(p)), F.lit(1))
         chosen = table.withColumn("_c", choice)
         slot = chosen.select("own_distance", "tie", F.col("_c.i").alias("slot"))
         counts = {r["slot"]: r["n"] for r in slot.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -118,11 +127,9 @@ def balanced_assign(points: DataFrame, centroids: DataFrame, id_: str, vector: s
         if not over:
             break
         edge = select_rank(slot, "slot", "own_distance", over, descending=True)
-        at_edge = None
-        for g, (distance, _) in edge.items():
-            here = (F.col("slot") == g) & (F.col("own_distance") == F.lit(distance))
-            at_edge = here if at_edge is None else at_edge | here
-        ties = select_rank(slot.filter(at_edge), "slot", "tie", {g: rank for g, (_, rank) in edge.items()}, descending=False)
+        marks = _bounded_table(points, [(g, float(d)) for g, (d, _) in edge.items()], "slot BIGINT, own_distance DOUBLE")
+        at_edge = slot.withColumn("slot", F.col("slot").cast("long")).join(marks, ["slot", "own_distance"])
+        ties = select_rank(at_edge, "slot", "tie", {g: rank for g, (_, rank) in edge.items()}, descending=False)
         for g, (distance, _) in edge.items():
             cutoffs[g] = (distance, ties[g][0])
     lookup = F.array(*[F.lit(i).cast("long") for i in ids])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.exprs import fixed0, fixed1
 from wayfold.operators.filters import NON_USER_ACTIONS
-from wayfold.operators.sequence import Sequence, with_lookback
+from wayfold.operators.sequence import with_lookback
 
 WINDOW_SIZE = 5
 MIN_SESSION_ACTIONS = 3
@@ -187,19 +187,26 @@ def sequence_split(
 ) -> DataFrame:
     """Adds ``split``: per cluster, the ``max(1, int(n * share))`` rows smallest by seeded hash are ``val``.
 
-    Rows are ranked inside hash-prefix buckets, so a cluster of any size is ranked in
-    parallel and the sizes stay exact.
+    Only one number per cluster, the cut-off, has to be found: counts per hash prefix locate the
+    bucket it lies in, and just that bucket is ranked.  The examples themselves are not shuffled
+    and the sizes are exact, however large a cluster is.  ``ids`` identify an example.
     """
-    hashed = examples.withColumn("_h", F.xxhash64(F.col(cluster) + F.lit(seed), *ids))
-    bucket = F.shiftright("_h", 64 - SPLIT_BITS)
-    ranked = (
-        Sequence(hashed, [cluster], ["_h", *ids], bucket)
-        .number("_rank")
-        .total("_n", F.count(F.lit(1)), F.sum)
-        .build()
+    place = F.struct(F.xxhash64(F.col(cluster) + F.lit(seed), *ids).alias("h"), *[F.col(c) for c in ids])
+    bucket = F.shiftright("_at.h", 64 - SPLIT_BITS)
+    keys = examples.select(F.col(cluster).alias("_c"), place.alias("_at")).withColumn("_bucket", bucket)
+    per_bucket = keys.groupBy("_c", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_c")
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.greatest(F.lit(1).cast("long"), (F.sum("_n").over(whole) * F.lit(share)).cast("long"))
+    edges = (
+        per_bucket.withColumns({"_quota": quota, "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+        .filter((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
+        .select("_c", "_bucket", (F.col("_quota") - F.col("_before")).alias("_rank"))
     )
-    quota = F.greatest(F.lit(1).cast("long"), (F.col("_n") * F.lit(share)).cast("long"))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= quota, F.lit("val")).otherwise(F.lit("train"))).drop("_h", "_rank", "_n")
+    ranked = keys.join(edges, ["_c", "_bucket"]).withColumn("_no", F.row_number().over(whole.orderBy("_at")))
+    cutoffs = ranked.filter(F.col("_no") == F.col("_rank")).select("_c", F.col("_at").alias("_last"))
+    joined = examples.join(cutoffs, F.col(cluster) == F.col("_c"))
+    return joined.withColumn("split", F.when(place <= F.col("_last"), F.lit("val")).otherwise(F.lit("train"))).drop("_c", "_last")
 
 
 def training_counts(examples: DataFrame) -> DataFrame:

@@ -59,8 +59,10 @@ def dedupe_to_table(path: str, id_: str = "session_id") -> Callable[[DataFrame,
     """A ``foreachBatch`` function: appends the rows whose id no earlier batch has stored."""
     def write(batch: DataFrame, batch_id: int) -> None:
         kind = dict(batch.dtypes)[id_]
-        seen = _table(batch.sparkSession, path, f"{id_} {kind}", before=batch_id)
-        _replace(not_yet_processed(batch.dropDuplicates([id_]), seen, id_), path, batch_id)
+        fresh = batch.dropDuplicates([id_])
+        # The history is narrowed by the (much smaller) batch first, so it is scanned but not shuffled.
+        seen = _table(batch.sparkSession, path, f"{id_} {kind}", before=batch_id).join(fresh.select(id_), id_, "left_semi")
+        _replace(not_yet_processed(fresh, seen, id_), path, batch_id)
 
     return write
 
