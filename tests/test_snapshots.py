@@ -3,8 +3,10 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from wayfold.operators import sequence
 from wayfold.operators import snapshots as S
 from wayfold.sources.readers import read_recordings
 
@@ -47,7 +49,10 @@ def write_recording(folder, name="rec", sid="s1"):
     (folder / f"export-{name}-ph-recording.json").write_text(json.dumps(doc), encoding="utf-8")
 
 
-def test_recording_end_to_end(spark, tmp_path):
+@pytest.mark.parametrize("segment_rows", [1, 3, 100_000])
+def test_recording_end_to_end(spark, tmp_path, monkeypatch, segment_rows):
+    """Also with segments so short that every value has to be inherited from earlier ones."""
+    monkeypatch.setattr(sequence, "SEGMENT_ROWS", segment_rows)
     write_recording(tmp_path)
     recordings = read_recordings(spark, str(tmp_path))
     assert recordings.first().file_session_id == "rec"

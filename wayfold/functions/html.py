@@ -132,3 +132,28 @@ def page_observation(pages, url: str = "url", html: str = "html"):
         F.when(F.col("forms") > 0, F.concat(F.lit("Forms: "), F.col("forms").cast("string"), F.lit(" visible"))),
     )
     return parts.withColumn("observation", summary).drop("_v", "_named")
+
+
+# How much the one-line observation lists.
+SHORT_ITEMS, SHORT_HEADINGS, SHORT_LABEL, SHORT_HEADING = 5, 3, 30, 40
+
+
+def compact_observation(pages, url: str = "url", html: str = "html"):
+    """Adds ``observation`` in the short form: navigation, buttons, number of inputs, first headings."""
+    seen = pages.withColumn("_v", visible_html(F.col(html)))
+    v = F.col("_v")
+    parts = seen.withColumns({"_links": links(v), "_buttons": buttons(v), "_inputs": inputs(v), "_heads": headings(v)})
+
+    def listed(name: str, head: str, count: int, chars: int) -> Column:
+        shown = F.transform(F.slice(name, 1, count), lambda x: F.substring(x["text"], 1, chars))
+        return F.when(F.size(name) > 0, F.concat(F.lit(head), F.array_join(shown, ", ")))
+
+    summary = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Page: "), url, F.lit(" — "), title(F.col(html))),
+        listed("_links", "Nav: ", SHORT_ITEMS, SHORT_LABEL),
+        listed("_buttons", "Buttons: ", SHORT_ITEMS, SHORT_LABEL),
+        F.when(F.size("_inputs") > 0, F.concat(F.lit("Inputs: "), F.size("_inputs").cast("string"), F.lit(" visible"))),
+        listed("_heads", "Content: ", SHORT_HEADINGS, SHORT_HEADING),
+    )
+    return parts.withColumn("observation", summary).drop("_v", "_links", "_buttons", "_inputs", "_heads")

@@ -121,6 +121,13 @@ FAILURE_POINTS, ERROR_POINTS, SLOW_MEAN_POINTS, SKIP_POINTS = 30, 25, 10, 5
 SLOWDOWN_TIERS = [(5.0, 25, " — significant UI friction"), (3.0, 15, " — moderate friction"), (1.5, 5, "")]
 SLOW_MEAN_S = 6
 SEVERITY_TIERS = [(40, "critical"), (20, "high"), (10, "medium")]
+FRICTION_REASONS = {
+    "failure": " failure(s) — agent could not complete this action",
+    "error": " error(s) encountered",
+    "slowdown": "x slower than real user",
+    "mean": ("High average duration (", "s) — may indicate loading or rendering delays"),
+    "skipped": "x skipped (probability) — agent uncertain about interaction",
+}
 TIER_COLOURS = [(5.0, "red"), (3.0, "amber"), (1.5, "yellow")]
 
 
@@ -159,11 +166,11 @@ def friction_items(agent: DataFrame, deltas: DataFrame) -> DataFrame:
     ).cast("long")
     count = failures.cast("string")
     reasons = F.array_compact(F.array(
-        F.when(failures > 0, F.concat(count, F.lit(" failure(s) — agent could not complete this action"))),
-        F.when(failures > 0, F.concat(count, F.lit(" error(s) encountered"))),
-        tiered(SLOWDOWN_TIERS, lambda _, note: F.concat(fixed1(slow), F.lit("x slower than real user" + note)), F.lit(None)),
-        F.when(mean > SLOW_MEAN_S, F.concat(F.lit("High average duration ("), fixed1(mean), F.lit("s) — may indicate loading or rendering delays"))),
-        F.when(skipped > 0, F.concat(skipped.cast("string"), F.lit("x skipped (probability) — agent uncertain about interaction"))),
+        F.when(failures > 0, F.concat(count, F.lit(FRICTION_REASONS["failure"]))),
+        F.when(failures > 0, F.concat(count, F.lit(FRICTION_REASONS["error"]))),
+        tiered(SLOWDOWN_TIERS, lambda _, note: F.concat(fixed1(slow), F.lit(FRICTION_REASONS["slowdown"] + note)), F.lit(None)),
+        F.when(mean > SLOW_MEAN_S, F.concat(F.lit(FRICTION_REASONS["mean"][0]), fixed1(mean), F.lit(FRICTION_REASONS["mean"][1]))),
+        F.when(skipped > 0, F.concat(skipped.cast("string"), F.lit(FRICTION_REASONS["skipped"]))),
     ))
     severity = None
     for bound, name in SEVERITY_TIERS:

@@ -31,12 +31,12 @@ PAGE_ROWS = 10_000
 """Rows gathered at most into one list, text or recording part."""
 
 
-def time_segment(micros: Column, width: int = SEGMENT_MICROS) -> Column:
-    return F.floor(micros / F.lit(width)).cast("long")
+def time_segment(micros: Column, width: int | None = None) -> Column:
+    return F.floor(micros / F.lit(width or SEGMENT_MICROS)).cast("long")
 
 
-def position_segment(position: Column, width: int = SEGMENT_ROWS) -> Column:
-    return F.floor(position / F.lit(width)).cast("long")
+def position_segment(position: Column, width: int | None = None) -> Column:
+    return F.floor(position / F.lit(width or SEGMENT_ROWS)).cast("long")
 
 
 class Sequence:
@@ -141,7 +141,7 @@ def with_lookback(
     step: str,
     lookback: int,
     columns: Callable,
-    page_rows: int = PAGE_ROWS,
+    page_rows: int | None = None,
 ) -> DataFrame:
     """Columns that look back at most ``lookback`` rows of a dense 1-based ``step``.
 
@@ -149,6 +149,7 @@ def with_lookback(
     ``lookback`` rows of a page are copied into the next one so that no row misses its
     predecessors.  ``columns(window)`` returns the columns to add.
     """
+    page_rows = page_rows or PAGE_ROWS
     if page_rows < lookback:
         raise ValueError("page_rows must be at least lookback")
     position = F.col(step) - 1
@@ -167,9 +168,10 @@ def paged(
     step: str,
     value: Column,
     name: str,
-    page_rows: int = PAGE_ROWS,
+    page_rows: int | None = None,
 ) -> DataFrame:
     """Ordered lists of bounded length: one row per key and page of ``page_rows`` steps."""
+    page_rows = page_rows or PAGE_ROWS
     return (
         df.select(*keys, F.floor((F.col(step) - 1) / F.lit(page_rows)).cast("long").alias("page"),
                   F.struct(F.col(step).alias("s"), value.alias("v")).alias("_item"))

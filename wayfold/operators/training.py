@@ -23,6 +23,28 @@ SYSTEM_TEXT = (
 """Default instruction; callers pass their own wording."""
 
 
+# Wording of the state text and of each kind's reasoning.
+ASK, ASK_AFTER_ERROR = "What would you do next?", "Decide how to recover."
+REASONING = {
+    "CLICK": "Exploring {tag} element to interact with the product",
+    "SCROLL": "Scrolling {direction} to {goal}",
+    "TYPE": "Entering text to engage with the application",
+    "API_CALL": "Waiting for the application to respond",
+    "PAGE_LOAD": "Navigating to a new section of the product",
+}
+OTHER_REASONING = "Continuing to browse"
+SCROLL_GOALS = {"down": "discover more content", "up": "review earlier content"}
+
+
+def _fill(template: str, **parts: Column) -> Column:
+    """The template with its named places filled by columns."""
+    for name, value in parts.items():
+        head, found, tail = template.partition("{" + name + "}")
+        if found:
+            return F.concat(F.lit(head), value, _fill(tail, **parts))
+    return F.lit(template)
+
+
 def _text(c: Column | str) -> Column:
     return F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
 
@@ -92,10 +114,10 @@ def state_text(context: str, duration: Column, error: Column | None = None) -> C
         F.lit(", elapsed "), fixed1(F.col("elapsed")), F.lit("s / "), fixed0(duration), F.lit("s"),
     )
     recent = F.when(F.size("recent") > 0, F.concat(F.lit("\n\nRecent actions:\n"), F.array_join("recent", "\n"))).otherwise(F.lit(""))
-    asking = F.lit("\n\nWhat would you do next?")
+    asking = F.lit("\n\n" + ASK)
     if error is None:
         return F.concat(head, recent, asking)
-    failed = F.concat(F.lit("\n\nLast action failed: "), error, F.lit("\nDecide how to recover."))
+    failed = F.concat(F.lit("\n\nLast action failed: "), error, F.lit("\n" + ASK_AFTER_ERROR))
     return F.concat(head, recent, F.when(_text(error) != "", failed).otherwise(asking))
 
 
@@ -106,7 +128,7 @@ def next_action() -> Column:
     tag = F.coalesce("target_tag", F.lit("element"))
     quoted = F.when(label != "", F.concat(F.lit(' "'), F.substring(label, 1, 60), F.lit('"'))).otherwise(F.lit(""))
     direction = F.coalesce("direction", F.lit("down"))
-    goal = F.when(direction == "down", F.lit("discover more content")).otherwise(F.lit("review earlier content"))
+    goal = F.when(direction == "down", F.lit(SCROLL_GOALS["down"])).otherwise(F.lit(SCROLL_GOALS["up"]))
     back = F.lower(_text("url")).contains("back")
     action = (
         F.when(kind == "CLICK", F.lit("click")).when(kind == "SCROLL", F.lit("scroll")).when(kind == "TYPE", F.lit("type"))
@@ -122,14 +144,11 @@ def next_action() -> Column:
         .when(kind == "PAGE_LOAD", F.coalesce("url", F.lit("page")))
         .otherwise(F.lit("page"))
     )
-    reasoning = (
-        F.when(kind == "CLICK", F.concat(F.lit("Exploring "), tag, F.lit(" element to interact with the product")))
-        .when(kind == "SCROLL", F.concat(F.lit("Scrolling "), direction, F.lit(" to "), goal))
-        .when(kind == "TYPE", F.lit("Entering text to engage with the application"))
-        .when(kind == "API_CALL", F.lit("Waiting for the application to respond"))
-        .when(kind == "PAGE_LOAD", F.lit("Navigating to a new section of the product"))
-        .otherwise(F.lit("Continuing to browse"))
-    )
+    reasoning = None
+    for name, template in REASONING.items():
+        words = _fill(template, tag=tag, direction=direction, goal=goal)
+        reasoning = F.when(kind == name, words) if reasoning is None else reasoning.when(kind == name, words)
+    reasoning = reasoning.otherwise(F.lit(OTHER_REASONING))
     return F.struct(action.alias("action"), target.alias("target"), reasoning.alias("reasoning"))
 
 

@@ -131,6 +131,15 @@ def page_observation(t):
     return seen.select("page_id", "title", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("clickable", "headings", "texts")], "forms", "observation")
 
 
+@query("compact_observation", "WITH " + OBSERVED + """
+SELECT page_id, 'Page: ' || url || ' — ' || title
+  || CASE WHEN len(links) > 0 THEN chr(10) || 'Nav: ' || array_to_string(list_transform(links[1:5], lambda c: substr(c.t, 1, 30)), ', ') ELSE '' END
+  || CASE WHEN len(heads) > 0 THEN chr(10) || 'Content: ' || array_to_string(list_transform(heads[1:3], lambda h: substr(h, 6, 40)), ', ') ELSE '' END AS observation
+FROM parts""")
+def compact_observation(t):
+    return H.compact_observation(t.pages).select("page_id", "observation")
+
+
 @query("dedupe_labels", r"""
 WITH w AS (SELECT page_id, string_split(regexp_replace(lower(url), '[^a-z]+', ' ', 'g') || ' HTTP Example', ' ') AS words FROM pages)
 SELECT page_id, array_to_string(list_filter(words, lambda x, i: list_position(list_transform(words, lambda z: lower(z)), lower(x)) = i), '|') AS labels FROM w""")

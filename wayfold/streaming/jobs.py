@@ -24,6 +24,7 @@ from wayfold.schemas import RECORDING
 from wayfold.sources.readers import RECORDING_NAME, id_from_name
 
 POLL = "60 seconds"
+PREVIEW_CHARS = 200
 
 
 def new_recordings(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
@@ -75,17 +76,23 @@ def bounded_dedupe(stream: DataFrame, id_: str, time: str, horizon: str) -> Data
 def classify_rows(batch: DataFrame, centroids: DataFrame, labels: DataFrame, at_least: int = MIN_ACTIONS_ONLINE) -> DataFrame:
     """Outcome of each session: the failing stage, or its cluster; nothing is raised.
 
-    Input is ``session_id, num_actions, embedding`` with a null embedding where that stage failed.
+    Input is ``session_id, num_actions, embedding``, a null embedding meaning that stage failed; with a
+    ``description`` its start is kept.
     """
+    text = F.col("description") if "description" in batch.columns else F.lit("")
+    batch = batch.withColumns({
+        "description_preview": F.substring(text, 1, PREVIEW_CHARS), "embedding_dim": F.coalesce(F.size("embedding"), F.lit(0)).cast("long"),
+        "processed_at": F.current_timestamp()})
+    record = ["session_id", "num_actions", "description_preview", "embedding_dim", "processed_at"]
     stage = F.when(F.col("num_actions") < at_least, F.lit("parse")).when(F.col("embedding").isNull(), F.lit("embed"))
     judged = batch.withColumn("stage", stage)
     too_few = F.concat(F.lit("Too few actions ("), F.col("num_actions").cast("string"), F.lit("), skipping"))
     failed = judged.filter(F.col("stage").isNotNull()).select(
-        "session_id", "num_actions", F.lit("failed").alias("status"), "stage",
+        *record, F.lit("failed").alias("status"), "stage",
         F.when(F.col("stage") == "parse", too_few).otherwise(F.lit("no embedding")).alias("error"))
     placed = nearest_centroid(judged.filter(F.col("stage").isNull()), centroids)
     done = attach_cluster_label(placed, labels).select(
-        "session_id", "num_actions", F.lit("completed").alias("status"), F.lit("classify").alias("stage"), "cluster_id", "cluster_label", "distance")
+        *record, F.lit("completed").alias("status"), F.lit("classify").alias("stage"), "cluster_id", "cluster_label", "distance")
     return done.unionByName(failed, allowMissingColumns=True)
 
 
