@@ -99,9 +99,10 @@ def action_log_line() -> Column:
 
 
 def classify_log_line(line: Column) -> Column:
-    """Kind of a pipeline output line."""
+    """Kind of a pipeline output line; blank lines have none."""
     return (
-        F.when(line.contains("ERROR:") | line.contains("Error:"), F.lit("error"))
+        F.when(_strip(line) == "", F.lit(None))
+        .when(line.contains("ERROR:") | line.contains("Error:"), F.lit("error"))
         .when(line.contains("WARNING:") | line.contains("Warning:"), F.lit("warning"))
         .when(line.rlike(r"^\s*\d+/\d+") | line.contains("..."), F.lit("progress"))
         .when(line.startswith("===") | line.startswith("---"), F.lit("section"))

@@ -148,18 +148,19 @@ def cluster_excerpts(t):
 
 
 @query("complete_sessions", """SELECT v.vec_id AS session_id, l.quality::BIGINT AS quality, v.label::BIGINT AS label, coalesce(substr(d."text", 1, 500), '') AS description
-FROM labels l JOIN embeddings v ON l.doc_id = v.vec_id LEFT JOIN (SELECT * FROM documents WHERE lang <> 'en') d ON d.doc_id = v.vec_id""")
+FROM labels l JOIN embeddings v ON l.doc_id = v.vec_id LEFT JOIN documents d ON d.doc_id = v.vec_id""")
 def complete_sessions(t):
     parsed = t.labels.select(F.col("doc_id").alias("session_id"), F.col("quality").cast("long").alias("quality"))
     vectors = t.embeddings.select(F.col("vec_id").alias("session_id"), F.col("label").cast("long").alias("label"))
-    texts = t.documents.filter("lang <> 'en'").select(F.col("doc_id").alias("session_id"), "text")
+    texts = t.documents.select(F.col("doc_id").alias("session_id"), "text")
     return C.complete_sessions(parsed, vectors, texts)
 
 
 @query("attach_cluster_label", """SELECT c_custkey, c_nationkey::BIGINT AS cluster_id, coalesce(CASE WHEN n_nationkey % 4 <> 0 THEN n_name END, 'Cluster ' || c_nationkey) AS cluster_label
 FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def attach_cluster_label(t):
-    names = t.nation.filter(F.pmod("n_nationkey", F.lit(4)) != 0).select(F.col("n_nationkey").cast("long").alias("cluster_id"), F.col("n_name").alias("label"))
+    named = F.when(F.pmod("n_nationkey", F.lit(4)) != 0, F.col("n_name"))
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("cluster_id"), named.alias("label"))
     return C.attach_cluster_label(t.customer.select("c_custkey", F.col("c_nationkey").cast("long").alias("cluster_id")), names)
 
 
