@@ -164,6 +164,16 @@ agent AS (
   FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id))"""
 
 
+def stored_actions(t: Tables) -> DataFrame:
+    """The action table as a stored stage, for queries that read it more than once."""
+    return t.stage("actions", actions)
+
+
+def stored_agent_log(t: Tables) -> DataFrame:
+    """The agent log as a stored stage, as logs are files in practice."""
+    return t.stage("agent_log", agent_actions)
+
+
 def snapshot_rows(t: Tables) -> DataFrame:
     """Events written as replay snapshots, ``data`` holding JSON text; file order is ``event_id``."""
     k, y = F.col("k"), F.floor("value").cast("long")

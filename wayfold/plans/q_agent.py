@@ -46,16 +46,16 @@ deltas AS (
 
 
 def _stuck(t):
-    return A.stuck_points(B.agent_actions(t), STUCK_S)
+    return A.stuck_points(B.stored_agent_log(t), STUCK_S)
 
 
 def _summary(t):
-    return A.session_summary(B.agent_actions(t), _stuck(t))
+    return A.session_summary(B.stored_agent_log(t), _stuck(t))
 
 
 def _deltas(t):
     """Timing comparison with the agent's clock slowed to the scale of the driver's data."""
-    return A.timing_deltas(A.avg_action_timings(B.agent_actions(t)), A.real_action_timings(B.actions(t)))
+    return A.timing_deltas(A.avg_action_timings(B.stored_agent_log(t)), A.real_action_timings(B.stored_actions(t)))
 
 
 @query("session_summary", AGENT + SUMMARY + "SELECT * FROM summary")
@@ -125,7 +125,7 @@ deviation AS (SELECT *, floor(coalesce(1 - match_rate, 0) * 100 + 0.5) / 100 AS
 
 def _completion(t):
     planned = B.action_kinds(t).groupBy((F.col("session_id") + 1).alias("session_id")).agg(F.count(F.lit(1)).alias("planned_actions"))
-    real = B.agent_actions(t).groupBy((F.col("session_id") + 1).alias("session_id")).agg(F.max("relative_s").alias("real_user_duration_s"))
+    real = B.stored_agent_log(t).groupBy((F.col("session_id") + 1).alias("session_id")).agg(F.max("relative_s").alias("real_user_duration_s"))
     return A.completion_block(_summary(t), planned, real)
 
 
@@ -155,12 +155,12 @@ ctx AS (SELECT *, streak = 3 AS recovery, lag(streak) OVER (PARTITION BY session
 
 @query("error_streak", AGENT + STREAK + "SELECT session_id, step, streak::BIGINT AS streak, recovery FROM ctx")
 def error_streak(t):
-    return A.error_streak(B.agent_actions(t)).select("session_id", "step", "streak", "recovery")
+    return A.error_streak(B.stored_agent_log(t)).select("session_id", "step", "streak", "recovery")
 
 
 @query("error_context", AGENT + STREAK + "SELECT session_id, step, CASE WHEN pstreak > 0 AND pstreak <> 3 THEN perror ELSE '' END AS error_context FROM ctx")
 def error_context(t):
-    return A.error_context(A.error_streak(B.agent_actions(t))).select("session_id", "step", "error_context")
+    return A.error_context(A.error_streak(B.stored_agent_log(t))).select("session_id", "step", "error_context")
 
 
 @query("stuck_points", AGENT + SUMMARY + "SELECT session_id, step, gap_s FROM stuck")
@@ -183,7 +183,7 @@ SELECT session_id, step, floor(relative_s / total * 100 + 0.5 / 1) IS NULL AS em
   greatest(floor(coalesce(nullif(duration_s, 0), 0.5) / total * 100.0::DOUBLE * 100 + 0.5) / 100, 0.8) AS width_pct
 FROM agent JOIN (SELECT session_id, nullif(max(relative_s), 0) AS total FROM agent GROUP BY 1) USING (session_id)""")
 def timeline(t):
-    rows = B.agent_actions(t)
+    rows = B.stored_agent_log(t)
     totals = rows.groupBy("session_id").agg(F.max("relative_s").alias("total_duration_s"))
     return A.timeline(rows, totals).select("session_id", "step", F.col("left_pct").isNull().alias("empty"), "left_pct", "width_pct")
 
@@ -203,7 +203,7 @@ impressions AS (
 
 @query("impressions", AGENT + IMPRESSIONS + "SELECT * FROM impressions")
 def impressions(t):
-    return A.impressions(B.agent_actions(t))
+    return A.impressions(B.stored_agent_log(t))
 
 
 @query("last_actions", AGENT + """SELECT session_id, step, action_name, rank FROM (
@@ -265,7 +265,7 @@ scores AS (
 
 
 def _facts(t):
-    rows = B.agent_actions(t)
+    rows = B.stored_agent_log(t)
     return SC.session_facts(rows, A.impressions(rows))
 
 
@@ -301,7 +301,7 @@ def run_all_scorers(t):
 
 @query("agent_cards", AGENT + FACTS + "SELECT session_id, floor(successful_actions / total_actions::DOUBLE * 100 + 0.5)::BIGINT AS success_pct, frustrations, positives FROM scores")
 def agent_cards(t):
-    rows = B.agent_actions(t)
+    rows = B.stored_agent_log(t)
     return SC.agent_cards(rows, A.impressions(rows))
 
 
@@ -331,7 +331,7 @@ def _slow(t):
 
 
 def _friction(t):
-    return SC.friction_items(B.agent_actions(t), _slow(t))
+    return SC.friction_items(B.stored_agent_log(t), _slow(t))
 
 
 @query("friction_items", BOTH + FRICTION + """SELECT session_id, action_name, occurrences, failures, skipped, avg_duration_s, slowdown, score::BIGINT AS score, reasons, severity
@@ -352,7 +352,7 @@ def heat_intensity(t):
   CASE WHEN slowdown > 0 THEN floor(least(slowdown / max(slowdown) OVER (PARTITION BY session_id) * 100, 100) * 100 + 0.5) / 100 END AS bar_pct
 FROM items""")
 def slowdown_rank(t):
-    timings = A.avg_action_timings(B.agent_actions(t))
+    timings = A.avg_action_timings(B.stored_agent_log(t))
     return SC.slowdown_rank(timings, _slow(t)).select("session_id", "label", "slowdown", "rank", "tier", "bar_pct")
 
 

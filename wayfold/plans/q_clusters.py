@@ -198,6 +198,6 @@ SELECT s.session_id, session_duration_s AS session_target_duration_s, floor(ty /
 FROM sessions s JOIN (SELECT session_id, coalesce(sum(n) FILTER (WHERE action = 'TYPE'), 0) AS ty, coalesce(sum(n) FILTER (WHERE action = 'API_CALL'), 0) AS ap FROM c GROUP BY 1) r USING (session_id)
 JOIN (SELECT session_id, max(action) FILTER (WHERE third = 0) AS e, max(action) FILTER (WHERE third = 1) AS m, max(action) FILTER (WHERE third = 2) AS l FROM top WHERE rn = 1 GROUP BY 1) d USING (session_id)""")
 def policy_features(t):
-    actions = B.actions(t).select("session_id", "step", "time", "action")
+    actions = B.stored_actions(t).select("session_id", "step", "time", "action")
     sessions = actions.groupBy("session_id").agg(F.max("time").alias("session_duration_s"), F.count(F.lit(1)).alias("n_actions"))
     return C.policy_features(actions, sessions)

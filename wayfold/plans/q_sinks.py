@@ -73,7 +73,7 @@ def read_agent_logs(t):
 @query("write_parsed", QT.WITH + "SELECT session_id, count(*) AS actions, max(step) AS last_step, max(\"time\") AS session_duration_s, count(target_text) AS texts FROM actions GROUP BY 1")
 def write_parsed(t):
     out = _folder(t)
-    actions = B.actions(t)
+    actions = B.stored_actions(t)
     headers = actions.groupBy("session_id").agg(F.max("time").alias("session_duration_s"), F.count(F.lit(1)).alias("total_raw_events"))
     profiles = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("age_group"))
     documents = WR.parsed_documents(actions, headers, profiles)
@@ -87,7 +87,7 @@ n AS (SELECT cluster_id, count(*) AS n, greatest(1, floor(count(*) * 0.1::DOUBLE
 SELECT cluster_id, 'val' AS split, v AS examples, 3 * v AS messages FROM n UNION ALL SELECT cluster_id, 'train', n - v, 3 * (n - v) FROM n WHERE n > v""")
 def write_training(t):
     out = _folder(t)
-    examples = TR.training_examples(B.actions(t), QT._sessions(t), QT._personas(t), QT.CONTEXT)
+    examples = TR.training_examples(B.stored_actions(t), QT._sessions(t), QT._personas(t), QT.CONTEXT)
     WR.write_training(TR.sequence_split(examples, "cluster_id", ["session_id", "step"]), out)
     schema = "messages ARRAY<STRUCT<role: STRING, content: STRING>>, cluster_id BIGINT, split STRING"
     back = t.spark.read.schema(schema).json(out)

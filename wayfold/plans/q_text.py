@@ -203,7 +203,7 @@ FROM (SELECT *, chr(10) AS nl FROM completion) LEFT JOIN tm USING (session_id) L
 LEFT JOIN (SELECT session_id, match_rate, deviation_score FROM deviation) USING (session_id)""")
 def markdown_report(t):
     deviation = A.positional_match(*B.agent_sequences(t))
-    return R.markdown_report(QA._completion(t), QA._deltas(t), A.top_errors(B.agent_actions(t)), QA._stuck(t), deviation)
+    return R.markdown_report(QA._completion(t), QA._deltas(t), A.top_errors(B.stored_agent_log(t)), QA._stuck(t), deviation)
 
 
 @query("report_json", REPORT + """
@@ -235,7 +235,7 @@ def describe_prompt(t):
     missing = F.lit(None).cast("string")
     profiles = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("age_group"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("country"),
                                  missing.alias("device_type"), missing.alias("browser"), missing.alias("os"))
-    actions = B.actions(t)
+    actions = B.stored_actions(t)
     durations = actions.groupBy("session_id").agg(F.max("time").alias("session_duration_s"))
     return _with_length(R.describe_prompt(R.action_log(actions), profiles, durations, task="Task."), "session_id", "page")
 
@@ -274,7 +274,7 @@ i AS (SELECT session_id, (step - 1) // 10000 AS page, string_agg('  [' || elapse
 p AS (SELECT session_id, page, 'Task.' || chr(10) || chr(10) || 'ACTION LOG:' || chr(10) || a || chr(10) || chr(10) || 'IMPRESSIONS:' || chr(10) || i AS prompt FROM i LEFT JOIN a USING (session_id))
 SELECT session_id, page, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def narrative_prompt(t):
-    rows = B.agent_actions(t)
+    rows = B.stored_agent_log(t)
     return _with_length(R.narrative_prompt(rows, A.impressions(rows), task="Task."), "session_id", "page")
 
 
@@ -287,7 +287,7 @@ s AS (SELECT session_id, '--- Agent ' || session_id || ' ---' || chr(10) || 'Ste
 p AS (SELECT session_id // 50 AS page, 'Task.' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY session_id) AS prompt FROM s GROUP BY 1)
 SELECT page, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def comparative_prompt(t):
-    rows = B.agent_actions(t)
+    rows = B.stored_agent_log(t)
     narratives = t.documents.select(F.col("doc_id").alias("session_id"), F.col("text").alias("narrative"))
     sections = R.agent_sections(QA._summary(t), narratives, A.impressions(rows))
     return _with_length(R.comparative_prompt(sections, task="Task."), "page")
@@ -303,6 +303,6 @@ p AS (SELECT session_id, 'Task.' || nl || nl || 'PROFILE:' || nl || coalesce(sub
   FROM (SELECT *, chr(10) AS nl FROM completion) LEFT JOIN tm USING (session_id) LEFT JOIN er USING (session_id) LEFT JOIN la USING (session_id) LEFT JOIN documents ON doc_id = session_id)
 SELECT session_id, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def feedback_prompt(t):
-    rows = B.agent_actions(t)
+    rows = B.stored_agent_log(t)
     texts = t.documents.select(F.col("doc_id").alias("session_id"), "text")
     return _with_length(R.feedback_prompt(QA._completion(t), A.top_errors(rows), QA._deltas(t), rows, texts, task="Task."), "session_id")

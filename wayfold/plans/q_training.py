@@ -78,14 +78,14 @@ def elapsed(t):
 
 
 def _sessions(t):
-    return B.actions(t).groupBy("session_id").agg(
+    return B.stored_actions(t).groupBy("session_id").agg(
         F.max_by("time", "step").alias("session_duration_s"), F.count(F.lit(1)).alias("n_actions")
     ).withColumn("cluster_id", F.pmod("session_id", F.lit(5)))
 
 
 @query("state_text", WITH + WINDOWED + "SELECT session_id, step, state FROM answered")
 def state_text(t):
-    rows = TR.with_recent(B.actions(t)).join(_sessions(t).select("session_id", "session_duration_s"), "session_id")
+    rows = TR.with_recent(B.stored_actions(t)).join(_sessions(t).select("session_id", "session_duration_s"), "session_id")
     return rows.select("session_id", "step", TR.state_text(CONTEXT, F.col("session_duration_s")).alias("state"))
 
 
@@ -125,7 +125,7 @@ examples AS (
 
 
 def _examples(t):
-    return TR.training_examples(B.actions(t), _sessions(t), _personas(t), CONTEXT)
+    return TR.training_examples(B.stored_actions(t), _sessions(t), _personas(t), CONTEXT)
 
 
 @query("training_examples", EXAMPLES + "SELECT * FROM examples")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.session import materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,6 +18,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._stages: dict[str, DataFrame] = {}
+
+    def stage(self, name: str, build: Callable[["Tables"], DataFrame]) -> DataFrame:
+        """A stage table of this query: built and written once, read by every part that needs it."""
+        if name not in self._stages:
+            self._stages[name] = materialize(build(self))
+        return self._stages[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
