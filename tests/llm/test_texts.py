@@ -137,9 +137,10 @@ def test_first_fit_decreasing_against_the_list_version(lengths):
 
 
 def test_packing_round_trip(small):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     pieces = packing.pack(small, group_rows=64).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
