@@ -80,6 +80,14 @@ def test_large_models_are_joined_by_block(spark, monkeypatch):
     assert near == {r.id: r.cluster_id for r in V.nearest_centroid(points, table).collect()}
 
 
+def test_equal_points_keep_their_rows_beyond_the_limit(spark, monkeypatch):
+    points = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [5.0, 5.0])], "id BIGINT, embedding ARRAY<DOUBLE>")
+    table = spark.createDataFrame([(i, [float(i), float(i)]) for i in range(9)], "cluster_id BIGINT, centroid ARRAY<DOUBLE>")
+    few = sorted(map(str, V.nearest_centroid(points, table).collect()))
+    monkeypatch.setattr(V, "MAX_CENTROIDS", 4)
+    assert sorted(map(str, V.nearest_centroid(points, table).collect())) == few and len(few) == 3
+
+
 def test_profile_without_traits_and_ties(spark):
     rows = [(1, None, "", None, 10.0, 4), (1, None, None, None, 20.0, 5), (2, "b", "x", "low", 1.0, 1), (2, "a", "x", "low", 2.0, 1)]
     df = spark.createDataFrame(rows, "cluster_id INT, age_group STRING, country STRING, nyc_familiarity STRING, duration_s DOUBLE, n_actions INT")

@@ -94,3 +94,9 @@ def test_best_per_key_limits_groups_before_the_shuffle(spark):
     top = best_per_key(df, ["key"], [F.col("id").desc()], 3)
     assert [r.id for r in sorted(top.collect(), key=lambda r: r["rank"])] == [4999, 4998, 4997]
     assert top._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k STRING, pos INT")
+    got = Sequence(df, ["k"], ["pos"], F.col("pos").cast("long")).number().build().collect()
+    assert sorted((str(r.k), r.pos, r.step) for r in got) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]

@@ -108,3 +108,11 @@ def test_deep_dom_is_walked(spark):
     text = json.dumps({"node": tree})
     df = spark.createDataFrame([("s", 0, 2, text)], "session_id STRING, seq BIGINT, type INT, payload STRING")
     assert S.flatten_dom(S.with_fields(df)).agg(F.max("depth")).first()[0] == 199
+
+
+def test_odd_nodes_do_not_end_the_walk():
+    from wayfold.operators.snapshots import _walk
+
+    roots = ['"abc"', "{broken", '{"id": 1, "attributes": {"placeholder": true, "href": 7}, "childNodes": [3, {"id": "x"}, {"id": 2, "tagName": "p", "attributes": []}]}', None]
+    found = {n["node_id"]: n for n in _walk(roots)}
+    assert set(found) == {1, 2} and found[1]["placeholder"] == "true" and found[1]["href"] == "7" and found[2]["tag"] == "p"

@@ -70,8 +70,11 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, vector: str = "emb
     spark = points.sparkSession
     model = fetch_centroids(centroids)
     if model is None:
+        # Equal points have equal answers, so they are counted into one group and unfolded again.
         best = _by_block(points, centroids, vector).withColumn("_best", F.array_min("_pairs"))
-        near = best.groupBy(*points.columns).agg(F.min("_best").alias("_best"))
+        near = best.groupBy(*points.columns, "_block").agg(F.min("_best").alias("_best"), F.count(F.lit(1)).alias("_n"))
+        near = near.groupBy(*points.columns).agg(F.min("_best").alias("_best"), F.max("_n").alias("_n"))
+        near = near.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
         return near.select(*points.columns, F.col("_best.id").alias("cluster_id"), F.col("_best.d").alias("distance"))
     ids, matrix = model
     lookup = F.array(*[F.lit(i).cast("long") for i in ids])
@@ -94,9 +97,8 @@ def _by_block(points: DataFrame, centroids: DataFrame, vector: str) -> DataFrame
 
     def measure(vectors: pd.Series, centres: pd.Series) -> pd.Series:
         return pd.Series([
-            [float(np.linalg.norm(np.asarray(v, dtype=np.float64) - np.asarray(c["centroid"], dtype=np.float64))) for c in cs]
-            for v, cs in zip(vectors, centres)
+            list(_distances(pd.Series([v]), np.array([c["centroid"] for c in cs], dtype=np.float64))[0]) for v, cs in zip(vectors, centres)
         ])
 
     pairs = spread.join(blocks, "_block").withColumn("_d", F.pandas_udf(measure, "array<double>")(F.col(vector), F.col("_centres")))
-    return pairs.withColumn("_pairs", F.arrays_zip(F.col("_d").alias("d"), F.col("_centres.cluster_id").alias("id"))).drop("_block", "_centres", "_d")
+    return pairs.withColumn("_pairs", F.arrays_zip(F.col("_d").alias("d"), F.col("_centres.cluster_id").alias("id"))).drop("_centres", "_d")

@@ -103,6 +103,7 @@ def top_errors(agent: DataFrame, k: int = 3) -> DataFrame:
 
 def engagement_counts(actions: DataFrame, agent: DataFrame) -> DataFrame:
     kind, done = F.col("action"), F.col("success") & ~F.coalesce("skipped", F.lit(False))
+    counts = ["real_user_click_events", "real_user_input_events", "real_user_api_calls"]
     real = actions.groupBy("session_id").agg(
         F.count_if(kind == "CLICK").alias("real_user_click_events"),
         F.count_if(kind == "TYPE").alias("real_user_input_events"),
@@ -112,7 +113,7 @@ def engagement_counts(actions: DataFrame, agent: DataFrame) -> DataFrame:
         F.count_if((F.col("action_name") == "write_comment") & done).alias("agent_comments_written"),
         F.count_if((F.col("action_name") == "vote_on_post") & done).alias("agent_votes_cast"),
     )
-    return real.join(logged, "session_id")
+    return logged.join(real, "session_id", "left").fillna(0, counts)
 
 
 def completion_block(summary: DataFrame, planned: DataFrame, real: DataFrame) -> DataFrame:

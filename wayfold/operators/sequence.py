@@ -15,6 +15,8 @@ Rows are shuffled once, evenly; the summaries are as many as there are segments.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,7 +132,10 @@ class Sequence:
         summary = self._df.groupBy(*self._group).agg(*[c.alias(n) for n, c in self._summary.items()])
         carried = summary.select(*self._group, *[c.alias(n) for n, c in self._carry.items()])
         rows = self._df.withColumns(self._local) if self._local else self._df
-        joined = rows.join(carried, self._group, "inner")
+        marks = {name: f"_k_{name}" for name in self._group}
+        carried = carried.withColumnsRenamed(marks)
+        same = reduce(and_, [rows[name].eqNullSafe(carried[mark]) for name, mark in marks.items()])  # null keys are keys
+        joined = rows.join(carried, same, "inner").drop(*marks.values())
         scratch = [*self._local, *self._carry, self._seg]
         return joined.withColumns(self._final).drop(*scratch)
 

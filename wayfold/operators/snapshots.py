@@ -190,25 +190,43 @@ def session_header(snapshots: DataFrame, typed: DataFrame) -> DataFrame:
     )
 
 
+def _loaded(text: str):
+    """The JSON value of a root, or None for what is no JSON."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def _plain(value) -> str:
+    """Attribute values as text; booleans and numbers as JSON writes them."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
 def _walk(root_texts) -> list[dict]:
-    """Node rows of one snapshot; a later visit of a node id replaces the earlier one."""
+    """Node rows of one snapshot; a later visit of a node id replaces the earlier one.
+
+    What is no object, or has no whole-number id, gives no row; its children are still visited.
+    """
     nodes: dict[int, dict] = {}
-    stack = [(json.loads(t), 0) for t in reversed(root_texts) if t]
+    stack = [(_loaded(t), 0) for t in reversed(root_texts) if t]
     while stack:
         node, depth = stack.pop()
         if not isinstance(node, dict):
             continue
-        children = node.get("childNodes") or []
-        if node.get("id") is not None:
-            attrs = node.get("attributes") or {}
-            text = "".join(c.get("textContent") or "" for c in children if isinstance(c, dict) and c.get("type") == 3)
+        children = node.get("childNodes")
+        children = children if isinstance(children, list) else []
+        if type(node.get("id")) is int and -(2**63) <= node["id"] < 2**63:
+            attrs = node.get("attributes")
+            attrs = attrs if isinstance(attrs, dict) else {}
+            text = "".join(_plain(c.get("textContent")) for c in children if isinstance(c, dict) and c.get("type") == 3)
             nodes[node["id"]] = {
                 "node_id": node["id"],
-                "tag": node.get("tagName", ""),
-                "class": str(attrs.get("class", ""))[:80],
-                "href": attrs.get("href", ""),
-                "type_attr": attrs.get("type", ""),
-                "placeholder": attrs.get("placeholder", ""),
+                "tag": _plain(node.get("tagName")),
+                "class": _plain(attrs.get("class"))[:80],
+                "href": _plain(attrs.get("href")),
+                "type_attr": _plain(attrs.get("type")),
+                "placeholder": _plain(attrs.get("placeholder")),
                 "text": text.strip()[:100],
                 "depth": depth,
             }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,12 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares between executors.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (a test on one
-    machine) a fresh temporary folder is made and remembered in the session.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a local master
+    (a test on one machine) gets a fresh temporary folder, remembered in the session; any other raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", configured)
