@@ -25,8 +25,9 @@ COMMON_WORDS = 100
 #: References: at most so many languages, the largest first; documents of others are compared with the nearest.
 MAX_LANGUAGES = 1000
 MIN_REFERENCE_WORDS = 1000
-MIN_CHARS, MIN_WORDS = 80, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.75
+MIN_CHARS, MIN_WORDS = 200, 60
+#: Between labelled good texts (up to 0.29 and 0.45) and labelled bad ones (from 0.33 and 0.53, mostly).
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.5
 FLUSH = 200_000
 
 _SYMBOLS = b"#*$%&|<>"
