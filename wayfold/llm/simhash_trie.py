@@ -161,12 +161,12 @@ def _turn(fp: Column, by: int) -> Column:
 def links(prints: DataFrame, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """``a, b``: links between different fingerprints (column ``fp``, distinct) that connect all within k bits."""
     turned = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(_turn(F.col("fp"), at), BITS - width).alias("run"), _turn(F.col("fp"), at).alias("turned")) for i, (at, width) in enumerate(_blocks(k))])
-    rows = prints.select(F.explode(turned).alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(max(w for _, w in _blocks(k)) + 1).alias("depth"))
+    rows = prints.select(F.explode(turned).alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"))
     rows = materialize(rows)
     depth = max(w for _, w in _blocks(k)) + 1
     ready = []
     while True:
-        sizes = rows.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = rows.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("n > 1 AND (lo = 0 OR lo < hi)")
         big = materialize(sizes.filter(F.col("n") > run_limit).select("block", "run", F.lit(True).alias("big")))
         if depth >= BITS or not big.limit(1).count():
             ready.append(rows.join(sizes.select("block", "run"), ["block", "run"], "left_semi"))
@@ -177,13 +177,13 @@ def links(prints: DataFrame, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> D
         width = min(PART_BITS, BITS - depth)
         own = F.shiftrightunsigned(F.col("turned"), BITS - depth - width).bitwiseAND(F.lit((1 << width) - 1))
         flips = [x for x in range(1 << width) if bin(x).count("1") <= k]
-        parts = F.array(*[F.struct(F.least(own, own.bitwiseXOR(F.lit(x))).alias("s"), F.greatest(own, own.bitwiseXOR(F.lit(x))).alias("t"), F.when(F.lit(x == 0), 0).when(own < own.bitwiseXOR(F.lit(x)), 1).otherwise(2).alias("w")) for x in flips])
+        parts = F.array(*[F.struct(F.least(own, own.bitwiseXOR(F.lit(x))).alias("s"), F.greatest(own, own.bitwiseXOR(F.lit(x))).alias("t"), F.lit(bin(x).count("1")).alias("c"), F.when(F.lit(x == 0), 0).when(own < own.bitwiseXOR(F.lit(x)), 1).otherwise(2).alias("w")) for x in flips])
         parted = marked.filter("big").withColumn("p", F.explode(parts))
         # a run across two nodes goes on as two-sided: only pairs of different sides are walked in it
-        parted = parted.filter((F.col("side") == 0) | (F.col("p.w") == 0) | (F.col("p.w") == F.col("side")) | (F.col("p.w") == 3 - F.col("side")))
+        parted = parted.filter(F.col("spent") + F.col("p.c") <= k).filter((F.col("side") == 0) | (F.col("p.w") == 0) | (F.col("p.w") == F.col("side")) | (F.col("p.w") == 3 - F.col("side")))
         side = F.when(F.col("side") == 0, F.col("p.w")).otherwise(F.col("side"))
         turn = F.when((F.col("side") == 0) | (F.col("p.w") == 0), F.lit(0)).otherwise(F.when(F.col("p.w") == F.col("side"), 1).otherwise(2))
-        rows = materialize(parted.select("block", F.xxhash64("run", "p.s", "p.t", turn, F.lit(depth)).alias("run"), "turned", side.alias("side"), F.lit(depth + width).alias("depth")))
+        rows = materialize(parted.select("block", F.xxhash64("run", "p.s", "p.t", turn, F.lit(depth)).alias("run"), "turned", side.alias("side"), (F.col("spent") + F.col("p.c")).alias("spent")))
         depth += width
     out = None
     for part in ready:
