@@ -131,8 +131,15 @@ def label_prompt(stats: DataFrame, excerpts: DataFrame, cluster: str, task: str
 NARRATIVE_ACTIONS, COMPARED_IMPRESSIONS, NARRATIVE_CHARS, DESCRIPTION_CHARS = 20, 5, 800, 2000
 
 
-def narrative_prompt(agent: DataFrame, impressions: DataFrame, task: str = NARRATIVE_TASK) -> DataFrame:
-    """First actions of the session and its impressions, per page of impressions."""
+def narrative_prompt(agent: DataFrame, impressions: DataFrame, profiles: DataFrame, summary: DataFrame, target: str = "?", task: str = NARRATIVE_TASK) -> DataFrame:
+    """Profile and summary, first actions of the session and its impressions, per page of impressions.
+
+    ``profiles`` has ``session_id, age_group, country, nyc_familiarity, description``; ``summary`` is ``session_summary``.
+    """
+    who = F.concat(F.lit("- Age group: "), _n("age_group", "unknown"), F.lit("\n- Country: "), _n("country", "unknown"),
+                   F.lit("\n- NYC familiarity: "), _n("nyc_familiarity", "unknown"), F.lit("\n- Behavioral style: "), _n("description", ""))
+    facts = F.concat(F.lit(f"- Target app: {target}\n- Duration: "), F.coalesce(fixed0(F.col("total_duration_s")), F.lit("0")), F.lit("s\n- Steps taken: "), _n("total_actions", "0"),
+                     F.lit("\n- Successful: "), _n("successful_actions", "0"), F.lit("\n- Failed: "), _n("failed_actions", "0"))
     status = F.when(F.col("success"), F.lit("OK")).otherwise(F.concat(F.lit("FAILED: "), F.substring("error", 1, 50)))
     line = F.concat(F.lit("  ["), plain_seconds(F.col("relative_s")), F.lit("s] "), "action_name", F.lit(" on "), F.substring("target", 1, 40), F.lit(" - "), status)
     first = _rows_text(best_per_key(agent, ["session_id"], [F.col("step")], NARRATIVE_ACTIONS), line, "step", "_actions")
@@ -140,43 +147,62 @@ def narrative_prompt(agent: DataFrame, impressions: DataFrame, task: str = NARRA
     item = F.struct("step", F.when(F.col("sentiment") == "summary", 1).otherwise(0).alias("o"), felt.alias("l"))
     pages = impressions.groupBy("session_id", F.floor((F.col("step") - 1) / F.lit(PAGE_ROWS)).cast("long").alias("page")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["l"]), "\n").alias("_felt"))
-    return pages.join(first, "session_id", "left").select("session_id", "page", F.concat_ws(
-        "\n\n", F.lit(task), _block("ACTION LOG", F.coalesce("_actions", F.lit(""))), _block("IMPRESSIONS", F.col("_felt"))).alias("prompt"))
+    rows = pages.join(first, "session_id", "left").join(profiles, "session_id", "left").join(summary, "session_id", "left")
+    return rows.select("session_id", "page", F.concat_ws(
+        "\n\n", F.lit(task), _block("DEMOGRAPHIC PROFILE", who), _block("SESSION SUMMARY", facts),
+        _block("ACTION LOG", F.coalesce("_actions", F.lit(""))), _block("IMPRESSIONS", F.col("_felt"))).alias("prompt"))
 
 
-def agent_sections(summary: DataFrame, narratives: DataFrame, impressions: DataFrame) -> DataFrame:
-    """``(session_id, section)``: what the comparison says about one agent."""
+def agent_sections(summary: DataFrame, narratives: DataFrame, impressions: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(session_id, section)``: what the comparison says about one agent; ``labels`` is ``(session_id, label)``."""
+    counted = impressions.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n_felt"))
     first = best_per_key(impressions, ["session_id"], [F.col("step"), F.col("sentiment")], COMPARED_IMPRESSIONS, rank="_r")
     felt = _rows_text(first, F.concat(F.lit("  ["), "sentiment", F.lit("] "), F.substring("context", 1, 80)), "_r", "_felt")
-    return summary.join(narratives, "session_id", "left").join(felt, "session_id", "left").select("session_id", F.concat_ws(
+    rows = summary
+    for part in (narratives, felt, counted, labels):
+        rows = rows.join(part, "session_id", "left")
+    return rows.select("session_id", F.concat_ws(
         "\n",
-        F.concat(F.lit("--- Agent "), F.col("session_id").cast("string"), F.lit(" ---")),
+        F.concat(F.lit("--- Agent "), F.col("session_id").cast("string"), F.coalesce(F.concat(F.lit(": "), "label"), F.lit("")), F.lit(" ---")),
         F.concat(F.lit("Steps: "), F.col("total_actions").cast("string"), F.lit(", Duration: "), fixed0(F.col("total_duration_s")), F.lit("s")),
         F.concat(F.lit("Successful: "), F.col("successful_actions").cast("string"), F.lit(", Failed: "), F.col("failed_actions").cast("string")),
+        F.concat(F.lit("Impressions: "), _n("_n_felt", "0")),
         F.concat(F.lit("Narrative: "), F.coalesce(F.substring("narrative", 1, NARRATIVE_CHARS), F.lit(""))),
         F.col("_felt")).alias("section"))
 
 
-def comparative_prompt(sections: DataFrame, agents_per_page: int = 50, task: str = COMPARE_TASK) -> DataFrame:
-    """Sections of up to ``agents_per_page`` neighbouring agent ids in one prompt."""
+def comparative_prompt(sections: DataFrame, runs: DataFrame, task: str = COMPARE_TASK) -> DataFrame:
+    """One prompt a run with the sections of its agents; ``runs`` is ``(session_id, run_id)``, ids of any type."""
     item = F.struct("session_id", "section")
-    return sections.groupBy(F.floor(F.col("session_id") / F.lit(agents_per_page)).cast("long").alias("page")).agg(
+    return sections.join(runs, "session_id").groupBy("run_id").agg(
         F.concat(F.lit(task + "\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["section"]), "\n\n")).alias("prompt"))
 
 
 LAST_ACTIONS = 20
 
 
-def feedback_prompt(completion: DataFrame, errors: DataFrame, deltas: DataFrame, agent: DataFrame, descriptions: DataFrame, task: str = FEEDBACK_TASK) -> DataFrame:
-    """Metrics, first errors per action, slowdowns and the last actions of a session."""
+def feedback_prompt(completion: DataFrame, errors: DataFrame, deltas: DataFrame, agent: DataFrame, stuck: DataFrame, deviation: DataFrame, descriptions: DataFrame, task: str = FEEDBACK_TASK) -> DataFrame:
+    """Metrics, first errors per action, slowdowns, stuck events and the last actions of a session.
+
+    Stuck events are at least a time-out apart, so that a session has at most its length over the time-out of them.
+    """
+    why = _n("reason", "Timeout") if "reason" in stuck.columns else F.lit("Timeout")
+    stop = F.concat(F.lit("  - Stuck at "), _n("action_name", "?"), F.lit(" ("), why, F.lit(") on "), F.coalesce(F.nullif("page_url", F.lit("")), F.lit("?")))
+    stops = _rows_text(stuck, stop, "step", "_stops")
+    pace = F.concat(F.lit("  - Agent session duration: "), _number("agent_duration_s"), F.lit("s\n  - Real user session duration: "), _number("real_user_duration_s"),
+                    F.lit("s\n  - Duration ratio: "), _number("duration_ratio"), F.lit("x"))
+    totals = F.concat(F.lit("  - Total errors: "), _n("total_errors"), F.lit("\n  - Stuck events: "), _n("total_stuck_events"))
+    drift = F.concat(F.lit("  - Match rate: "), _number("match_rate"), F.lit("\n  - Deviation score: "), _number("deviation_score"))
     faults = _rows_text(errors, F.concat(F.lit("  - "), "action_name", F.lit(": "), "first_errors"), "action_name", "_errors")
     timing = F.concat(F.lit("  - "), "action_name", F.lit(": agent "), _number("agent_avg_s"), F.lit("s vs real user "), _number("real_user_avg_s"),
                       F.lit("s (ratio: "), _number("ratio"), F.lit("x)"))
     slow = _rows_text(deltas, timing, "action_name", "_timing")
     tail = _rows_text(last_k(agent, ["session_id"], "step", LAST_ACTIONS), agent_log_line(), "step", "_tail")
     rows = completion
-    for part in (faults, slow, tail, descriptions.select("session_id", F.substring("text", 1, DESCRIPTION_CHARS).alias("_who"))):
+    rates = deviation.select("session_id", "match_rate", "deviation_score")
+    for part in (faults, slow, tail, stops, rates, descriptions.select("session_id", F.substring("text", 1, DESCRIPTION_CHARS).alias("_who"))):
         rows = rows.join(part, "session_id", "left")
     return rows.select("session_id", F.concat_ws(
-        "\n\n", F.lit(task), _block("PROFILE", F.coalesce("_who", F.lit(""))), metric_table(completion), _block("TIMING", F.coalesce("_timing", F.lit("  None"))),
-        _block("ERRORS", F.coalesce("_errors", F.lit("  None"))), _block("LAST ACTIONS", F.coalesce("_tail", F.lit("  None")))).alias("prompt"))
+        "\n\n", F.lit(task), _block("PROFILE", F.coalesce("_who", F.lit(""))), metric_table(completion), _block("TIMING", F.concat_ws("\n", pace, "_timing")),
+        _block("ERRORS", F.concat_ws("\n", totals, "_errors")), _block("STUCK EVENTS", F.coalesce("_stops", F.lit("  None"))), _block("POLICY DEVIATION", drift),
+        _block("LAST ACTIONS", F.coalesce("_tail", F.lit("  None")))).alias("prompt"))

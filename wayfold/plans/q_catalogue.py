@@ -81,10 +81,11 @@ def todo_policies(t):
 
 
 @query("cluster_catalog", """SELECT coalesce(n.id, s.id) AS cluster_id, coalesce(n_name, 'Cluster ' || coalesce(n.id, s.id)) AS label, s.id IS NOT NULL AS has_adapter
-FROM (SELECT n_nationkey::BIGINT AS id, n_name FROM nation WHERE n_regionkey <> 2) n FULL JOIN (SELECT DISTINCT s_nationkey::BIGINT AS id FROM supplier WHERE s_acctbal > 5000) s ON n.id = s.id""")
+FROM (SELECT n_nationkey::BIGINT AS id, n_name FROM nation) n FULL JOIN (SELECT DISTINCT s_nationkey::BIGINT + 3 AS id FROM supplier) s ON n.id = s.id""")
 def cluster_catalog(t):
-    clusters = t.nation.filter("n_regionkey <> 2").select(F.col("n_nationkey").cast("long").alias("cluster_id"), F.col("n_name").alias("label"))
-    adapters = t.supplier.filter("s_acctbal > 5000").select(F.col("s_nationkey").cast("long").alias("cluster_id"))
+    """Adapters are named three nations on, so that both sides have ids the other lacks."""
+    clusters = t.nation.select(F.col("n_nationkey").cast("long").alias("cluster_id"), F.col("n_name").alias("label"))
+    adapters = t.supplier.select((F.col("s_nationkey").cast("long") + 3).alias("cluster_id"))
     return CA.cluster_catalog(clusters, adapters)
 
 
@@ -181,7 +182,7 @@ def retrain_history(t):
 
 
 @query("last_retrains_kept", """SELECT o_custkey % 5 AS cluster_id, o_orderkey, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey DESC) AS rank FROM orders WHERE o_orderstatus = 'P') WHERE rank <= 5""")
+  SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey DESC) AS rank FROM orders) WHERE rank <= 5""")
 def last_retrains_kept(t):
-    rows = t.orders.filter("o_orderstatus = 'P'").select(F.pmod("o_custkey", F.lit(5)).alias("cluster_id"), "o_orderkey")
+    rows = t.orders.select(F.pmod("o_custkey", F.lit(5)).alias("cluster_id"), "o_orderkey")
     return A.last_k(rows, ["cluster_id"], "o_orderkey", O.RECENT_RETRAINS)

@@ -18,11 +18,11 @@ centroids AS (SELECT label::BIGINT AS cluster_id, list(m ORDER BY pos) AS centro
 dist AS (SELECT vec_id, cluster_id, list_distance(embedding::DOUBLE[], centroid) AS d FROM embeddings CROSS JOIN centroids)"""
 
 
-@query("centroid_means", "WITH" + CENTROIDS + "SELECT cluster_id, len(centroid) AS dims, floor(centroid[1] * 1e6 + 0.5) / 1e6 AS first, floor(centroid[64] * 1e6 + 0.5) / 1e6 AS last FROM centroids")
+@query("centroid_means", "WITH" + CENTROIDS + "SELECT cluster_id, pos, floor(x * 1e6 + 0.5) / 1e6 AS mean FROM (SELECT cluster_id, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS pos FROM centroids)")
 def centroid_means(t):
-    return V.centroid_means(t.embeddings, "label").select(
-        "cluster_id", F.size("centroid").cast("long").alias("dims"),
-        rounded(F.element_at("centroid", 1), 6).alias("first"), rounded(F.element_at("centroid", -1), 6).alias("last"))
+    """Every dimension of every mean."""
+    dims = V.centroid_means(t.embeddings, "label").select("cluster_id", F.posexplode("centroid").alias("_p", "_x"))
+    return dims.select("cluster_id", (F.col("_p") + 1).cast("long").alias("pos"), rounded(F.col("_x"), 6).alias("mean"))
 
 
 @query("distance_matrix", "WITH" + CENTROIDS + "SELECT vec_id, cluster_id, floor(d * 1e6 + 0.5) / 1e6 AS distance FROM dist")

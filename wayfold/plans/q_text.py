@@ -267,30 +267,41 @@ def label_prompt(t):
 AGENT = "WITH " + B.AGENT_SQL
 
 
-@query("narrative_prompt", AGENT + QA.IMPRESSIONS + """,
+@query("narrative_prompt", AGENT + QA.SUMMARY + QA.IMPRESSIONS + """,
 a AS (SELECT session_id, string_agg('  [' || relative_s || 's] ' || action_name || ' on ' || substr(target, 1, 40) || ' - ' || CASE WHEN success THEN 'OK' ELSE 'FAILED: ' || substr(error, 1, 50) END, chr(10) ORDER BY step) AS a
   FROM agent WHERE step <= 20 GROUP BY 1),
 i AS (SELECT session_id, (step - 1) // 10000 AS page, string_agg('  [' || elapsed_s || 's] (' || sentiment || ') ' || substr(context, 1, 80), chr(10) ORDER BY step, sentiment = 'summary') AS i FROM impressions GROUP BY 1, 2),
-p AS (SELECT session_id, page, 'Task.' || chr(10) || chr(10) || 'ACTION LOG:' || chr(10) || a || chr(10) || chr(10) || 'IMPRESSIONS:' || chr(10) || i AS prompt FROM i LEFT JOIN a USING (session_id))
+p AS (SELECT session_id, page, 'Task.' || nl || nl || 'DEMOGRAPHIC PROFILE:' || nl || '- Age group: ' || coalesce(c_mktsegment, 'unknown') || nl || '- Country: ' || coalesce('n' || c_nationkey, 'unknown') || nl
+  || '- NYC familiarity: unknown' || nl || '- Behavioral style: ' || coalesce(c_name, '') || nl || nl || 'SESSION SUMMARY:' || nl || '- Target app: shop' || nl || '- Duration: ' || """ + f0("total_duration_s") + """ || 's' || nl
+  || '- Steps taken: ' || total_actions || nl || '- Successful: ' || successful_actions || nl || '- Failed: ' || failed_actions || nl || nl
+  || 'ACTION LOG:' || nl || a || nl || nl || 'IMPRESSIONS:' || nl || i AS prompt
+  FROM (SELECT *, chr(10) AS nl FROM i) LEFT JOIN a USING (session_id) LEFT JOIN summary USING (session_id) LEFT JOIN customer ON c_custkey = session_id)
 SELECT session_id, page, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def narrative_prompt(t):
     rows = B.stored_agent_log(t)
-    return _with_length(R.narrative_prompt(rows, A.impressions(rows), task="Task."), "session_id", "page")
+    profiles = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("age_group"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("country"),
+                                 F.lit(None).cast("string").alias("nyc_familiarity"), F.col("c_name").alias("description"))
+    return _with_length(R.narrative_prompt(rows, A.impressions(rows), profiles, QA._summary(t), target="shop", task="Task."), "session_id", "page")
 
 
 @query("comparative_prompt", AGENT + QA.SUMMARY + QA.IMPRESSIONS + """,
 f AS (SELECT session_id, string_agg('  [' || sentiment || '] ' || substr(context, 1, 80), chr(10) ORDER BY rn) AS f
   FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step, sentiment) AS rn FROM impressions) WHERE rn <= 5 GROUP BY 1),
-s AS (SELECT session_id, '--- Agent ' || session_id || ' ---' || chr(10) || 'Steps: ' || total_actions || ', Duration: ' || """ + f0("total_duration_s") + """ || 's' || chr(10)
-  || 'Successful: ' || successful_actions || ', Failed: ' || failed_actions || chr(10) || 'Narrative: ' || coalesce(substr("text", 1, 800), '') || chr(10) || f AS s
-  FROM summary LEFT JOIN documents ON doc_id = session_id LEFT JOIN f USING (session_id)),
-p AS (SELECT session_id // 50 AS page, 'Task.' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY session_id) AS prompt FROM s GROUP BY 1)
-SELECT page, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
+fn AS (SELECT session_id, count(*) AS n FROM impressions GROUP BY 1),
+s AS (SELECT session_id, '--- Agent ' || session_id || coalesce(': ' || c_mktsegment, '') || ' ---' || chr(10) || 'Steps: ' || total_actions || ', Duration: ' || """ + f0("total_duration_s") + """ || 's' || chr(10)
+  || 'Successful: ' || successful_actions || ', Failed: ' || failed_actions || chr(10) || 'Impressions: ' || n || chr(10) || 'Narrative: ' || coalesce(substr("text", 1, 800), '') || chr(10) || f AS s
+  FROM summary LEFT JOIN documents ON doc_id = session_id LEFT JOIN f USING (session_id) LEFT JOIN fn USING (session_id) LEFT JOIN customer ON c_custkey = session_id),
+p AS (SELECT session_id // 3 AS run_id, 'Task.' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY session_id) AS prompt FROM s GROUP BY 1)
+SELECT run_id, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def comparative_prompt(t):
+    """Three agents a run."""
     rows = B.stored_agent_log(t)
     narratives = t.documents.select(F.col("doc_id").alias("session_id"), F.col("text").alias("narrative"))
-    sections = R.agent_sections(QA._summary(t), narratives, A.impressions(rows))
-    return _with_length(R.comparative_prompt(sections, task="Task."), "page")
+    labels = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("label"))
+    summary = QA._summary(t)
+    sections = R.agent_sections(summary, narratives, A.impressions(rows), labels)
+    runs = summary.select("session_id", F.floor(F.col("session_id") / 3).cast("long").alias("run_id"))
+    return _with_length(R.comparative_prompt(sections, runs, task="Task."), "run_id")
 
 
 @query("feedback_prompt", REPORT + FAULTS + """,
@@ -298,11 +309,16 @@ tm AS (SELECT session_id, string_agg('  - ' || action_name || ': agent ' || agen
 er AS (SELECT session_id, string_agg('  - ' || action_name || ': ' || first_errors, chr(10) ORDER BY action_name) AS e FROM first_errors GROUP BY 1),
 la AS (SELECT session_id, string_agg('  [' || relative_s || 's] ' || action_name || ' - ' || CASE WHEN success THEN 'OK' ELSE 'FAILED' END || ' (' || duration_s || 's)' || CASE WHEN success THEN '' ELSE ' ERROR: ' || error END, chr(10) ORDER BY step) AS l
   FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step DESC) AS rn FROM agent) WHERE rn <= 20 GROUP BY 1),
-p AS (SELECT session_id, 'Task.' || nl || nl || 'PROFILE:' || nl || coalesce(substr("text", 1, 2000), '') || nl || nl || """ + METRICS + """ || nl || nl || 'TIMING:' || nl || coalesce(t, '  None') || nl || nl
-  || 'ERRORS:' || nl || coalesce(e, '  None') || nl || nl || 'LAST ACTIONS:' || nl || l AS prompt
-  FROM (SELECT *, chr(10) AS nl FROM completion) LEFT JOIN tm USING (session_id) LEFT JOIN er USING (session_id) LEFT JOIN la USING (session_id) LEFT JOIN documents ON doc_id = session_id)
+st AS (SELECT session_id, string_agg('  - Stuck at ' || action_name || ' (Timeout) on ' || coalesce(nullif(page_url, ''), '?'), chr(10) ORDER BY step) AS s FROM stuck GROUP BY 1),
+p AS (SELECT session_id, 'Task.' || nl || nl || 'PROFILE:' || nl || coalesce(substr("text", 1, 2000), '') || nl || nl || """ + METRICS + """ || nl || nl || 'TIMING:' || nl || '  - Agent session duration: ' || agent_duration_s || 's' || nl
+  || '  - Real user session duration: ' || coalesce(real_user_duration_s::VARCHAR, 'N/A') || 's' || nl || '  - Duration ratio: ' || duration_ratio || 'x' || coalesce(nl || t, '') || nl || nl
+  || 'ERRORS:' || nl || '  - Total errors: ' || total_errors || nl || '  - Stuck events: ' || total_stuck_events || coalesce(nl || e, '') || nl || nl || 'STUCK EVENTS:' || nl || coalesce(s, '  None') || nl || nl
+  || 'POLICY DEVIATION:' || nl || '  - Match rate: ' || coalesce(match_rate::VARCHAR, 'N/A') || nl || '  - Deviation score: ' || deviation_score || nl || nl || 'LAST ACTIONS:' || nl || l AS prompt
+  FROM (SELECT *, chr(10) AS nl FROM completion) LEFT JOIN tm USING (session_id) LEFT JOIN er USING (session_id) LEFT JOIN la USING (session_id) LEFT JOIN st USING (session_id)
+  LEFT JOIN (SELECT session_id, match_rate, deviation_score FROM deviation) USING (session_id) LEFT JOIN documents ON doc_id = session_id)
 SELECT session_id, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def feedback_prompt(t):
     rows = B.stored_agent_log(t)
     texts = t.documents.select(F.col("doc_id").alias("session_id"), "text")
-    return _with_length(R.feedback_prompt(QA._completion(t), A.top_errors(rows), QA._deltas(t), rows, texts, task="Task."), "session_id")
+    deviation = A.positional_match(*B.agent_sequences(t))
+    return _with_length(R.feedback_prompt(QA._completion(t), A.top_errors(rows), QA._deltas(t), rows, QA._stuck(t), deviation, texts, task="Task."), "session_id")

@@ -134,13 +134,13 @@ def training_examples(t):
 
 
 DIALOGUE = """
-WITH ex AS (SELECT conv_id % 5 AS cluster_id, conv_id, turn FROM conversations WHERE turn >= 1),
+WITH ex AS (SELECT conv_id % 5 AS cluster_id, conv_id, turn FROM conversations),
 n AS (SELECT cluster_id, count(*) AS n, greatest(1, floor(count(*) * 0.1::DOUBLE)::BIGINT) AS v FROM ex GROUP BY 1),
 c AS (SELECT cluster_id, 'val' AS split, v AS examples FROM n UNION ALL SELECT cluster_id, 'train', n - v FROM n WHERE n > v)"""
 
 
 def _dialogue_split(t):
-    rows = t.conversations.filter(F.col("turn") >= 1).select(F.pmod("conv_id", F.lit(5)).alias("cluster_id"), "conv_id", "turn")
+    rows = t.conversations.select(F.pmod("conv_id", F.lit(5)).alias("cluster_id"), "conv_id", "turn")
     return TR.sequence_split(rows, "cluster_id", ["conv_id", "turn"])
 
 
