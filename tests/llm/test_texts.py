@@ -216,3 +216,12 @@ def test_digests_against_a_plain_version(small):
     long = [i for i, t in docs if len(t) > 500]
     assert np.mean([found[i]["near_edited"] for i in long]) > np.mean([found[i]["near_next"] for i in long]) + 0.2
     assert quartile_digest.likeness("00" * 34, "00" * 34) == 1.0
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    import time
+
+    text = "é" * 400_000 + " call +1 555 010 9999 or a" + "b" * 400_000
+    start = time.perf_counter()
+    assert [i[0] for i in P.instances(text)] == ["phone"]
+    assert time.perf_counter() - start < 5
