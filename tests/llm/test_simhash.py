@@ -73,3 +73,74 @@ def test_documents_against_all_pairs(small):
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.fingerprints_and_components(small).collect()}
     assert found == {d: (f"{f:016x}", least[want[f]]) for d, f in rows}
     assert sorted(r["doc_id"] for r in S.keep_one(small).collect()) == sorted(set(least.values()))
+
+
+def fives(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def shared(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited_words(words, rng, edits):
+    out = list(words)
+    for at in rng.choice(len(out), edits, replace=False):
+        out[at] = f"changed{rng.integers(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("limit", [40, 100_000])
+def test_near_copies_join_and_others_stay_apart(spark, limit):
+    rng = np.random.default_rng(5)
+    pool = [f"w{i}" for i in range(3000)]
+    rows, doc = [], 0
+    for group in range(30):
+        words = list(rng.choice(pool, 300))
+        for text in [" ".join(words), *(edited_words(words, rng, 4) for _ in range(3)), edited_words(words, rng, 90)]:
+            rows.append((doc, group, text))
+            doc += 1
+    df = spark.createDataFrame([(d, t) for d, _, t in rows] + [(None, None), (1000, ""), (1001, "  "), (1002, "one two")], "doc_id long, text string").repartition(5)
+    root = {r["doc_id"]: r["root"] for r in S.near_copies(df, run_limit=limit).collect()}
+    for d, _, t in rows:
+        first, far = d // 5 * 5, d % 5 == 4
+        assert (root[d] == root[first]) == (not far), shared(fives(rows[first][2]), fives(t))
+    assert root[None] == root[1000] == root[1001] != root[1002] and len({root[d] for d, _, _ in rows}) == 60
+    assert S.keep_one_near_copy(df, run_limit=limit).count() == 62
+
+
+def test_near_copies_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: fives(r["text"]) for r in docs.collect()}
+    root = {r["doc_id"]: r["root"] for r in S.near_copies(docs).collect()}
+    holders, pairs = {}, {}
+    for d, five in text.items():
+        for f in five:
+            holders.setdefault(f, []).append(d)
+    for held in holders.values():
+        for i, a in enumerate(held[:200]):
+            for b in held[i + 1 :]:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    like = {p: n / (len(text[p[0]]) + len(text[p[1]]) - n) for p, n in pairs.items()}
+    near = [p for p in like if like[p] >= 0.8]
+    found = [p for p in near if root[p[0]] == root[p[1]]]
+    assert len(near) > 80 and len(found) >= 0.95 * len(near)
+    kin = {}
+    for (a, b), s in like.items():
+        if s >= 0.7:
+            kin.setdefault(a, set()).add(b)
+            kin.setdefault(b, set()).add(a)
+    for d, r in root.items():
+        assert kin.get(d) or list(root.values()).count(r) == 1
+
+
+def test_sketches_estimate_the_share(small):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    one = S.near_print(" ".join(words))
+    for edits in (0, 4, 20, 200):
+        text = edited_words(words, rng, edits)
+        other = np.frombuffer(one[2], np.uint8) ^ np.frombuffer(S.near_print(text)[2], np.uint8)
+        agree = ((other & 15) == 0).sum() + ((other >> 4) == 0).sum()
+        assert abs((agree / S.SKETCH * 16 - 1) / 15 - shared(fives(" ".join(words)), fives(text))) < 0.15

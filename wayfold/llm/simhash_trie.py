@@ -9,13 +9,18 @@ pairs of deeper nodes over the cluster (every node pair within the budget is kep
 Links are needed for components only, so a run gives a spanning forest of its links, not all pairs.  Equal
 fingerprints are one node from the start: a group of copies, however large, is one row.
 
+``keep_one_near_copy`` is for similarity instead of bits: near copies share 80 % of their five-word shingles, which
+puts one fingerprint some five bits apart.  Several fingerprints of independent hashes are joined, each with a small
+budget, and a pair of leaves links only if min-hash sketches of the five-word shingles agree as well.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a
 component; a null doc_id is never a component id unless its component has no other; empty input, empty output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,14 @@ RUN_LIMIT = 100_000
 #: Bits by which a larger run is parted in each round.
 PART_BITS = 4
 
+#: Near copies: shared share of five-word shingles, and fingerprints over word pairs that look for them.
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+PRINTS, PRINT_SHINGLE, PRINT_BITS = 3, 2, 6
+#: Values of a sketch, four bits each, and how far the share they estimate may fall short (one standard deviation).
+SKETCH, SLACK = 128, 0.035
+#: Fingerprints compared with as many others at once.
+TILE = 256
+
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit number; hashes are XXH64 with seed 42."""
@@ -69,16 +82,22 @@ def _blocks(k: int) -> list[tuple[int, int]]:
 
 def walk(left: np.ndarray, right: np.ndarray, same: bool, k: int) -> Iterator[tuple[int, int]]:
     """Index pairs of two sorted arrays of different uint64 that differ in at most k bits; i < j if ``same``."""
+    for a, b, c, d in leaves(left, right, same, k):
+        differ = np.bitwise_count(left[a:b, None] ^ right[None, c:d]) <= k
+        for i, j in zip(*np.nonzero(differ)):
+            if not same or a + i < c + j:
+                yield a + int(i), c + int(j)
+
+
+def leaves(left: np.ndarray, right: np.ndarray, same: bool, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """Pairs of ranges of two sorted uint64 arrays under which all pairs within k bits lie."""
     small = 24
     stack = [(0, len(left), 0, len(right), BITS - 1, 0)]
     while stack:
         a, b, c, d, bit, spent = stack.pop()
         twin = same and a == c
         if (b - a) * (d - c) <= small * small or bit < 0:
-            differ = np.bitwise_count(left[a:b, None] ^ right[None, c:d]) <= k
-            for i, j in zip(*np.nonzero(differ)):
-                if not same or a + i < c + j:
-                    yield a + int(i), c + int(j)
+            yield a, b, c, d
             continue
         mask = np.uint64((1 << bit) - 1)
         top = np.uint64(1 << bit)
@@ -116,30 +135,63 @@ def _forest(run: np.ndarray, side: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def _join_runs(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _runs_of(frame: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    key = frame[["block", "run"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+    for lo, hi in zip(starts, np.r_[starts[1:], len(frame)]):
+        if hi - lo > 1:
+            yield int(lo), int(hi)
+
+
+def _bit_links(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Linked fingerprints, turned back."""
+    turned, side = frame["turned"].to_numpy(np.int64).view(np.uint64), frame["side"].to_numpy()
+    cells = []
+    for lo, hi in _runs_of(frame):
+        back = _blocks(k)[int(frame["block"].iat[lo])][0]
+        for pair in _forest(turned[lo:hi], side[lo:hi], k):
+            cells.append(tuple(((x >> back) | (x << (BITS - back))) & (2**BITS - 1) for x in pair))
+    pairs = np.array(cells, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _similar_forest(turned: np.ndarray, side: np.ndarray, sketch: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
+    """Index pairs that join what is within k bits and agrees in ``least`` sketch values; sides as in ``_forest``."""
+    mine, theirs = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    if not len(mine) or not len(theirs):
+        return []
+    left, right, label, out = turned[mine], turned[theirs], np.arange(len(turned)), []
+    for a, b, c, d in leaves(left, right, not side.any(), k):
+        for i0 in range(a, b, TILE):
+            for j0 in range(c, d, TILE):
+                x, y = mine[i0 : min(b, i0 + TILE)], theirs[j0 : min(d, j0 + TILE)]
+                near = np.bitwise_count(turned[x, None] ^ turned[None, y]) <= k
+                i, j = np.nonzero(near & (label[x, None] != label[None, y]))  # what is joined already is not asked again
+                if not len(i):
+                    continue
+                other = sketch[x[i]] ^ sketch[y[j]]
+                agree = ((other & 15) == 0).sum(1) + ((other >> 4) == 0).sum(1)
+                for p, q in zip(x[i[agree >= least]], y[j[agree >= least]]):
+                    if label[p] != label[q]:
+                        label[label == label[q]] = label[p]
+                        out.append((int(p), int(q)))
+    return out
+
+
+def _similar_links(frame: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
+    """Linked nodes."""
+    turned, side, node = frame["turned"].to_numpy(np.int64).view(np.uint64), frame["side"].to_numpy(), frame["node"].to_numpy()
+    cells = []
+    for lo, hi in _runs_of(frame):
+        sketch = np.frombuffer(b"".join(frame["sketch"].iloc[lo:hi]), np.uint8).reshape(hi - lo, -1)
+        cells += [(node[lo + i], node[lo + j]) for i, j in _similar_forest(turned[lo:hi], side[lo:hi], sketch, k, least)]
+    return pd.DataFrame(cells, columns=["a", "b"], dtype=object)
+
+
+def _join_runs(batches: Iterator[pd.DataFrame], give: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by run, then fingerprint; a run may reach over batches."""
     held: list[pd.DataFrame] = []
 
-    def links(frame: pd.DataFrame) -> list[tuple[int, int, int]]:
-        key = frame[["block", "run"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-        ends = np.r_[starts[1:], len(frame)]
-        turned, side = frame["turned"].to_numpy(np.int64).view(np.uint64), frame["side"].to_numpy()
-        out = []
-        for lo, hi in zip(starts, ends):
-            if hi - lo > 1:
-                out += [(int(frame["block"].iat[lo]), a, b) for a, b in _forest(turned[lo:hi], side[lo:hi], k)]
-        return out
-
-    def give(frame: pd.DataFrame) -> pd.DataFrame:
-        found = links(frame)
-        cells = []
-        for block, a, b in found:
-            back = _blocks(k)[block][0]
-            cells.append(tuple(((x >> back) | (x << (BITS - back))) & (2**BITS - 1) for x in (a, b)))
-        pairs = np.array(cells, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
     for batch in batches:
         if not len(batch):
             continue
@@ -148,7 +200,8 @@ def _join_runs(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame
         if tail.all() and held and (held[0]["block"].iat[0], held[0]["run"].iat[0]) == last:
             held.append(batch)
             continue
-        yield give(pd.concat([*held, batch[~tail]], ignore_index=True)) if held or not tail.all() else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if held or not tail.all():
+            yield give(pd.concat([*held, batch[~tail]], ignore_index=True))
         held = [batch[tail]]
     if held:
         yield give(pd.concat(held, ignore_index=True))
@@ -158,22 +211,25 @@ def _turn(fp: Column, by: int) -> Column:
     return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
-def links(prints: DataFrame, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """``a, b``: links between different fingerprints (column ``fp``, distinct) that connect all within k bits."""
-    turned = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(_turn(F.col("fp"), at), BITS - width).alias("run"), _turn(F.col("fp"), at).alias("turned")) for i, (at, width) in enumerate(_blocks(k))])
-    rows = prints.select(F.explode(turned).alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"))
-    rows = materialize(rows)
-    depth = max(w for _, w in _blocks(k)) + 1
-    ready = []
+def _turned(fps: list[Column], k: int) -> Column:
+    """One entry for each block of each fingerprint, that block leading."""
+    cells = [(fp, at, width) for fp in fps for at, width in _blocks(k)]
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(_turn(fp, at), BITS - width).alias("run"), _turn(fp, at).alias("turned")) for i, (fp, at, width) in enumerate(cells)]))
+
+
+def _parted(rows: DataFrame, k: int, run_limit: int, extra: list[str]) -> list[DataFrame]:
+    """``rows`` (``block, run, turned, side, spent`` and ``extra``) in tables whose runs have at most ``run_limit`` rows."""
+    depth, ready = max(w for _, w in _blocks(k)) + 1, []
+    thin = not extra  # rows with sketches are wide: runs of one row cost less in the join than a shuffle to leave them out
     while True:
         sizes = rows.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("n > 1 AND (lo = 0 OR lo < hi)")
         big = materialize(sizes.filter(F.col("n") > run_limit).select("block", "run", F.lit(True).alias("big")))
         if depth >= BITS or not big.limit(1).count():
-            ready.append(rows.join(sizes.select("block", "run"), ["block", "run"], "left_semi"))
+            ready.append(rows.join(sizes.select("block", "run"), ["block", "run"], "left_semi") if thin else rows)
             break
         marked = rows.join(big, ["block", "run"], "left")
         fine = marked.filter("big IS NULL").drop("big")
-        ready.append(fine.join(sizes.select("block", "run"), ["block", "run"], "left_semi"))
+        ready.append(fine.join(sizes.select("block", "run"), ["block", "run"], "left_semi") if thin else fine)
         width = min(PART_BITS, BITS - depth)
         own = F.shiftrightunsigned(F.col("turned"), BITS - depth - width).bitwiseAND(F.lit((1 << width) - 1))
         flips = [x for x in range(1 << width) if bin(x).count("1") <= k]
@@ -183,16 +239,26 @@ def links(prints: DataFrame, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> D
         parted = parted.filter(F.col("spent") + F.col("p.c") <= k).filter((F.col("side") == 0) | (F.col("p.w") == 0) | (F.col("p.w") == F.col("side")) | (F.col("p.w") == 3 - F.col("side")))
         side = F.when(F.col("side") == 0, F.col("p.w")).otherwise(F.col("side"))
         turn = F.when((F.col("side") == 0) | (F.col("p.w") == 0), F.lit(0)).otherwise(F.when(F.col("p.w") == F.col("side"), 1).otherwise(2))
-        rows = materialize(parted.select("block", F.xxhash64("run", "p.s", "p.t", turn, F.lit(depth)).alias("run"), "turned", side.alias("side"), (F.col("spent") + F.col("p.c")).alias("spent")))
-        depth += width
+        rows = materialize(parted.select("block", F.xxhash64("run", "p.s", "p.t", turn, F.lit(depth)).alias("run"), "turned", side.alias("side"), (F.col("spent") + F.col("p.c")).alias("spent"), *extra))
+        depth, thin = depth + width, True
+    return ready
+
+
+def _joined(ready: list[DataFrame], give: Callable[[pd.DataFrame], pd.DataFrame], extra: list[str], schema: str) -> DataFrame:
     out = None
     for part in ready:
-        spread = part.select("block", "run", "turned", "side").repartition("block", "run").sortWithinPartitions("block", "run", F.col("turned") < 0, "turned")
-        found = spread.mapInPandas(lambda it: _join_runs(it, k), "a long, b long")
+        spread = part.select("block", "run", "turned", "side", *extra).repartition("block", "run").sortWithinPartitions("block", "run", F.col("turned") < 0, "turned")
+        found = spread.mapInPandas(lambda it: _join_runs(it, give), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def links(prints: DataFrame, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """``a, b``: links between different fingerprints (column ``fp``, distinct) that connect all within k bits."""
+    rows = prints.select(_turned([F.col("fp")], k).alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"))
+    return _joined(_parted(materialize(rows), k, run_limit, []), lambda frame: _bit_links(frame, k), [], "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """``doc_id, text_md5, fp, component_id, keeper``: one row an input row; ``keeper`` marks the row that stays."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -213,9 +279,80 @@ def fingerprints_and_components(docs: DataFrame, **how) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id, of equal ids the least text digest."""
-    found = near_duplicates(docs, **how)
+    return _one_of_each(docs, near_duplicates(docs, **how))
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("text_md5").alias("m"))).alias("s")).select(F.col("s.d").alias("_d"), F.col("s.m").alias("_m"))
     md5 = fresh("_md5", docs.columns)
     rows = docs.withColumn(md5, F.md5(F.coalesce("text", F.lit(""))))
     kept = rows.join(stay.distinct(), rows["doc_id"].eqNullSafe(stay["_d"]) & (rows[md5] == stay["_m"]), "left_semi")
     return kept.dropDuplicates(["doc_id", md5]).drop(md5)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers spread over each other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = _mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * _STEP)
+_SEEDS = np.arange(PRINTS, dtype=np.uint64) * _STEP
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` word hashes; of the whole sequence, if it is shorter."""
+    n = max(1, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(words))):
+        out = _mixed(out * _STEP + words[i : i + n])
+    return out
+
+
+def near_print(text: str | None) -> tuple[str, list[int], bytes]:
+    """Digest of the lowered words, fingerprints of independent hashes, and the sketch; zeros without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    node = hashlib.md5(b" ".join(words)).hexdigest()
+    if not words:
+        return node, [0] * PRINTS, bytes(SKETCH // 2)
+    hashes = np.fromiter(map(_XXH, words), np.uint64, len(words))
+    pairs, prints = _shingles(hashes, PRINT_SHINGLE), []
+    for t in range(PRINTS):
+        ones = np.zeros(BITS, np.int64)
+        for lo in range(0, len(pairs), 65536):
+            some = _mixed(pairs[lo : lo + 65536] + _SEEDS[t])
+            ones += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        prints.append(int(np.packbits(2 * ones > len(pairs)).view(">i8")[0]))
+    fives, least = np.unique(_shingles(hashes, SIMILAR_SHINGLE)), np.full(SKETCH, 2**64 - 1, np.uint64)
+    for lo in range(0, len(fives), 2048):
+        least = np.minimum(least, ((fives[lo : lo + 2048, None] ^ _SALTS) * (_SALTS | np.uint64(1))).min(0))
+    values = (_mixed(least) & np.uint64(15)).astype(np.uint8)
+    return node, prints, (values[::2] * 16 + values[1::2]).tobytes()
+
+
+def near_prints(text: Column) -> Column:
+    @F.pandas_udf("node string, prints array<long>, sketch binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([near_print(t) for t in texts], columns=["node", "prints", "sketch"])
+
+    return run(text)
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """``doc_id, text_md5, root``: rows that a chain of near copies connects have one ``root``."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = materialize(rows.select("doc_id", F.md5("text").alias("text_md5"), near_prints(F.col("text")).alias("p")).select("doc_id", "text_md5", "p.*"))
+    nodes = materialize(found.select("node", "prints", "sketch").dropDuplicates(["node"]))
+    least = int(np.ceil(SKETCH * (1 + 15 * (similarity - SLACK)) / 16))
+    turned = _turned([F.element_at("prints", t + 1) for t in range(PRINTS)], PRINT_BITS)
+    rows = nodes.select("node", "sketch", turned.alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"), "node", "sketch")
+    edges = _joined(_parted(rows, PRINT_BITS, run_limit, ["node", "sketch"]), lambda frame: _similar_links(frame, PRINT_BITS, least), ["node", "sketch"], "a string, b string")
+    near = materialize(components(edges))
+    return found.select("doc_id", "text_md5", "node").join(near, "node", "left").select("doc_id", "text_md5", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one_near_copy(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one row of each group of near copies, chosen as ``keep_one`` does."""
+    return _one_of_each(docs, near_copies(docs, **how))
