@@ -144,3 +144,33 @@ def test_sketches_estimate_the_share(small):
         other = np.frombuffer(one[2], np.uint8) ^ np.frombuffer(S.near_print(text)[2], np.uint8)
         agree = ((other & 15) == 0).sum() + ((other >> 4) == 0).sum()
         assert abs((agree / S.SKETCH * 16 - 1) / 15 - shared(fives(" ".join(words)), fives(text))) < 0.15
+
+
+def block_edited(words, rng, kind, size):
+    at, new = int(rng.integers(1, len(words) - size)), [f"new{x}" for x in rng.integers(0, 10**6, size)]
+    return {"appended": words + new, "inserted": words[:at] + new + words[at:], "cut": words[:at] + words[at + size :], "replaced": words[:at] + new + words[at + size :]}[kind]
+
+
+@pytest.mark.parametrize("limit", [4, 100_000])
+def test_block_edits_against_all_pairs(spark, limit):
+    rng = np.random.default_rng(11)
+    texts = []
+    for length in (60, 300, 2000):
+        for kind in ("appended", "inserted", "cut", "replaced"):
+            for share in (0.04, 0.08, 0.1, 0.14, 0.18, 0.22, 0.28):
+                words = [f"w{x}" for x in rng.integers(0, 5000, length)]
+                texts += [" ".join(words), " ".join(block_edited(words, rng, kind, int(length * share)))]
+    passage = [f"same{i}" for i in range(40)]
+    texts += [" ".join(passage + [f"t{i}x{j}" for j in range(6 + i % 5)]) for i in range(40)]
+    sets = [fives(t) for t in texts]
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and shared(sets[i], sets[j]) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    root = {r["doc_id"]: r["root"] for r in S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), run_limit=limit).collect()}
+    assert 0 < sum(want[i] == want[i + 1] for i in range(0, 168, 2)) < 84
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (root[i] == root[j]) == (want[i] == want[j]), (i, j, shared(sets[i], sets[j]))

@@ -9,9 +9,11 @@ pairs of deeper nodes over the cluster (every node pair within the budget is kep
 Links are needed for components only, so a run gives a spanning forest of its links, not all pairs.  Equal
 fingerprints are one node from the start: a group of copies, however large, is one row.
 
-``keep_one_near_copy`` is for similarity instead of bits: near copies share 80 % of their five-word shingles, which
-puts one fingerprint some five bits apart.  Several fingerprints of independent hashes are joined, each with a small
-budget, and a pair of leaves links only if min-hash sketches of the five-word shingles agree as well.
+``keep_one_near_copy`` is for similarity instead of bits: near copies share 80 % of their five-word shingles, counted
+exactly.  Sets that share so much have one of their first fifth of shingles in common, in any order that is the same
+for all (prefix filter), so a join on those finds every pair, whatever the edit; each is then counted.  Common
+shingles come last in the order.  A shingle that many texts have is first joined within random groups; what that
+connects is not asked again, all other pairs are.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a
 component; a null doc_id is never a component id unless its component has no other; empty input, empty output.
@@ -40,13 +42,14 @@ RUN_LIMIT = 100_000
 #: Bits by which a larger run is parted in each round.
 PART_BITS = 4
 
-#: Near copies: shared share of five-word shingles, and fingerprints over word pairs that look for them.
+#: Near copies: shared share of five-word shingles.
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-PRINTS, PRINT_SHINGLE, PRINT_BITS = 3, 2, 6
-#: Values of a sketch, four bits each, and how far the share they estimate may fall short (one standard deviation).
-SKETCH, SLACK = 128, 0.035
-#: Fingerprints compared with as many others at once.
-TILE = 256
+#: Texts of one shingle that are compared with each other at once; more are first compared in random groups.
+LIST_LIMIT = 16
+#: Order of the shingles: texts looked at, and the most shingles that are set last. It decides on speed, not on results.
+ORDER_TEXTS, ORDER_MOST = 4000, 100_000
+#: Fingerprints over word pairs and values of a sketch, four bits each: an estimate of the share for single texts.
+PRINTS, PRINT_SHINGLE, SKETCH = 3, 2, 128
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -155,39 +158,6 @@ def _bit_links(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _similar_forest(turned: np.ndarray, side: np.ndarray, sketch: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
-    """Index pairs that join what is within k bits and agrees in ``least`` sketch values; sides as in ``_forest``."""
-    mine, theirs = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    if not len(mine) or not len(theirs):
-        return []
-    left, right, label, out = turned[mine], turned[theirs], np.arange(len(turned)), []
-    for a, b, c, d in leaves(left, right, not side.any(), k):
-        for i0 in range(a, b, TILE):
-            for j0 in range(c, d, TILE):
-                x, y = mine[i0 : min(b, i0 + TILE)], theirs[j0 : min(d, j0 + TILE)]
-                near = np.bitwise_count(turned[x, None] ^ turned[None, y]) <= k
-                i, j = np.nonzero(near & (label[x, None] != label[None, y]))  # what is joined already is not asked again
-                if not len(i):
-                    continue
-                other = sketch[x[i]] ^ sketch[y[j]]
-                agree = ((other & 15) == 0).sum(1) + ((other >> 4) == 0).sum(1)
-                for p, q in zip(x[i[agree >= least]], y[j[agree >= least]]):
-                    if label[p] != label[q]:
-                        label[label == label[q]] = label[p]
-                        out.append((int(p), int(q)))
-    return out
-
-
-def _similar_links(frame: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
-    """Linked nodes."""
-    turned, side, node = frame["turned"].to_numpy(np.int64).view(np.uint64), frame["side"].to_numpy(), frame["node"].to_numpy()
-    cells = []
-    for lo, hi in _runs_of(frame):
-        sketch = np.frombuffer(b"".join(frame["sketch"].iloc[lo:hi]), np.uint8).reshape(hi - lo, -1)
-        cells += [(node[lo + i], node[lo + j]) for i, j in _similar_forest(turned[lo:hi], side[lo:hi], sketch, k, least)]
-    return pd.DataFrame(cells, columns=["a", "b"], dtype=object)
-
-
 def _join_runs(batches: Iterator[pd.DataFrame], give: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by run, then fingerprint; a run may reach over batches."""
     held: list[pd.DataFrame] = []
@@ -332,25 +302,90 @@ def near_print(text: str | None) -> tuple[str, list[int], bytes]:
     return node, prints, (values[::2] * 16 + values[1::2]).tobytes()
 
 
-def near_prints(text: Column) -> Column:
-    @F.pandas_udf("node string, prints array<long>, sketch binary")
+def shingle_set(text: str | None) -> np.ndarray:
+    """Different hashes of the five-word shingles, ascending; of all words, if they are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(_shingles(np.fromiter(map(_XXH, words), np.uint64, len(words)), SIMILAR_SHINGLE)).view(np.int64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's hashes: a set that shares ``similarity`` with it has one of them among its own first."""
+    last = np.isin(hashes, common)
+    ordered = np.concatenate([hashes[~last], hashes[last]])
+    return ordered[: len(ordered) - int(np.ceil(similarity * len(ordered) - 1e-9)) + 1]
+
+
+def _common(rows: DataFrame) -> np.ndarray:
+    """Shingles of many texts, from some of the texts."""
+    every = max(1, rows.count() // ORDER_TEXTS)
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"token": np.concatenate([shingle_set(t) for t in batch["text"]] or [np.zeros(0, np.int64)])})
+
+    counts = some.mapInPandas(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return np.sort(np.array([r["token"] for r in counts.filter(F.col("n") >= max(8, ORDER_TEXTS // 400)).orderBy(F.desc("n"), "token").limit(ORDER_MOST).collect()], np.int64))
+
+
+def _prefixes(text: Column, common: np.ndarray, similarity: float) -> Column:
+    @F.pandas_udf("node string, n int, tokens array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([near_print(t) for t in texts], columns=["node", "prints", "sketch"])
+        out = []
+        for t in texts:
+            hashes = shingle_set(t)
+            node = hashlib.md5(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())).hexdigest()
+            out.append((node, len(hashes), prefix(hashes, common, similarity)))
+        return pd.DataFrame(out, columns=["node", "n", "tokens"])
 
     return run(text)
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, run_limit: int = RUN_LIMIT) -> DataFrame:
+def _pairs(rows: DataFrame, on: list[str], similarity: float, apart: bool = False) -> DataFrame:
+    """``a, b``: different nodes that meet in ``on`` and can share enough by their sizes and the place of the shingle."""
+    other = rows.select(*on, *[F.col(c).alias(f"{c}_") for c in rows.columns if c not in on])
+    need = (F.col("n") + F.col("n_")) * (similarity / (1 + similarity)) - 1e-6
+    met = rows.join(other, on).filter((F.col("id") < F.col("id_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= need))
+    return (met.filter("root <> root_") if apart else met).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` that share at least ``similarity`` of their shingles, counted."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t) for t in texts], dtype=object)
+
+    pairs = materialize(pairs)
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = rows.join(nodes.join(asked, "id").select("id", "text_md5"), "text_md5").groupBy("id").agg(F.first("text").alias("text"))
+    sets = materialize(texts.select("id", run(F.col("text")).alias("s")))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
+    same = F.size(F.array_intersect("s", "t"))
+    return materialize(both.select("a", "b", same.alias("same"), (F.size("s") + F.size("t")).alias("sum")).filter(F.col("same") / (F.col("sum") - F.col("same")) >= similarity).select("a", "b"))
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, run_limit: int = LIST_LIMIT) -> DataFrame:
     """``doc_id, text_md5, root``: rows that a chain of near copies connects have one ``root``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = materialize(rows.select("doc_id", F.md5("text").alias("text_md5"), near_prints(F.col("text")).alias("p")).select("doc_id", "text_md5", "p.*"))
-    nodes = materialize(found.select("node", "prints", "sketch").dropDuplicates(["node"]))
-    least = int(np.ceil(SKETCH * (1 + 15 * (similarity - SLACK)) / 16))
-    turned = _turned([F.element_at("prints", t + 1) for t in range(PRINTS)], PRINT_BITS)
-    rows = nodes.select("node", "sketch", turned.alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"), "node", "sketch")
-    edges = _joined(_parted(rows, PRINT_BITS, run_limit, ["node", "sketch"]), lambda frame: _similar_links(frame, PRINT_BITS, least), ["node", "sketch"], "a string, b string")
+    by_md5 = rows.select(F.md5("text").alias("text_md5"), "text")
+    found = materialize(rows.select("doc_id", F.md5("text").alias("text_md5"), _prefixes(F.col("text"), _common(rows), similarity).alias("p")).select("doc_id", "text_md5", "p.*"))
+    nodes = found.groupBy("node").agg(F.min("text_md5").alias("text_md5"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
+    tokens = nodes.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    lists = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    held = materialize(tokens.join(lists, "token"))
+    group = F.when(F.col("many") > run_limit, F.pmod(F.xxhash64("token", "id"), F.ceil(F.col("many") / run_limit))).otherwise(0)
+    edges = _alike(_pairs(held.withColumn("part", group).drop("many"), ["token", "part"], similarity), nodes, by_md5, similarity)
     near = materialize(components(edges))
-    return found.select("doc_id", "text_md5", "node").join(near, "node", "left").select("doc_id", "text_md5", F.coalesce("root", "node").alias("root"))
+    wide = held.filter(F.col("many") > run_limit).drop("many").join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    wide = materialize(wide)
+    mixed = wide.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    rest = _pairs(wide.join(mixed, "token", "left_semi"), ["token"], similarity, apart=True)
+    if not rest.isEmpty():
+        near = materialize(components(edges.unionByName(_alike(rest, nodes, by_md5, similarity))))
+    ids = nodes.join(near.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    return found.select("doc_id", "text_md5", "node").join(ids, "node").select("doc_id", "text_md5", "root")
 
 
 def keep_one_near_copy(docs: DataFrame, **how) -> DataFrame:
