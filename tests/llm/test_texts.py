@@ -225,3 +225,35 @@ def test_long_texts_without_spaces_take_linear_time():
     start = time.perf_counter()
     assert [i[0] for i in P.instances(text)] == ["phone"]
     assert time.perf_counter() - start < 5
+
+
+def test_languages_without_a_reference_are_left_to_the_base_rules(spark):
+    rng = np.random.default_rng(4)
+    common = [f"the{i}" for i in range(30)]
+
+    def prose(letters, n, often=()):
+        return " ".join("".join(rng.choice(list(letters), 5)) if rng.random() < 0.6 or not often else str(rng.choice(often)) for _ in range(n))
+
+    rows = [(i, prose("abcdefghij", 200, common), "en") for i in range(30)]
+    rows += [(100, prose("абвгдежзик", 80), "ru"), (101, prose("αβγδεζηθικ", 80), None), (102, prose("klmnopqrst", 80), "xx"), (103, prose("abcdefghij", 80, common), None)]
+    rows += [(104, " ".join(common[i % 30] + "#$%&" * 4 for i in range(60)) + " " + " ".join(common[:20]), "en"), (105, " ".join(common[i % 30] + f"{i}#$%&" * 4 for i in range(60)) + " " + " ".join(common[:20]), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = {r["doc_id"]: r for r in divergence.quality(docs).collect()}
+    assert all(found[i]["kept"] for i in [*range(30), 100, 101, 102, 103]) and len(found) == len(rows)
+    assert [found[i]["class_distance"] for i in (100, 101, 102)] == [None] * 3 and found[103]["class_distance"] is not None
+    assert not found[105]["kept"]
+    kept = {r["doc_id"] for r in divergence.keep_good(docs).collect()}
+    assert kept == {i for i, r in found.items() if r["kept"]}
+    refs = divergence.references(docs)
+    assert all(divergence.judge(t, g, refs)[6] == found[i]["kept"] for i, t, g in rows)
+
+
+def test_references_beyond_one_block_and_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "NULL_BLOCK", 2)
+    rows = [(k, " ".join(f"w{k}x{i % 50}" if i % 3 else f"r{k}{i}" for i in range(1200)), f"l{k}") for k in range(5)]
+    rows += [(100 + k, " ".join(f"w{k}x{i}" if i % 2 else f"q{i}" for i in range(100)), None) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in divergence.quality(docs).collect()}
+    refs = divergence.references(docs)
+    for i, t, g in rows:
+        assert found[i]["word_distance"] == divergence.judge(t, g, refs)[8] is not None

@@ -4,13 +4,14 @@ A document's histogram of character classes and its histogram of the language's
 with those of its language over the whole corpus, by Jensen-Shannon distance (0 to 1).  Histograms of short
 texts are noise, so each comparison has a least length under which it does not count.
 
-Defined results: null text has no word and fails the base rules; a null or unreferenced language is compared
-with every reference and the nearest counts; without any reference the base rules alone decide; repeated rows
-get equal verdicts; empty input, empty output.
+Defined results: null text has no word and fails the base rules; without a reference of its language the base
+rules alone decide on a document; where the language is null, the reference counts whose common words are most of
+the text, if they are enough to be in that language; repeated rows get equal verdicts; empty input, empty output.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,15 +20,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import words_of
+from wayfold.llm.common import fresh, words_of
+from wayfold.session import materialize
 
 COMMON_WORDS = 100
-#: References: at most so many languages, the largest first; documents of others are compared with the nearest.
-MAX_LANGUAGES = 1000
+#: Words of a language that make a reference.
 MIN_REFERENCE_WORDS = 1000
+#: References that a row without language is compared with at once; further ones follow.
+NULL_BLOCK = 1000
 MIN_CHARS, MIN_WORDS = 200, 60
 #: Between labelled good texts (up to 0.29 and 0.45) and labelled bad ones (from 0.33 and 0.53, mostly).
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.5
+#: Share of a language's common words from which a text is in it: labelled good texts have 0.18 or more of their
+#: own, 95 % of all texts at most 0.033 of another.
+SAME_LANGUAGE = 0.1
 FLUSH = 200_000
 
 _SYMBOLS = b"#*$%&|<>"
@@ -107,31 +113,50 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def references(docs: DataFrame, top: int = COMMON_WORDS) -> list[dict]:
-    """For each language its words, their counts with that of all others last, and its class counts.
-
-    Everything is counted over the whole table; what reaches the driver is the ``top`` words of at most
-    ``MAX_LANGUAGES`` languages.
-    """
+def reference_table(docs: DataFrame, top: int = COMMON_WORDS) -> DataFrame:
+    """``lang, ref``: for each language with enough words its commonest words and class counts, as JSON."""
     counted = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(_count, "lang string, kind int, item string, n long")
-    sums = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    sums = materialize(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    from wayfold.session import materialize
-
-    sums = materialize(sums)
     ranked = sums.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top)
-    totals = sums.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= MIN_REFERENCE_WORDS).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
-    out: dict[str, dict] = {}
-    for r in ranked.join(totals, "lang").orderBy("lang", "kind", "r").collect():
-        ref = out.setdefault(r["lang"], {"lang": r["lang"], "words": {}, "word_counts": [], "classes": [0.0] * 8, "total": r["total"]})
-        if r["kind"] == 0:
-            ref["words"][r["item"].encode()] = len(ref["words"])
-            ref["word_counts"].append(r["n"])
-        else:
-            ref["classes"][int(r["item"])] = float(r["n"])
-    for ref in out.values():
-        ref["word_counts"].append(ref["total"] - sum(ref["word_counts"]))
-    return list(out.values())
+    totals = sums.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= MIN_REFERENCE_WORDS)
+    items = F.array_sort(F.collect_list(F.struct("kind", "r", "item", "n")))
+    return materialize(ranked.join(totals, "lang").groupBy("lang").agg(F.to_json(F.struct("lang", F.first("total").alias("total"), items.alias("items"))).alias("ref")))
+
+
+def _reference(ref: str) -> dict:
+    """A reference: its words, their counts with that of all others last, and its class counts."""
+    said = json.loads(ref)
+    words = [x for x in said["items"] if x["kind"] == 0]
+    classes = [0.0] * 8
+    for x in said["items"]:
+        if x["kind"] == 1:
+            classes[int(x["item"])] = float(x["n"])
+    counts = [x["n"] for x in words]
+    return {"lang": said["lang"], "words": {x["item"].encode(): i for i, x in enumerate(words)}, "word_counts": [*counts, said["total"] - sum(counts)], "classes": classes, "total": said["total"]}
+
+
+def references(docs: DataFrame, top: int = COMMON_WORDS) -> list[dict]:
+    """All references of a table with few languages, for looking at; ``quality`` joins them."""
+    return [_reference(r["ref"]) for r in reference_table(docs, top).orderBy("lang").collect()]
+
+
+def word_distance(lowered: Counter, ref: dict) -> float:
+    mine = np.zeros(len(ref["word_counts"]))
+    for w, i in ref["words"].items():
+        mine[i] = lowered.get(w, 0)
+    mine[-1] = sum(lowered.values()) - mine.sum()
+    return jensen_shannon(mine, np.array(ref["word_counts"], dtype=float))
+
+
+def nearest(text: str | None, refs: list[dict]) -> tuple[float, dict] | None:
+    """Share of common words and reference of the language that a text is in, if one is near enough."""
+    lowered = Counter(words_of((text or "").lower()))
+    if not lowered or not refs:
+        return None
+    share = [sum(lowered.get(w, 0) for w in r["words"]) / sum(lowered.values()) for r in refs]
+    i = min(range(len(refs)), key=lambda i: (-share[i], refs[i]["lang"]))
+    return (share[i], refs[i]) if share[i] >= SAME_LANGUAGE else None
 
 
 def judge(text: str | None, lang: str | None, refs: list[dict]) -> tuple:
@@ -142,20 +167,16 @@ def judge(text: str | None, lang: str | None, refs: list[dict]) -> tuple:
     n, again = len(words), repeated(words)
     chars = len(text or "") - int(hist[[9, 10, 11, 12, 13, 32]].sum())
     failed = n < 10 or 100 * again > 20 * n
-    own = [r for r in refs if r["lang"] == lang] or refs
+    if lang is None:
+        near = nearest(text, refs)
+        own = near and near[1]
+    else:
+        own = next((r for r in refs if r["lang"] == lang), None)
     by_class, by_word = None, None
     if own and len(data) >= MIN_CHARS:
-        mine = np.bincount(CLASSES, weights=hist, minlength=9)[:8]
-        by_class = min(jensen_shannon(mine, np.array(r["classes"])) for r in own)
+        by_class = jensen_shannon(np.bincount(CLASSES, weights=hist, minlength=9)[:8], np.array(own["classes"]))
     if own and n >= MIN_WORDS:
-        lowered = Counter(words_of((text or "").lower()))
-        for r in own:
-            mine = np.zeros(len(r["word_counts"]))
-            for w, i in r["words"].items():
-                mine[i] = lowered.get(w, 0)
-            mine[-1] = sum(lowered.values()) - mine.sum()
-            far = jensen_shannon(mine, np.array(r["word_counts"], dtype=float))
-            by_word = far if by_word is None else min(by_word, far)
+        by_word = word_distance(Counter(words_of((text or "").lower())), own)
     kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
     return n, chars, int(hist[list(_SYMBOLS)].sum()), duplicate_lines(data), again, failed, kept, by_class, by_word
 
@@ -163,20 +184,57 @@ def judge(text: str | None, lang: str | None, refs: list[dict]) -> tuple:
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
-def verdict(text: Column, lang: Column, refs: list[dict]) -> Column:
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
-    def run(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t, g, refs) for t, g in zip(texts, langs)], columns=FIELDS)
+def verdict(text: Column, lang: Column, ref: Column) -> Column:
+    """The fields of ``judge``, where ``ref`` is the JSON of the reference that counts, or null."""
 
-    return run(text, lang)
+    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    def run(texts: pd.Series, langs: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        known = {r: [_reference(r)] for r in refs.dropna().unique()}
+        return pd.DataFrame([judge(t, g, known.get(r, [])) for t, g, r in zip(texts, langs, refs)], columns=FIELDS)
+
+    return run(text, lang, ref)
+
+
+def _nearer(text: Column, near: Column, block: list[str]) -> Column:
+    """``near`` (share of common words and JSON of a reference), or what is nearer among ``block``."""
+
+    @F.pandas_udf("share double, ref string")
+    def run(texts: pd.Series, shares: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        known, out = [_reference(r) for r in block], []
+        of = {r["lang"]: s for r, s in zip(known, block)}
+        for t, share, ref in zip(texts, shares, refs):
+            found = nearest(t, known)
+            out.append((share, ref) if found is None or (ref is not None and share >= found[0]) else (found[0], of[found[1]["lang"]]))
+        return pd.DataFrame(out, columns=["share", "ref"])
+
+    return run(text, near["share"], near["ref"])
+
+
+def _judged(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the fields of ``judge`` in a column, and that column's name."""
+    refs, v, ref = reference_table(docs), fresh("_v", docs.columns), fresh("_ref", docs.columns)
+    key = fresh("_lang", docs.columns)
+    named = docs.filter("lang IS NOT NULL").join(refs.select(F.col("lang").alias(key), F.col("ref").alias(ref)), F.col(key) == docs["lang"], "left").drop(key)
+    bare = docs.filter("lang IS NULL").withColumn(ref, F.lit(None).cast("struct<share double, ref string>"))
+    if docs.filter("lang IS NULL").limit(1).count():
+        blocks: list[str] = []
+        for r in refs.orderBy("lang").toLocalIterator():
+            blocks.append(r["ref"])
+            if len(blocks) == NULL_BLOCK:
+                bare, blocks = bare.withColumn(ref, _nearer(F.col("text"), F.col(ref), blocks)), []
+        if blocks:
+            bare = bare.withColumn(ref, _nearer(F.col("text"), F.col(ref), blocks))
+    rows = named.unionByName(bare.withColumn(ref, F.col(ref)["ref"]))
+    return rows.withColumn(v, verdict(F.col("text"), F.col("lang"), F.col(ref))).drop(ref), v
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the fields of ``judge`` for every row."""
-    refs = references(docs)
-    return docs.select("doc_id", verdict(F.col("text"), F.col("lang"), refs).alias("v")).select("doc_id", "v.*")
+    rows, v = _judged(docs.select("doc_id", "text", "lang"))
+    return rows.select("doc_id", F.col(v).alias("v")).select("doc_id", "v.*")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, unchanged."""
-    return docs.filter(verdict(F.col("text"), F.col("lang"), references(docs))["kept"])
+    rows, v = _judged(docs)
+    return rows.filter(F.col(v)["kept"]).drop(v)
