@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bootstrap_pii, crossparse, divergence, hash_tree, licences, mixing, packing, quartile_digest, simhash_trie, wrapper
+from wayfold.llm import bootstrap_pii, crossparse, divergence, hash_tree, importance, licences, mixing, packing, quartile_digest, simhash_trie, wrapper
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: operator(spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
 
 
+def _resample(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet") for table in ("documents", "benchmark"))
+    return importance.resample(docs, target)
+
+
 QUERIES = {
     "op1_wrapper_induction": _over("pages", wrapper.extract),
     "op2_simhash_trie": _over("documents", simhash_trie.fingerprints_and_components),
@@ -24,6 +29,7 @@ QUERIES = {
     "op8_first_fit_decreasing": _over("documents", packing.pack),
     "op9_contextual_extraction": _over("documents", bootstrap_pii.find),
     "op10_quartile_digest": _over("documents", quartile_digest.fingerprint_documents),
+    "op11_importance_resampling": _resample,
 }
 
-ORACLES = {"op5_water_filling": mixing.MIX_SQL, "op6_licence_digests": licences.SCAN_SQL}
+ORACLES = {"op5_water_filling": mixing.MIX_SQL, "op6_licence_digests": licences.SCAN_SQL, "op11_importance_resampling": importance.RESAMPLE_SQL}
