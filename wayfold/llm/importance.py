@@ -35,8 +35,8 @@ SEED = 2024
 MIN_WORDS = 20
 #: Per cent of the documents with enough words that are drawn.
 SHARE = 10
-#: Normalised bytes that are held as words at once.
-BLOCK = 1 << 22
+#: Normalised bytes that are held as words at once, and texts whose n-grams are.
+BLOCK, TEXTS = 1 << 22, 512
 
 #: A-Z to a-z, then every byte of ASCII that is no letter or digit to a blank; bytes of longer characters stay.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
@@ -111,6 +111,12 @@ def ngrams(crcs: np.ndarray, added: np.ndarray, starts: np.ndarray, n: int) -> t
     return text[at], crcs[at + n - 1] ^ shift(before[at], length)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(lo, TEXTS)
+
+
 def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix CRCs, added bytes and where each text starts, without copying a value."""
     crcs, added = batch.column("crcs"), batch.column("added")
@@ -124,7 +130,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
     """``doc_id, crcs, added`` of ``doc_id, text``: what one scan of each text leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [prefix_crcs(t.as_py()) for t in batch.column("text")]
             starts = np.cumsum([0, *(len(c) for c, _ in found)], dtype=np.int32)
             crcs, added = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ([c.view(np.int32) for c, _ in found], [a for _, a in found]))
@@ -141,7 +147,7 @@ def bucket_counts(table: DataFrame, max_n: int = MAX_N, buckets: int = BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in _sliced(batches):
             cells = _cells(batch)
             for n in range(1, max_n + 1):
                 total += np.bincount(ngrams(*cells, n)[1] % np.uint32(buckets), minlength=buckets)
@@ -165,7 +171,7 @@ def weighed(table: DataFrame, gain: np.ndarray, max_n: int = MAX_N) -> DataFrame
     """``doc_id, n_words, n_features, weight``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             cells = _cells(batch)
             texts = batch.num_rows
             many, total = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
