@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bootstrap_pii, crossparse, divergence, hash_tree, importance, licences, mixing, multi_index, packing, quartile_digest, simhash_trie, wrapper
+from wayfold.llm import bootstrap_pii, crossparse, divergence, hash_tree, importance, licences, mixing, multi_index, packing, quartile_digest, setsketch, simhash_trie, wrapper
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +30,7 @@ QUERIES = {
     "op9_contextual_extraction": _over("documents", bootstrap_pii.find),
     "op10_quartile_digest": _over("documents", quartile_digest.fingerprint_documents),
     "op11_importance_resampling": _resample,
+    "op12_setsketch_bands": _over("documents", setsketch.near_duplicates),
     "op13_multi_index_negatives": _over("embeddings", multi_index.hard_negatives),
 }
 
@@ -37,5 +38,6 @@ ORACLES = {
     "op5_water_filling": mixing.MIX_SQL,
     "op6_licence_digests": licences.SCAN_SQL,
     "op11_importance_resampling": importance.RESAMPLE_SQL,
+    "op12_setsketch_bands": setsketch.NEAR_SQL,
     "op13_multi_index_negatives": multi_index.HARD_NEGATIVES_SQL,
 }
