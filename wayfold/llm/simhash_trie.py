@@ -9,19 +9,12 @@ pairs of deeper nodes over the cluster (every node pair within the budget is kep
 Links are needed for components only, so a run gives a spanning forest of its links, not all pairs.  Equal
 fingerprints are one node from the start: a group of copies, however large, is one row.
 
-``keep_one_near_copy`` is for similarity instead of bits: near copies share 80 % of their five-word shingles, counted
-exactly.  Sets that share so much have one of their first fifth of shingles in common, in any order that is the same
-for all (prefix filter), so a join on those finds every pair, whatever the edit; each is then counted.  Common
-shingles come last in the order.  A shingle that many texts have is first joined within random groups; what that
-connects is not asked again, all other pairs are.
-
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a
 component; a null doc_id is never a component id unless its component has no other; empty input, empty output.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,15 +35,6 @@ RUN_LIMIT = 100_000
 #: Bits by which a larger run is parted in each round.
 PART_BITS = 4
 
-#: Near copies: shared share of five-word shingles.
-SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-#: Texts of one shingle that are compared with each other at once; more are first compared in random groups.
-LIST_LIMIT = 16
-#: Order of the shingles: texts looked at, and the most shingles that are set last. It decides on speed, not on results.
-ORDER_TEXTS, ORDER_MOST = 4000, 100_000
-#: Fingerprints over word pairs and values of a sketch, four bits each: an estimate of the share for single texts.
-PRINTS, PRINT_SHINGLE, SKETCH = 3, 2, 128
-
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit number; hashes are XXH64 with seed 42."""
@@ -77,9 +61,9 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return run(text)
 
 
-def _blocks(k: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the k + 1 blocks, from the highest bit."""
-    edges = [round(BITS * i / (k + 1)) for i in range(k + 2)]
+def _blocks(k: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """(first bit, bits) of the k + 1 blocks of the highest ``bits``, from the highest bit."""
+    edges = [round(bits * i / (k + 1)) for i in range(k + 2)]
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
 
 
@@ -114,14 +98,17 @@ def leaves(left: np.ndarray, right: np.ndarray, same: bool, k: int) -> Iterator[
                 stack.append((lo, hi, lo2, hi2, bit - 1, cost))
 
 
+def run_pairs(run: np.ndarray, side: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+    """Places in a sorted run of pairs within k bits; side 0: within one node, 1 and 2: across two."""
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    if len(left) and len(right):
+        for i, j in walk(run[left], run[right], not side.any(), k):
+            yield int(left[i]), int(right[j])
+
+
 def _forest(run: np.ndarray, side: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """Links of a run that join its members; side 0: within one node, 1 and 2: across two."""
-    left, right = run[side != 2], run[side != 1]
-    same = not side.any()
-    if not len(left) or not len(right):
-        return []
-    base = 0 if same else len(left)
-    root = list(range(base + len(right)))
+    """Links of a run that join its members."""
+    root = list(range(len(run)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -130,15 +117,15 @@ def _forest(run: np.ndarray, side: np.ndarray, k: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j in walk(left, right, same, k):
-        x, y = find(i), find(base + j)
+    for i, j in run_pairs(run, side, k):
+        x, y = find(i), find(j)
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((int(left[i]), int(right[j])))
+            out.append((int(run[i]), int(run[j])))
     return out
 
 
-def _runs_of(frame: pd.DataFrame) -> Iterator[tuple[int, int]]:
+def runs_of(frame: pd.DataFrame) -> Iterator[tuple[int, int]]:
     key = frame[["block", "run"]].to_numpy()
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
     for lo, hi in zip(starts, np.r_[starts[1:], len(frame)]):
@@ -150,7 +137,7 @@ def _bit_links(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """Linked fingerprints, turned back."""
     turned, side = frame["turned"].to_numpy(np.int64).view(np.uint64), frame["side"].to_numpy()
     cells = []
-    for lo, hi in _runs_of(frame):
+    for lo, hi in runs_of(frame):
         back = _blocks(k)[int(frame["block"].iat[lo])][0]
         for pair in _forest(turned[lo:hi], side[lo:hi], k):
             cells.append(tuple(((x >> back) | (x << (BITS - back))) & (2**BITS - 1) for x in pair))
@@ -181,16 +168,16 @@ def _turn(fp: Column, by: int) -> Column:
     return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
-def _turned(fps: list[Column], k: int) -> Column:
+def turned(fps: list[Column], k: int, bits: int = BITS) -> Column:
     """One entry for each block of each fingerprint, that block leading."""
-    cells = [(fp, at, width) for fp in fps for at, width in _blocks(k)]
+    cells = [(fp, at, width) for fp in fps for at, width in _blocks(k, bits)]
     return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(_turn(fp, at), BITS - width).alias("run"), _turn(fp, at).alias("turned")) for i, (fp, at, width) in enumerate(cells)]))
 
 
-def _parted(rows: DataFrame, k: int, run_limit: int, extra: list[str]) -> list[DataFrame]:
+def parted(rows: DataFrame, k: int, run_limit: int, extra: list[str], bits: int = BITS) -> list[DataFrame]:
     """``rows`` (``block, run, turned, side, spent`` and ``extra``) in tables whose runs have at most ``run_limit`` rows."""
-    depth, ready = max(w for _, w in _blocks(k)) + 1, []
-    thin = not extra  # rows with sketches are wide: runs of one row cost less in the join than a shuffle to leave them out
+    depth, ready = max(w for _, w in _blocks(k, bits)) + 1, []
+    thin = not extra  # wider rows: runs of one row cost less in the join than a shuffle to leave them out
     while True:
         sizes = rows.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("n > 1 AND (lo = 0 OR lo < hi)")
         big = materialize(sizes.filter(F.col("n") > run_limit).select("block", "run", F.lit(True).alias("big")))
@@ -214,7 +201,7 @@ def _parted(rows: DataFrame, k: int, run_limit: int, extra: list[str]) -> list[D
     return ready
 
 
-def _joined(ready: list[DataFrame], give: Callable[[pd.DataFrame], pd.DataFrame], extra: list[str], schema: str) -> DataFrame:
+def joined(ready: list[DataFrame], give: Callable[[pd.DataFrame], pd.DataFrame], extra: list[str], schema: str) -> DataFrame:
     out = None
     for part in ready:
         spread = part.select("block", "run", "turned", "side", *extra).repartition("block", "run").sortWithinPartitions("block", "run", F.col("turned") < 0, "turned")
@@ -225,8 +212,8 @@ def _joined(ready: list[DataFrame], give: Callable[[pd.DataFrame], pd.DataFrame]
 
 def links(prints: DataFrame, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """``a, b``: links between different fingerprints (column ``fp``, distinct) that connect all within k bits."""
-    rows = prints.select(_turned([F.col("fp")], k).alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"))
-    return _joined(_parted(materialize(rows), k, run_limit, []), lambda frame: _bit_links(frame, k), [], "a long, b long")
+    rows = prints.select(turned([F.col("fp")], k).alias("t")).select("t.*", F.lit(0).alias("side"), F.lit(0).alias("spent"))
+    return joined(parted(materialize(rows), k, run_limit, []), lambda frame: _bit_links(frame, k), [], "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
@@ -258,136 +245,3 @@ def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = docs.withColumn(md5, F.md5(F.coalesce("text", F.lit(""))))
     kept = rows.join(stay.distinct(), rows["doc_id"].eqNullSafe(stay["_d"]) & (rows[md5] == stay["_m"]), "left_semi")
     return kept.dropDuplicates(["doc_id", md5]).drop(md5)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Bits of 64-bit numbers spread over each other."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = _mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * _STEP)
-_SEEDS = np.arange(PRINTS, dtype=np.uint64) * _STEP
-
-
-def _shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the runs of ``width`` word hashes; of the whole sequence, if it is shorter."""
-    n = max(1, len(words) - width + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(width, len(words))):
-        out = _mixed(out * _STEP + words[i : i + n])
-    return out
-
-
-def near_print(text: str | None) -> tuple[str, list[int], bytes]:
-    """Digest of the lowered words, fingerprints of independent hashes, and the sketch; zeros without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    node = hashlib.md5(b" ".join(words)).hexdigest()
-    if not words:
-        return node, [0] * PRINTS, bytes(SKETCH // 2)
-    hashes = np.fromiter(map(_XXH, words), np.uint64, len(words))
-    pairs, prints = _shingles(hashes, PRINT_SHINGLE), []
-    for t in range(PRINTS):
-        ones = np.zeros(BITS, np.int64)
-        for lo in range(0, len(pairs), 65536):
-            some = _mixed(pairs[lo : lo + 65536] + _SEEDS[t])
-            ones += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        prints.append(int(np.packbits(2 * ones > len(pairs)).view(">i8")[0]))
-    fives, least = np.unique(_shingles(hashes, SIMILAR_SHINGLE)), np.full(SKETCH, 2**64 - 1, np.uint64)
-    for lo in range(0, len(fives), 2048):
-        least = np.minimum(least, ((fives[lo : lo + 2048, None] ^ _SALTS) * (_SALTS | np.uint64(1))).min(0))
-    values = (_mixed(least) & np.uint64(15)).astype(np.uint8)
-    return node, prints, (values[::2] * 16 + values[1::2]).tobytes()
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Different hashes of the five-word shingles, ascending; of all words, if they are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.unique(_shingles(np.fromiter(map(_XXH, words), np.uint64, len(words)), SIMILAR_SHINGLE)).view(np.int64)
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's hashes: a set that shares ``similarity`` with it has one of them among its own first."""
-    last = np.isin(hashes, common)
-    ordered = np.concatenate([hashes[~last], hashes[last]])
-    return ordered[: len(ordered) - int(np.ceil(similarity * len(ordered) - 1e-9)) + 1]
-
-
-def _common(rows: DataFrame) -> np.ndarray:
-    """Shingles of many texts, from some of the texts."""
-    every = max(1, rows.count() // ORDER_TEXTS)
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"token": np.concatenate([shingle_set(t) for t in batch["text"]] or [np.zeros(0, np.int64)])})
-
-    counts = some.mapInPandas(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return np.sort(np.array([r["token"] for r in counts.filter(F.col("n") >= max(8, ORDER_TEXTS // 400)).orderBy(F.desc("n"), "token").limit(ORDER_MOST).collect()], np.int64))
-
-
-def _prefixes(text: Column, common: np.ndarray, similarity: float) -> Column:
-    @F.pandas_udf("node string, n int, tokens array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            hashes = shingle_set(t)
-            node = hashlib.md5(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())).hexdigest()
-            out.append((node, len(hashes), prefix(hashes, common, similarity)))
-        return pd.DataFrame(out, columns=["node", "n", "tokens"])
-
-    return run(text)
-
-
-def _pairs(rows: DataFrame, on: list[str], similarity: float, apart: bool = False) -> DataFrame:
-    """``a, b``: different nodes that meet in ``on`` and can share enough by their sizes and the place of the shingle."""
-    other = rows.select(*on, *[F.col(c).alias(f"{c}_") for c in rows.columns if c not in on])
-    need = (F.col("n") + F.col("n_")) * (similarity / (1 + similarity)) - 1e-6
-    met = rows.join(other, on).filter((F.col("id") < F.col("id_")) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= need))
-    return (met.filter("root <> root_") if apart else met).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` that share at least ``similarity`` of their shingles, counted."""
-
-    @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t) for t in texts], dtype=object)
-
-    pairs = materialize(pairs)
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = rows.join(nodes.join(asked, "id").select("id", "text_md5"), "text_md5").groupBy("id").agg(F.first("text").alias("text"))
-    sets = materialize(texts.select("id", run(F.col("text")).alias("s")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    same = F.size(F.array_intersect("s", "t"))
-    return materialize(both.select("a", "b", same.alias("same"), (F.size("s") + F.size("t")).alias("sum")).filter(F.col("same") / (F.col("sum") - F.col("same")) >= similarity).select("a", "b"))
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, run_limit: int = LIST_LIMIT) -> DataFrame:
-    """``doc_id, text_md5, root``: rows that a chain of near copies connects have one ``root``."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    by_md5 = rows.select(F.md5("text").alias("text_md5"), "text")
-    found = materialize(rows.select("doc_id", F.md5("text").alias("text_md5"), _prefixes(F.col("text"), _common(rows), similarity).alias("p")).select("doc_id", "text_md5", "p.*"))
-    nodes = found.groupBy("node").agg(F.min("text_md5").alias("text_md5"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
-    tokens = nodes.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
-    lists = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
-    held = materialize(tokens.join(lists, "token"))
-    group = F.when(F.col("many") > run_limit, F.pmod(F.xxhash64("token", "id"), F.ceil(F.col("many") / run_limit))).otherwise(0)
-    edges = _alike(_pairs(held.withColumn("part", group).drop("many"), ["token", "part"], similarity), nodes, by_md5, similarity)
-    near = materialize(components(edges))
-    wide = held.filter(F.col("many") > run_limit).drop("many").join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    wide = materialize(wide)
-    mixed = wide.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    rest = _pairs(wide.join(mixed, "token", "left_semi"), ["token"], similarity, apart=True)
-    if not rest.isEmpty():
-        near = materialize(components(edges.unionByName(_alike(rest, nodes, by_md5, similarity))))
-    ids = nodes.join(near.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
-    return found.select("doc_id", "text_md5", "node").join(ids, "node").select("doc_id", "text_md5", "root")
-
-
-def keep_one_near_copy(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each group of near copies, chosen as ``keep_one`` does."""
-    return _one_of_each(docs, near_copies(docs, **how))
