@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bootstrap_pii, divergence, mixing, packing, simhash_trie
+from wayfold.llm import bootstrap_pii, divergence, mixing, near_copies, packing
 from wayfold.session import shared_folder
 
 
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 80 % of the five-word shingles in common."""
-    return simhash_trie.keep_one_near_copy(docs)
+    return near_copies.keep_one_near_copy(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
