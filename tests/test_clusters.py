@@ -68,24 +68,40 @@ def test_select_rank_is_exact(spark, descending):
         assert got[g] == (value, rank - values.index(value))
 
 
-def test_large_models_are_joined_by_block(spark, monkeypatch):
+@pytest.mark.parametrize("size", [2, 8, 18])
+def test_blocks_of_centres_give_what_one_block_gives(spark, monkeypatch, size):
+    """Equal rows and values, with copies of points, a null vector, equal centres and any block size."""
     rng = random.Random(6)
-    points = spark.createDataFrame([(i, [rng.random(), rng.random()]) for i in range(20)], "id BIGINT, embedding ARRAY<DOUBLE>")
-    table = spark.createDataFrame([(i, [rng.random(), rng.random()]) for i in range(9)], "cluster_id BIGINT, centroid ARRAY<DOUBLE>")
-    small = {(r.id, r.cluster_id): r.distance for r in V.distance_matrix(points, table).collect()}
-    near = {r.id: r.cluster_id for r in V.nearest_centroid(points, table).collect()}
-    monkeypatch.setattr(V, "MAX_CENTROIDS", 4)
-    large = {(r.id, r.cluster_id): r.distance for r in V.distance_matrix(points, table).collect()}
-    assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-12 for k in small)
-    assert near == {r.id: r.cluster_id for r in V.nearest_centroid(points, table).collect()}
-
-
-def test_equal_points_keep_their_rows_beyond_the_limit(spark, monkeypatch):
-    points = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [5.0, 5.0])], "id BIGINT, embedding ARRAY<DOUBLE>")
-    table = spark.createDataFrame([(i, [float(i), float(i)]) for i in range(9)], "cluster_id BIGINT, centroid ARRAY<DOUBLE>")
-    few = sorted(map(str, V.nearest_centroid(points, table).collect()))
-    monkeypatch.setattr(V, "MAX_CENTROIDS", 4)
-    assert sorted(map(str, V.nearest_centroid(points, table).collect())) == few and len(few) == 3
+    rows = [(i, [rng.random(), rng.random()]) for i in range(20)] + [(3, [0.5, 0.5])] * 3 + [(99, None)]
+    points = spark.createDataFrame(rows, "id BIGINT, embedding ARRAY<DOUBLE>").repartition(3)
+    centres = [(i, [rng.random(), rng.random()]) for i in range(9)]
+    table = spark.createDataFrame(centres + [(20, centres[0][1]), (-1, centres[4][1])], "cluster_id BIGINT, centroid ARRAY<DOUBLE>").repartition(4)
+    pairs, near = (sorted(map(str, f(points, table).collect())) for f in (V.distance_matrix, V.nearest_centroid))
+    monkeypatch.setattr(V, "BLOCK_VALUES", size)
+    assert sorted(map(str, V.distance_matrix(points, table).collect())) == pairs and len(pairs) == 23 * 11
+    assert sorted(map(str, V.nearest_centroid(points, table).collect())) == near and len(near) == 24
+    want = {i: None if v is None else min((float(np.sqrt(((np.array(v) - np.array(c)) ** 2).sum())), k) for k, c in [*centres, (20, centres[0][1]), (-1, centres[4][1])])[1] for i, v in rows if i != 3}
+    assert {(r.id, r.cluster_id) for r in V.nearest_centroid(points, table).collect() if r.id != 3} == set(want.items())
+
+
+def test_no_centres_give_null(spark):
+    points = spark.createDataFrame([(1, [0.0])], "id BIGINT, embedding ARRAY<DOUBLE>")
+    table = spark.createDataFrame([], "cluster_id BIGINT, centroid ARRAY<DOUBLE>")
+    assert [tuple(r) for r in V.nearest_centroid(points, table).select("cluster_id", "distance").collect()] == [(None, None)]
+    assert V.distance_matrix(points, table).count() == 0
+
+
+@pytest.mark.parametrize("listed,size", [(2, 6), (3, 100), (40, 6)])
+def test_balanced_over_many_blocks_and_short_lists(spark, monkeypatch, listed, size):
+    """Points that all their listed clusters reject go on with the next ones."""
+    rng = random.Random(3)
+    monkeypatch.setattr(K, "LISTED", listed)
+    monkeypatch.setattr(V, "BLOCK_VALUES", size)
+    points = [(i, [rng.gauss(0, 0.1), rng.gauss(0, 0.1)] if i % 4 else [0.0, 0.0]) for i in range(50)]
+    centres = [[rng.gauss(0, 1), rng.gauss(0, 1)] for _ in range(12)]
+    table = spark.createDataFrame(list(enumerate(centres)), "cluster_id BIGINT, centroid ARRAY<DOUBLE>").repartition(3)
+    df = spark.createDataFrame(points, "id BIGINT, embedding ARRAY<DOUBLE>").repartition(3)
+    assert {r.id: r.cluster_id for r in K.balanced_assign(df, table, "id").collect()} == serial(points, centres)
 
 
 def test_profile_without_traits_and_ties(spark):

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.vectors import distances_to, fetch_centroids
+from wayfold.functions.vectors import nearest_listed
 from wayfold.session import materialize
 
 STARTS = 10
 SEED = 42
 BINS = 1_024
+LISTED = 64
+"""Preferences that a point row holds at a time; a point that all of them reject gets its next ones."""
 
 
 def fit_kmeans(points: DataFrame, k: int, vector: str = "embedding", starts: int = STARTS, seed: int = SEED) -> KMeansModel:
@@ -93,36 +96,46 @@ def balanced_assign(points: DataFrame, centroids: DataFrame, id_: str, vector: s
     cut-off per cluster: the weakest priority still admitted.  Each round lets every point take
     the nearest cluster that admits it and raises the cut-off of overfull clusters; the loop
     state is k numbers, and every round is an aggregation over the points.
+
+    A row holds its ``LISTED`` nearest clusters.  Cut-offs only rise, so a cluster that rejects a
+    point does so for good, and a point rejected by all listed ones goes on with the next ones.
     """
-    model = fetch_centroids(centroids)
-    if model is None:
-        raise ValueError("a balanced model holds at most MAX_CENTROIDS clusters")
-    ids, matrix = model
-    places = F.transform("_d", lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    centroids = materialize(centroids.select(F.col("cluster_id").cast("long").alias("cluster_id"), "centroid"))
+    ids = np.sort(np.array([r["cluster_id"] for r in centroids.select("cluster_id").collect()], dtype=np.int64))
+    k = len(ids)
     kind = dict(points.dtypes)[id_]
     tie = F.col(id_).cast("long") if kind in ("int", "bigint", "smallint", "tinyint") else F.xxhash64(id_)
-    table = materialize(
-        points.select(F.col(id_), tie.alias("tie"), distances_to(points.sparkSession, matrix, F.col(vector)).alias("_d"))
-        .select(id_, "tie", F.array_min("_d").alias("own_distance"), F.array_sort(places).alias("prefs"))
-    )
+    place = F.lit(ids)  # one literal, however many clusters
+
+    def listed(rows: DataFrame, beyond=None) -> DataFrame:
+        near = nearest_listed(rows, centroids, LISTED, "_near", vector, beyond)
+        numbered = F.transform("_near", lambda p: F.struct(p["d"].alias("d"), (F.array_position(place, p["id"]) - 1).cast("int").alias("i"), p["id"].alias("id")))
+        return near.withColumn("prefs", numbered).drop("_near")
+
+    start = listed(points.select(id_, tie.alias("tie"), F.col(vector)))
+    more = [vector] if k > LISTED else []
+    table = materialize(start.select(id_, "tie", F.get("prefs", F.lit(0))["d"].alias("own_distance"), "prefs", *more))
     n = table.count()
-    k = len(ids)
-    capacity = n // k + (1 if n % k else 0)
+    capacity = n // k + (1 if n % k else 0) if k else 0
     # Distances are never negative, so a cut-off of -1 admits every point.
     cutoffs: list[tuple] = [(-1.0, 0)] * k
     own, tie_col = F.col("own_distance"), F.col("tie")
     while True:
-        edges = F.array(*[F.lit(float(d)) for d, _ in cutoffs])
-        last = F.array(*[F.lit(x).cast("long") for _, x in cutoffs])
+        edges = F.lit(np.array([float(d) for d, _ in cutoffs]))
+        last = F.lit(np.array([x for _, x in cutoffs], dtype=np.int64))
 
         def admits(p, edges=edges, last=last):
             edge = F.element_at(edges, p["i"] + 1)
             return (own > edge) | ((own == edge) & (tie_col <= F.element_at(last, p["i"] + 1)))
 
-        choice = F.try_element_at(F.filter("prefs", lambda p: admits(p)), F.lit(1))
-        chosen = table.withColumn("_c", choice)
+        chosen = table.withColumn("_c", F.try_element_at(F.filter("prefs", lambda p: admits(p)), F.lit(1)))
         slot = chosen.select("own_distance", "tie", F.col("_c.i").alias("slot"))
         counts = {r["slot"]: r["n"] for r in slot.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if None in counts and k > LISTED:
+            left = chosen.filter("_c IS NULL AND own_distance IS NOT NULL").drop("_c")
+            next_ones = listed(left.withColumn("_from", F.element_at("prefs", -1)).drop("prefs"), F.col("_from")).drop("_from")
+            table = materialize(chosen.filter("_c IS NOT NULL OR own_distance IS NULL").drop("_c").unionByName(next_ones))
+            continue
         over = {g: capacity for g, rows in counts.items() if g is not None and rows > capacity}
         if not over:
             break
@@ -132,8 +145,7 @@ def balanced_assign(points: DataFrame, centroids: DataFrame, id_: str, vector: s
         ties = select_rank(at_edge, "slot", "tie", {g: rank for g, (_, rank) in edge.items()}, descending=False)
         for g, (distance, _) in edge.items():
             cutoffs[g] = (distance, ties[g][0])
-    lookup = F.array(*[F.lit(i).cast("long") for i in ids])
-    return chosen.select(id_, F.element_at(lookup, F.col("_c.i") + 1).alias("cluster_id"), F.col("_c.d").alias("distance"))
+    return chosen.select(id_, F.col("_c.id").alias("cluster_id"), F.col("_c.d").alias("distance"))
 
 
 def balanced_kmeans(points: DataFrame, k: int, id_: str, vector: str = "embedding", seed: int = SEED, starts: int = STARTS) -> tuple[DataFrame, KMeansModel]:
