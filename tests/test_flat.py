@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from wayfold.operators import flat as FT
-from wayfold.operators.sequence import position_segment
 from wayfold.sources import readers as RD
 
 EVENTS = [
@@ -33,7 +32,7 @@ def load(spark, folder):
 def test_actions(spark, tmp_path):
     events = RD.flat_events(load(spark, tmp_path))
     for frame in (events, events.orderBy(F.rand(3)).repartition(3)):
-        rows = sorted(FT.normalize_flat_event(frame, position_segment(F.col("seq"), 2), ["seq"]).collect(), key=lambda r: r.step)
+        rows = sorted(FT.normalize_flat_event(frame, ["seq"]).collect(), key=lambda r: r.step)
         assert [r.step for r in rows] == list(range(1, 11))
         assert [r.action for r in rows] == ["PAGE_LOAD", "CLICK", "CLICK", "CLICK", "SCROLL", "SCROLL", "SCROLL", "CLICK", "CLICK", "TYPE"]
         assert rows[0].viewport == "1366.0x768.0" and rows[0].time == 0.0

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators.sequence import Sequence, best_per_key, paged, time_segment, with_lookback
+from wayfold.operators.sequence import Sequence, best_per_key, cut_points, paged, with_lookback
 
 MICROS = 1_000_000
 
@@ -33,13 +33,13 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,width", [(1, MICROS), (2, 60 * MICROS), (3, 10_000 * MICROS)])
-def test_all_columns(spark, seed, width):
+@pytest.mark.parametrize("seed,segments,least", [(1, 64, 1), (2, 8, 40), (3, 8, 10_000), (4, 1000, 1)])
+def test_all_columns(spark, seed, segments, least):
     rows = make_rows(seed)
     df = spark.createDataFrame(rows, "key BIGINT, us BIGINT, event_id BIGINT, v BIGINT").repartition(7)
     v = F.col("v")
     got = (
-        Sequence(df, ["key"], ["us", "event_id"], time_segment(F.col("us"), width))
+        Sequence(df, ["key"], ["us", "event_id"], segments, least)
         .number("step").running_sum("run", v).last_known("known", v).last_known("known_before", v, inclusive=False)
         .previous("prev", v).first("first", v).last("last", v).total("n", F.count(F.lit(1)), F.sum).build().collect()
     )
@@ -49,18 +49,42 @@ def test_all_columns(spark, seed, width):
         assert (r.step, r.run, r.known, r.known_before, r.prev, r.first, r.last, r.n) == want[(r.key, r.event_id)]
 
 
-def test_hot_key_is_split_over_tasks(spark):
-    """No window partition is larger than a segment, whatever the size of the key."""
-    df = spark.range(10_000).select(F.when(F.col("id") < 9_000, 1).otherwise(2).alias("key"), "id", (F.col("id") * MICROS).alias("us"))
-    built = Sequence(df, ["key"], ["us", "id"], time_segment(F.col("us"))).number("step").build()
-    plan = built._jdf.queryExecution().optimizedPlan().toString()
-    assert "row_number() windowspecdefinition(key#" in plan and "_segment#" in plan.split("row_number()")[1][:120]
-    assert built.agg(F.sum("step")).first()[0] == (9_000 * 9_001 + 1_000 * 1_001) // 2
+def largest_window(df, keys, order, segments, least):
+    """Rows of the largest (key, segment), by the cut points."""
+    cuts = cut_points(df, keys, order, segments, least)
+    here = F.struct(*order)
+    rows = df.join(cuts, F.struct(*[df[k] for k in keys]) == cuts["_k"], "left")
+    segment = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= here)))
+    sizes = rows.groupBy(*keys, segment.alias("s")).count()
+    return sizes.agg(F.max("count"), F.count(F.lit(1))).first()
+
+
+@pytest.mark.parametrize("us", ["id * 86400000000", "id % 60", "CASE WHEN id % 3 > 0 THEN id END", "CAST(NULL AS BIGINT)"])
+def test_windows_are_bounded_for_sparse_dense_and_null_orders(spark, us):
+    """A session of 30,000 rows a day apart, in one dense minute, or mostly without an order value."""
+    df = spark.range(40_000).select(F.when(F.col("id") < 30_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 500)).alias("key"), F.expr(us).alias("us"), "id")
+    most, parts = largest_window(df, ["key"], ["us", "id"], 32, 1)
+    assert most <= 3 * 40_000 / 32 and parts <= 501 + 2 * 32
+    built = Sequence(df, ["key"], ["us", "id"], 32, 1).number("step").first("f", F.col("id")).build().filter("key = 'hot'")
+    want = sorted((r["us"] is not None, r["us"] or 0, r["id"]) for r in df.filter("key = 'hot'").select("us", "id").collect())
+    assert [(r["id"], r["f"]) for r in built.orderBy("step").select("id", "f").collect()] == [(w[2], want[0][2]) for w in want]
+
+
+def test_rows_are_shuffled_once(spark):
+    """Everything else that is exchanged is the sample, the summaries of cut keys, and broadcasts of both."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 15_000, 1).otherwise(F.col("id")).alias("key"), "id", (F.col("id") * MICROS).alias("us"), F.lit("a wide column").alias("wide"))
+    built = Sequence(df, ["key"], ["us", "id"], 16, 1).number("step").last_known("k", F.col("id")).first("f", F.col("id")).build()
+    plan = built._jdf.queryExecution().sparkPlan().toString()
+    full = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == plan.count("Join") == 3
+    rows = [line for line in full.splitlines() if "Exchange hashpartitioning(key#" in line and "_segment#" in line]
+    assert len(rows) == 1
+    assert built.agg(F.sum("step")).first()[0] == 15_000 * 15_001 // 2 + 5_000
 
 
 def test_null_order_values_come_first(spark):
     df = spark.createDataFrame([(1, None, 5), (1, 70 * MICROS, 6), (1, 1 * MICROS, 7)], "key BIGINT, us BIGINT, id BIGINT")
-    got = Sequence(df, ["key"], ["us", "id"], time_segment(F.col("us"))).number("step").build()
+    got = Sequence(df, ["key"], ["us", "id"], 64, 1).number("step").build()
     assert {r.id: r.step for r in got.collect()} == {5: 1, 7: 2, 6: 3}
 
 
@@ -98,5 +122,5 @@ def test_best_per_key_limits_groups_before_the_shuffle(spark):
 
 def test_null_keys_are_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k STRING, pos INT")
-    got = Sequence(df, ["k"], ["pos"], F.col("pos").cast("long")).number().build().collect()
+    got = Sequence(df, ["k"], ["pos"], 64, 1).number().build().collect()
     assert sorted((str(r.k), r.pos, r.step) for r in got) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]

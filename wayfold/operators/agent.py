@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.exprs import centis, fixed0, plain_seconds, ratio, rounded
-from wayfold.operators.sequence import Sequence, best_per_key, paged, position_segment, with_lookback
+from wayfold.operators.sequence import Sequence, best_per_key, paged, with_lookback
 
 # Which agent action a real action kind is compared with.
 REAL_TO_AGENT = {"CLICK": "open_post", "TYPE": "write_comment", "SCROLL": "scan_feed"}
@@ -171,7 +171,7 @@ def error_streak(agent: DataFrame, limit: int = MAX_CONSECUTIVE_ERRORS) -> DataF
 
     Inside a run of failures the count is a closed form of the distance to the last success.
     """
-    ordered = Sequence(agent, ["session_id"], ["step"], position_segment(F.col("step")))
+    ordered = Sequence(agent, ["session_id"], ["step"])
     rows = ordered.last_known("_ok", F.when(F.col("success"), F.col("step"))).build()
     run = F.col("step") - F.coalesce("_ok", F.lit(0))
     streak = F.when(F.col("success"), F.lit(0)).otherwise(F.pmod(run - 1, F.lit(limit)) + 1).cast("long")
@@ -195,9 +195,9 @@ def stuck_points(agent: DataFrame, timeout_s: float = STUCK_TIMEOUT_S) -> DataFr
     return rows.withColumn("gap_s", gap).filter(F.col("gap_s") > timeout_s).drop("_prev")
 
 
-def execution_trace(spans: DataFrame, segment: Column) -> DataFrame:
+def execution_trace(spans: DataFrame) -> DataFrame:
     """``(session_id, order_key, started_us, ended_us)`` -> start relative to the session and duration, in seconds."""
-    rows = Sequence(spans, ["session_id"], ["started_us", "order_key"], segment).number("step").first("_t0", F.col("started_us")).build()
+    rows = Sequence(spans, ["session_id"], ["started_us", "order_key"]).number("step").first("_t0", F.col("started_us")).build()
     hundredth = F.lit(10_000.0)
     return rows.withColumns(
         {

@@ -18,11 +18,11 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def normalize_flat_event(events: DataFrame, segment: Column, order: list[str]) -> DataFrame:
+def normalize_flat_event(events: DataFrame, order: list[str]) -> DataFrame:
     """Flat events -> actions.  ``order`` gives file order; ``step`` numbers the kept rows."""
     kind = F.col("event_type")
     scroll_y = F.when(kind == "scroll", F.coalesce("scroll_y", F.lit(0.0)))
-    ordered = Sequence(events, ["session_id"], order, segment)
+    ordered = Sequence(events, ["session_id"], order)
     kept = F.when(_action(kind).isNotNull(), F.lit(1)).otherwise(F.lit(0))
     rows = (
         ordered.first("_t0", F.col("timestamp"))

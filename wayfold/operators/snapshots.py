@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.exprs import millis_to_seconds, seconds_between
 from wayfold.functions.text import json_object
-from wayfold.operators.sequence import Sequence, position_segment
+from wayfold.operators.sequence import Sequence
 from wayfold.schemas import ACTION_COLUMNS, PAYLOAD
 from wayfold.session import materialize
 
@@ -167,7 +167,7 @@ def viewport_text(width: Column, height: Column) -> Column:
 
 def relative_time(snapshots: DataFrame) -> DataFrame:
     """Adds ``relative_s``: seconds since the first snapshot in file order (not the earliest one)."""
-    firsts = Sequence(snapshots, ["session_id"], ["seq"], position_segment(F.col("seq")))
+    firsts = Sequence(snapshots, ["session_id"], ["seq"])
     timed = firsts.first("_first_ms", F.col("ts_ms")).build()
     return timed.withColumn("relative_s", millis_to_seconds(F.col("ts_ms") - F.col("_first_ms"))).drop("_first_ms")
 
@@ -268,7 +268,7 @@ def resolve_node(events: DataFrame, definitions: DataFrame) -> DataFrame:
     defs = definitions.select("session_id", "seq", "node_id", definition.alias("_def"), F.lit(0).alias("_ref"))
     refs = events.withColumns({"_ref": F.lit(1), "node_id": F.coalesce("node_id", F.lit(0).cast("long"))})
     both = refs.unionByName(defs, allowMissingColumns=True)
-    ordered = Sequence(both, ["session_id", "node_id"], ["seq", "_ref"], position_segment(F.col("seq")))
+    ordered = Sequence(both, ["session_id", "node_id"], ["seq", "_ref"])
     known = ordered.last_known("_node", F.col("_def")).build().filter(F.col("_ref") == 1)
     resolved = {
         c: F.coalesce(F.col("_node")[c], F.lit("unknown" if c == "tag" else "")) for c in NODE_FIELDS
@@ -280,7 +280,7 @@ def scroll_runs(typed: DataFrame) -> DataFrame:
     """Adds ``run``: scrolls between two non-scroll events share it; mouse moves break nothing."""
     visible = typed.filter(F.col("event_type") != "MOUSE_MOVE")
     breaks = F.when(F.col("event_type") != "SCROLL", F.lit(1)).otherwise(F.lit(0))
-    ordered = Sequence(visible, ["session_id"], ["seq", "sub"], position_segment(F.col("seq")))
+    ordered = Sequence(visible, ["session_id"], ["seq", "sub"])
     return ordered.running_sum("run", breaks).build()
 
 
@@ -344,7 +344,7 @@ def high_level_actions(direct: DataFrame, runs: DataFrame, stage: Callable = mat
     )
     place = ["seq", "sub"]
     both = stage(to_action_columns(shaped, place).unionByName(to_action_columns(runs, place)))
-    numbered = Sequence(both, ["session_id"], place, position_segment(F.col("seq"))).number("step").build()
+    numbered = Sequence(both, ["session_id"], place).number("step").build()
     return numbered.select("session_id", "step", *[c for c in ACTION_COLUMNS if c not in ("session_id", "step")])
 
 

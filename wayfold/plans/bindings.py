@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.exprs import div, epoch_micros
-from wayfold.operators.sequence import Sequence, time_segment
+from wayfold.operators.sequence import Sequence
 from wayfold.operators.snapshots import PART_ROWS
 from wayfold.plans.registry import Tables
 
@@ -34,8 +34,8 @@ ev AS (
 
 
 def ordered(df: DataFrame) -> Sequence:
-    """Ordered columns over event rows, cut into one-minute segments of a session."""
-    return Sequence(df, ["session_id"], ["us", "event_id"], time_segment(F.col("us")))
+    """Ordered columns over event rows."""
+    return Sequence(df, ["session_id"], ["us", "event_id"])
 
 
 def _when(pairs: dict[str, Column | str]) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wayfold.functions.exprs import centis
 from wayfold.operators import agent as A
 from wayfold.operators import scoring as SC
-from wayfold.operators.sequence import time_segment
 from wayfold.plans import bindings as B
 from wayfold.plans.q_training import f0, f1
 from wayfold.plans.registry import query
@@ -174,7 +173,7 @@ FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)""")
 def execution_trace(t):
     spans = B.events(t).select("session_id", F.col("event_id").alias("order_key"), F.col("us").alias("started_us"),
                                (F.col("us") + centis(F.col("value")) * 10_000).alias("ended_us"))
-    return A.execution_trace(spans, time_segment(F.col("started_us"))).select("session_id", "step", "relative_s", "duration_s")
+    return A.execution_trace(spans).select("session_id", "step", "relative_s", "duration_s")
 
 
 @query("timeline", AGENT + """

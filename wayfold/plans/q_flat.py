@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import flat as FT
 from wayfold.operators.batches import score_batches
-from wayfold.operators.sequence import time_segment
 from wayfold.plans import bindings as B
 from wayfold.plans.registry import query
 from wayfold.sources import readers as RD
@@ -53,7 +52,7 @@ COLUMNS = ["session_id", "step", "time", "action", "target_tag", "target_text",
 
 
 def _actions(t):
-    return FT.normalize_flat_event(_flat(t), time_segment(F.col("us")), ["us", "event_id"])
+    return FT.normalize_flat_event(_flat(t), ["us", "event_id"])
 
 
 @query("normalize_flat_event", FLAT_SQL + "SELECT * FROM flat")
