@@ -52,7 +52,7 @@ def write_recording(folder, name="rec", sid="s1"):
 @pytest.mark.parametrize("segment_rows", [1, 3, 100_000])
 def test_recording_end_to_end(spark, tmp_path, monkeypatch, segment_rows):
     """Also with segments so short that every value has to be inherited from earlier ones."""
-    monkeypatch.setattr(sequence, "SEGMENT_ROWS", segment_rows)
+    monkeypatch.setattr(sequence, "LEAST_ROWS", segment_rows)
     write_recording(tmp_path)
     recordings = read_recordings(spark, str(tmp_path))
     assert recordings.first().file_session_id == "rec"
@@ -100,6 +100,31 @@ def test_parts_continue_the_position(spark):
     assert sorted(r.seq for r in S.explode_snapshots(df, "part").collect()) == [0, 1, 2, 1000, 1001, 1002]
 
 
+def test_a_part_that_is_too_long_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_ROWS", 2)
+    df = spark.createDataFrame([("s", 0, [(i, 3, "{}") for i in range(3)])], "session_id STRING, part BIGINT, snapshots ARRAY<STRUCT<timestamp: BIGINT, type: INT, data: STRING>>")
+    with pytest.raises(Exception, match="at most 2 snapshots, not 3"):
+        S.explode_snapshots(df, "part").collect()
+    assert S.explode_snapshots(df).count() == 3
+
+
+def test_one_scan_gives_what_separate_passes_give(spark, tmp_path):
+    write_recording(tmp_path)
+    recordings = read_recordings(spark, str(tmp_path))
+    fields = S.with_fields(S.decode_payload(S.explode_snapshots(recordings)))
+    parsed = S.parsed_tables(recordings)
+    for one, other in ((parsed.events, S.typed_events(fields)), (parsed.nodes, S.flatten_dom(fields)), (parsed.times, S.explode_snapshots(recordings).select("session_id", "seq", "ts_ms"))):
+        assert one.columns == other.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_odd_payloads_parse_as_they_decode(spark):
+    texts = ["x", '{"source":1} junk', '{"source":1', "[1]", '"s"', "null", None, "", " {\"source\":3} ", '{"source":1},{"source":2}', '{"source":1}]', '{"source":"a","type":2}', '{"positions":[{"x":1,"y":"q"}],"source":1}', '[{"source":1}]', "{}"]
+    df = spark.createDataFrame([("s", i, 3, t) for i, t in enumerate(texts)], "session_id STRING, seq BIGINT, type INT, data STRING")
+    strict = {r.seq: r.j or "{}" for r in S.with_payload(df).select("seq", F.to_json("p").alias("j")).collect()}
+    assert strict == {r.seq: r.j for r in S.with_fields(S.decode_payload(df)).select("seq", F.to_json("p").alias("j")).collect()}
+
+
 def test_deep_dom_is_walked(spark):
     # Deeper than recursive queries allow by default.
     tree = node(300, "leaf")

@@ -25,13 +25,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENTS = 1024
+SEGMENTS = 512
 """Segments that a table is cut into at most; more give smaller windows and larger broadcasts."""
 
 LEAST_ROWS = 50_000
 """Rows below which a key is never cut."""
 
-SLOTS_PER_SEGMENT = 16
+SLOTS_PER_SEGMENT = 8
 """Sampled rows for each segment."""
 
 PAGE_ROWS = 10_000

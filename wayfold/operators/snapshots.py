@@ -6,6 +6,7 @@ import gzip
 import json
 import zlib
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from wayfold.functions.exprs import millis_to_seconds, seconds_between
 from wayfold.functions.text import json_object
 from wayfold.operators.sequence import Sequence
 from wayfold.schemas import ACTION_COLUMNS, PAYLOAD
-from wayfold.session import materialize
+from wayfold.session import materialize, materialize_by
 
 PART_ROWS = 1_000
 """Snapshots per part when one long recording is stored as several rows."""
@@ -32,10 +33,24 @@ NODE_TYPE = (
 )
 
 
+_NODE = NODE_TYPE.removeprefix("array<").removesuffix(">")
+_EVENT = (
+    "struct<sub: bigint, event_type: string, node_id: bigint, x: double, y: double, scroll_x: bigint, scroll_y: bigint, positions_count: bigint, "
+    "text_length: bigint, is_masked: boolean, url: string, viewport: string, path: string, full_path: string, method: string>"
+)
+
+
 def explode_snapshots(recordings: DataFrame, part: str | None = None) -> DataFrame:
-    """One row per snapshot; ``seq`` is its position in file order."""
-    offset = F.col(part) * F.lit(PART_ROWS) if part else F.lit(0)
-    exploded = recordings.select("session_id", offset.alias("_offset"), F.posexplode("snapshots").alias("_pos", "_snap"))
+    """One row per snapshot; ``seq`` is its position in file order.
+
+    A part with more than ``PART_ROWS`` snapshots is refused: its positions would run into the next part's.
+    """
+    offset, snapshots = F.lit(0), F.col("snapshots")
+    if part:
+        offset = F.col(part) * F.lit(PART_ROWS)
+        too_long = F.raise_error(F.concat(F.lit(f"a recording part holds at most {PART_ROWS} snapshots, not "), F.size(snapshots).cast("string")))
+        snapshots = F.when(F.size(snapshots) <= PART_ROWS, snapshots).when(snapshots.isNotNull(), too_long.cast(recordings.schema["snapshots"].dataType))
+    exploded = recordings.select("session_id", offset.alias("_offset"), F.posexplode(snapshots).alias("_pos", "_snap"))
     return exploded.select(
         "session_id",
         (F.col("_offset") + F.col("_pos")).cast("long").alias("seq"),
@@ -69,6 +84,21 @@ def decode_payload(snapshots: DataFrame, data: str = "data", name: str = "payloa
     return snapshots.withColumn(name, F.coalesce(json_object(F.coalesce(inflated, plain)), F.lit("{}")))
 
 
+def with_payload(snapshots: DataFrame, data: str = "data") -> DataFrame:
+    """Adds the payload ``p``, parsed once and strictly: an unreadable one has null fields.
+
+    Inside brackets, a text that is not exactly one JSON value gives no list of one element, so validity needs
+    no parse of its own.  Parsing sits in a generator, as in ``with_fields``.
+    """
+    marked = F.coalesce(F.col(data).startswith(GZIP_MARK), F.lit(False))
+    inflated = F.when(marked, F.pandas_udf(_inflate, "string")(F.when(marked, F.col(data))))
+    rest = [c for c in snapshots.columns if c != data]
+    text = snapshots.select(*rest, F.trim(F.coalesce(inflated, F.when(~marked, F.col(data))), F.lit(" \n\r\t")).alias("_text"))
+    whole = F.when(F.col("_text").startswith("{") & F.col("_text").endswith("}"), F.concat(F.lit("["), F.col("_text"), F.lit("]")))
+    parsed = text.select(*rest, F.explode(F.array(F.struct(F.from_json(whole, f"array<struct<{PAYLOAD}>>").alias("list")))).alias("_p"))
+    return parsed.select(*rest, F.when(F.size("_p.list") == 1, F.get("_p.list", F.lit(0))).alias("p"))
+
+
 def with_fields(snapshots: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the parsed payload ``p``.
 
@@ -95,17 +125,17 @@ def event_type(type_: Column, source: Column, interaction: Column) -> Column:
     )
 
 
-def classify_snapshot(fields: DataFrame) -> DataFrame:
-    """Adds ``event_type`` and keeps only the rows that become typed events."""
-    p = F.col("p")
-    typed = fields.withColumn("event_type", event_type(F.col("type"), p["source"], p["type"]))
+def _typed_kind(type_: Column, p: Column) -> Column:
+    """The event type of a snapshot that becomes a typed event, else null."""
+    kind = event_type(type_, p["source"], p["type"])
     has_text = F.length(F.coalesce(p["text"], F.lit(""))) > 0
     has_moves = F.coalesce(F.size(p["positions"]), F.lit(0)) > 0
-    return typed.filter(
-        F.when(F.col("event_type") == "INPUT", has_text)
-        .when(F.col("event_type") == "MOUSE_MOVE", has_moves)
-        .otherwise(F.col("event_type").isNotNull())
-    )
+    return F.when(((kind != "INPUT") | has_text) & ((kind != "MOUSE_MOVE") | has_moves), kind)
+
+
+def classify_snapshot(fields: DataFrame) -> DataFrame:
+    """Adds ``event_type`` and keeps only the rows that become typed events."""
+    return fields.withColumn("event_type", _typed_kind(F.col("type"), F.col("p"))).filter(F.col("event_type").isNotNull())
 
 
 def api_path(url: Column) -> Column:
@@ -126,23 +156,13 @@ def api_calls(requests: Column) -> Column:
     )
 
 
-def typed_events(fields: DataFrame) -> DataFrame:
-    """The wide typed-event table; one plugin snapshot may yield several API_CALL rows."""
-    p, kind = F.col("p"), F.col("event_type")
-    nothing = F.array(F.lit(None).cast("struct<path: string, full_path: string, method: string>"))
-    calls = F.when(kind == "API_CALL", api_calls(p["payload"]["requests"])).otherwise(nothing)
+def _event_fields(kind: Column, p: Column, sub: Column, call: Column) -> list[Column]:
+    """The columns of one typed event."""
     last_move = F.try_element_at(p["positions"], F.lit(-1))
-    rows = classify_snapshot(fields).select(
-        "session_id", "seq", "ts_ms", "event_type", "p", F.posexplode(calls).alias("sub", "call")
-    )
-    pointer = kind.isin("CLICK", "INPUT")
-    text = p["text"]
-    return rows.select(
-        "session_id",
-        "seq",
-        F.col("sub").cast("long").alias("sub"),
-        "ts_ms",
-        "event_type",
+    text, pointer = p["text"], kind.isin("CLICK", "INPUT")
+    return [
+        sub.cast("long").alias("sub"),
+        kind.alias("event_type"),
         F.when(pointer, F.coalesce(p["id"], F.lit(0))).when(kind == "SCROLL", p["id"]).alias("node_id"),
         F.when(kind == "CLICK", p["x"]).when(kind == "MOUSE_MOVE", last_move["x"]).alias("x"),
         F.when(kind == "CLICK", p["y"]).when(kind == "MOUSE_MOVE", last_move["y"]).alias("y"),
@@ -155,10 +175,27 @@ def typed_events(fields: DataFrame) -> DataFrame:
         .when(kind == "FULL_SNAPSHOT", F.lit("initial_page_load"))
         .alias("url"),
         F.when(kind == "PAGE_META", viewport_text(p["width"], p["height"])).alias("viewport"),
-        F.col("call.path").alias("path"),
-        F.col("call.full_path").alias("full_path"),
-        F.col("call.method").alias("method"),
-    )
+        call["path"].alias("path"),
+        call["full_path"].alias("full_path"),
+        call["method"].alias("method"),
+    ]
+
+
+def _calls(kind: Column, p: Column) -> Column:
+    """The calls of a plugin snapshot, each an event of its own; one null for any other kind, none for no event."""
+    nothing = F.array(F.lit(None).cast("struct<path: string, full_path: string, method: string>"))
+    return F.when(kind == "API_CALL", api_calls(p["payload"]["requests"])).when(kind.isNotNull(), nothing)
+
+
+def typed_events(fields: DataFrame) -> DataFrame:
+    """The wide typed-event table; one plugin snapshot may yield several API_CALL rows."""
+    p, kind = F.col("p"), F.col("event_type")
+    rows = classify_snapshot(fields).select("session_id", "seq", "ts_ms", "event_type", "p", F.posexplode(_calls(kind, p)).alias("_sub", "_call"))
+    columns = {c: x for c, x in zip(EVENT_COLUMNS, _event_fields(kind, p, F.col("_sub"), F.col("_call")))}
+    return rows.select("session_id", "seq", columns["sub"], "ts_ms", *[x for c, x in columns.items() if c != "sub"])
+
+
+EVENT_COLUMNS = ["sub", "event_type", "node_id", "x", "y", "scroll_x", "scroll_y", "positions_count", "text_length", "is_masked", "url", "viewport", "path", "full_path", "method"]
 
 
 def viewport_text(width: Column, height: Column) -> Column:
@@ -244,17 +281,53 @@ def flatten_dom(fields: DataFrame) -> DataFrame:
     A tree has no bounded depth, which built-in expressions cannot follow; the walk is an
     Arrow function over one snapshot at a time.
     """
-    p = F.col("p")
-    is_full = F.col("type") == FULL_SNAPSHOT
-    is_mutation = (F.col("type") == INCREMENTAL) & (p["source"] == MUTATION)
-    roots = F.when(is_full, F.array(p["node"])).when(is_mutation, F.transform(p["adds"], lambda a: a["node"]))
+    roots = _roots(F.col("type"), F.col("p"))
     return (
-        fields.filter(is_full | is_mutation)
+        fields.filter(roots.isNotNull())
         .select("session_id", "seq", F.explode(F.pandas_udf(_dom_nodes, NODE_TYPE)(roots)).alias("n"))
         .select("session_id", "seq", "n.*")
     )
 
 
+def _roots(type_: Column, p: Column) -> Column:
+    """JSON texts of the trees that a snapshot defines; null for one that defines none."""
+    mutation = (type_ == INCREMENTAL) & (p["source"] == MUTATION)
+    return F.when(type_ == FULL_SNAPSHOT, F.array(p["node"])).when(mutation, F.transform(p["adds"], lambda a: a["node"]))
+
+
+class Parsed(NamedTuple):
+    """What one pass over raw recordings leaves: stage tables of one write."""
+
+    times: DataFrame
+    """``session_id, seq, ts_ms`` of every snapshot."""
+    events: DataFrame
+    """Typed events, as ``typed_events`` gives them."""
+    nodes: DataFrame
+    """Element definitions, as ``flatten_dom`` gives them."""
+
+
+def parsed_tables(recordings: DataFrame, part: str | None = None) -> Parsed:
+    """Raw recordings -> their three tables, by one scan of the raw arrays and one parse of each payload.
+
+    Each snapshot becomes its records (its time, its typed events, the definitions it holds), and they are written
+    once, in a folder for each kind.  Rows are not shuffled.
+    """
+    snapshots = with_payload(explode_snapshots(recordings, part))
+    p, kind = F.col("p"), F.col("_kind")
+    rows = snapshots.withColumn("_kind", _typed_kind(F.col("type"), p)).withColumn("_nodes", F.pandas_udf(_dom_nodes, NODE_TYPE)(_roots(F.col("type"), p)))
+    events = F.transform(F.coalesce(_calls(kind, p), F.array()), lambda call, i: F.struct(*_event_fields(kind, p, i, call)))
+    event = F.transform(events, lambda e: F.struct(F.lit("event").alias("record"), e.alias("e"), F.lit(None).cast(_NODE).alias("n")))
+    node = F.transform(F.coalesce("_nodes", F.array().cast(NODE_TYPE)), lambda n: F.struct(F.lit("node").alias("record"), F.lit(None).cast(_EVENT).alias("e"), n.alias("n")))
+    time = F.array(F.struct(F.lit("time").alias("record"), F.lit(None).cast(_EVENT).alias("e"), F.lit(None).cast(_NODE).alias("n")))
+    records = rows.select("session_id", "seq", "ts_ms", F.explode(F.concat(time, event, node)).alias("r")).select("session_id", "seq", "ts_ms", "r.*")
+    tables = materialize_by(records, "record", ["time", "event", "node"])
+    return Parsed(
+        tables["time"].select("session_id", "seq", "ts_ms"),
+        tables["event"].select("session_id", "seq", "e.sub", "ts_ms", *[f"e.{c}" for c in EVENT_COLUMNS if c != "sub"]),
+        tables["node"].select("session_id", "seq", "n.*"),
+    )
+
+
 NODE_FIELDS = ["tag", "class", "href", "type_attr", "placeholder", "text"]
 
 
@@ -353,20 +426,16 @@ def parse_recordings(
 ) -> tuple[DataFrame, DataFrame]:
     """Recordings -> (actions, session headers).
 
-    Typed events and element definitions are stage tables: they are materialised once, so
-    the ordered steps after them read narrow columns instead of parsing JSON again.
+    The raw arrays are scanned once (``parsed_tables``); the ordered steps read narrow stage tables.
     """
-    snapshots = explode_snapshots(recordings, part)
-    fields = with_fields(decode_payload(snapshots))
-    typed = stage(typed_events(fields))
-    nodes = stage(flatten_dom(fields))
-    starts = session_spans(snapshots).select("session_id", "first_ms")
+    times, typed, nodes = parsed_tables(recordings, part)
+    starts = session_spans(times).select("session_id", "first_ms")
     timed = typed.join(starts, "session_id").withColumn(
         "relative_s", millis_to_seconds(F.col("ts_ms") - F.col("first_ms"))
     )
     pointer = F.col("event_type").isin("CLICK", "INPUT")
     direct = resolve_node(timed.filter(pointer), nodes).unionByName(timed.filter(~pointer), allowMissingColumns=True)
-    return high_level_actions(direct, collapse_scrolls(timed), stage), session_header(snapshots, typed)
+    return high_level_actions(direct, collapse_scrolls(timed), stage), session_header(times, typed)
 
 
 def user_profile(recordings: DataFrame, properties: str = "person.properties") -> DataFrame:

@@ -119,14 +119,20 @@ def save_model(t):
     return nearest_centroid(points, WR.load_centroids(t.spark, out)).select("vec_id", "cluster_id")
 
 
-@query("parse_recordings", "WITH " + B.SNAPSHOTS_SQL + """
-SELECT CAST(session_id AS VARCHAR) AS session_id, duration AS session_duration_s, n AS total_raw_events FROM (SELECT session_id, arg_max(relative_s, seq) AS duration FROM snap GROUP BY 1)
-JOIN (SELECT session_id, count(*) AS n FROM typed GROUP BY 1) USING (session_id)""")
+@query("parse_recordings", "WITH " + B.SNAPSHOTS_SQL + QS.RUNS + """,
+steps AS (
+  SELECT session_id, CASE WHEN kind = 'INPUT' THEN CASE WHEN k % 5 = 0 THEN k ELSE 2 * k END END AS text_length, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS step
+  FROM (SELECT session_id, seq, kind, k FROM typed WHERE kind IN ('CLICK', 'INPUT', 'API_CALL', 'PAGE_META') UNION ALL SELECT session_id, seq, 'SCROLL', NULL FROM runs))
+SELECT CAST(session_id AS VARCHAR) AS session_id, duration AS session_duration_s, n AS total_raw_events, n_actions, in_order
+FROM (SELECT session_id, arg_max(relative_s, seq) AS duration FROM snap GROUP BY 1)
+JOIN (SELECT session_id, count(*) AS n FROM typed GROUP BY 1) USING (session_id)
+LEFT JOIN (SELECT session_id, count(*) AS n_actions, CAST(sum(step * coalesce(text_length, 1)) AS BIGINT) AS in_order FROM steps GROUP BY 1) USING (session_id)""")
 def parse_recordings(t):
-    """The recording reader and the session headers in one lineage, from files."""
+    """The recording reader, the session headers and the ordered actions, from files."""
     out = _folder(t)
     B.recordings(t).select(F.lit("1").alias("version"), F.struct(F.concat_ws(":", "session_id", "part").alias("id"), "snapshots").alias("data")).write.json(out)
     parts = RD.read_recordings(t.spark, out, one_per_file=False).select(
         F.substring_index("session_id", ":", 1).alias("session_id"), F.substring_index("session_id", ":", -1).cast("long").alias("part"), "snapshots")
-    snapshots = QS.S.explode_snapshots(parts, part="part")
-    return QS.S.session_header(snapshots, QS._typed(snapshots))
+    actions, headers = QS.S.parse_recordings(parts, part="part")
+    counts = actions.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_actions"), F.sum(F.col("step") * F.coalesce("text_length", F.lit(1))).alias("in_order"))
+    return headers.join(counts, "session_id", "left")

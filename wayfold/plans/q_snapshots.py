@@ -17,13 +17,13 @@ def _snapshots(t):
     return S.explode_snapshots(B.recordings(t), part="part")
 
 
-def _landed(t):
-    """Snapshots of recordings that were written once, for queries that read them several times."""
-    return S.explode_snapshots(materialize(B.recordings(t)), part="part")
+def _parsed(t):
+    """The tables of one pass over the recordings."""
+    return S.parsed_tables(B.recordings(t), part="part")
 
 
 def _fields(snapshots):
-    return S.with_fields(S.decode_payload(snapshots))
+    return S.with_payload(snapshots)
 
 
 def _typed(snapshots):
@@ -31,16 +31,15 @@ def _typed(snapshots):
 
 
 def _timed(t):
-    snapshots = _landed(t)
-    starts = S.session_spans(snapshots).select("session_id", "first_ms")
-    return materialize(_typed(snapshots)).join(starts, "session_id").withColumn("relative_s", millis_to_seconds(F.col("ts_ms") - F.col("first_ms")))
+    times, typed, _ = _parsed(t)
+    starts = S.session_spans(times).select("session_id", "first_ms")
+    return typed.join(starts, "session_id").withColumn("relative_s", millis_to_seconds(F.col("ts_ms") - F.col("first_ms")))
 
 
 def _references(t, *kinds):
     """Pointer events and element definitions as stage tables."""
-    fields = _fields(_landed(t))
-    refs = S.typed_events(fields).filter(F.col("event_type").isin(*kinds))
-    return materialize(refs), materialize(S.flatten_dom(fields))
+    _, typed, nodes = _parsed(t)
+    return typed.filter(F.col("event_type").isin(*kinds)), nodes
 
 
 @query("explode_snapshots", WITH + """
@@ -69,7 +68,7 @@ def classify_snapshot(t):
 
 @query("relative_time", WITH + "SELECT session_id, seq, relative_s FROM snap")
 def relative_time(t):
-    return S.relative_time(_landed(t)).select("session_id", "seq", "relative_s")
+    return S.relative_time(materialize(_snapshots(t).select("session_id", "seq", "ts_ms"))).select("session_id", "seq", "relative_s")
 
 
 NODES = """,
@@ -159,8 +158,8 @@ SELECT s.session_id, s.duration AS session_duration_s, coalesce(n, 0) AS total_r
 FROM (SELECT session_id, arg_max(relative_s, seq) AS duration FROM snap GROUP BY 1) s
 LEFT JOIN (SELECT session_id, count(*) AS n FROM typed GROUP BY 1) c USING (session_id)""")
 def session_header(t):
-    snapshots = _landed(t)
-    return S.session_header(snapshots, _typed(snapshots))
+    times, typed, _ = _parsed(t)
+    return S.session_header(times, typed)
 
 
 RUNS = """,
@@ -184,16 +183,22 @@ direct AS (
   SELECT r.session_id, r.seq, r.relative_s AS "time", CASE r.kind WHEN 'INPUT' THEN 'TYPE' WHEN 'PAGE_META' THEN 'PAGE_LOAD' ELSE r.kind END AS action,
     CASE WHEN r.kind IN ('CLICK', 'INPUT') THEN coalesce(d.tag, 'unknown') END AS target_tag,
     CASE WHEN r.kind = 'CLICK' THEN coalesce(d."text", '') END AS target_text,
-    CASE WHEN r.kind = 'PAGE_META' THEN '/page/' || r.k END AS url,
-    CASE WHEN r.kind = 'API_CALL' THEN '/api/' || r.k END AS path, NULL::BIGINT AS scroll_to
+    CASE WHEN r.kind = 'CLICK' THEN coalesce(d.href, '') END AS target_href, CASE WHEN r.kind = 'CLICK' THEN coalesce(d."class", '') END AS target_class,
+    CASE WHEN r.kind = 'CLICK' THEN CAST(r.k AS DOUBLE) END AS x, CASE WHEN r.kind = 'CLICK' THEN CAST(r.event_id % 1000 AS DOUBLE) END AS y,
+    CASE WHEN r.kind = 'INPUT' THEN CASE WHEN r.k % 5 = 0 THEN r.k ELSE 2 * r.k END END AS text_length, CASE WHEN r.kind = 'INPUT' THEN r.k % 5 = 0 END AS is_masked,
+    CASE WHEN r.kind = 'INPUT' THEN '' END AS target_placeholder,
+    CASE WHEN r.kind = 'PAGE_META' THEN '/page/' || r.k END AS url, CASE WHEN r.kind = 'PAGE_META' THEN '1280x' || CASE WHEN r.digit = 2 THEN 'None' ELSE '720' END END AS viewport,
+    CASE WHEN r.kind = 'API_CALL' THEN '/api/' || r.k END AS path, CASE WHEN r.kind = 'API_CALL' THEN '/api/' || r.k || '?u=' || r.session_id END AS full_path,
+    NULL::BIGINT AS scroll_from, NULL::BIGINT AS scroll_to, NULL::BIGINT AS max_depth, NULL::DOUBLE AS duration_s, NULL::VARCHAR AS direction
   FROM (SELECT * FROM typed WHERE kind IN ('CLICK', 'INPUT', 'API_CALL', 'PAGE_META')) r
   ASOF LEFT JOIN defs d ON r.session_id = d.session_id AND r.k = d.node_id AND r.seq >= d.seq)
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS step, "time", action, target_tag, target_text, url, path, scroll_to
-FROM (SELECT * FROM direct UNION ALL
-      SELECT session_id, seq, "time", 'SCROLL', NULL, NULL, NULL, NULL, scroll_to FROM runs)""")
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS step, * EXCLUDE (session_id, seq)
+FROM (SELECT * FROM direct UNION ALL BY NAME
+      SELECT session_id, seq, "time", 'SCROLL' AS action, scroll_from, scroll_to, max_depth, duration_s, direction FROM runs)""")
 def high_level_actions(t):
-    actions, _ = S.parse_recordings(materialize(B.recordings(t)), part="part")
-    return actions.select("session_id", "step", "time", "action", "target_tag", "target_text", "url", "path", "scroll_to")
+    """All columns of the action table, in one pass over the recordings."""
+    actions, _ = S.parse_recordings(B.recordings(t), part="part")
+    return actions
 
 
 PROFILE_SQL = """

@@ -48,3 +48,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, column: str, values: list[str]) -> dict[str, DataFrame]:
+    """Several stage tables from one run of ``df``: its rows by the value of ``column``, which is one of ``values``."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    return {v: read.filter(read[column] == v).drop(column) for v in values}
