@@ -1,11 +1,14 @@
 """Agent logs: streaks, comparison formulas, scores and friction."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.functions import text as TX
 from wayfold.operators import agent as A
 from wayfold.operators import scoring as SC
-from wayfold.operators.reports import markdown_report
+from wayfold.operators.reports import markdown_report, report_json
 
 SCHEMA = "session_id STRING, step BIGINT, action_name STRING, relative_s DOUBLE, duration_s DOUBLE, success BOOLEAN, error STRING, page_url STRING, target STRING, skipped BOOLEAN, action STRING"
 
@@ -114,7 +117,27 @@ def test_log_without_actions_or_plan_still_reports(spark):
     real = spark.createDataFrame([], "session_id STRING, real_user_duration_s DOUBLE")
     completion = A.completion_block(summary, none, real)
     empty = spark.createDataFrame([], "session_id STRING, pos BIGINT, action STRING")
-    deviation = A.positional_match(empty, spark.createDataFrame([("s", 1, "a")], "session_id STRING, pos BIGINT, action STRING"))
+    did = spark.createDataFrame([("s", 1, "a")], "session_id STRING, pos BIGINT, action STRING")
+    deviation, differences = A.positional_match(empty, did), A.sequence_differences(empty, did)
+    feedback = spark.createDataFrame([("s", None, "Too slow.")], "session_id STRING, generated_at STRING, feedback STRING")
     deltas = spark.createDataFrame([], "session_id STRING, action_name STRING, agent_avg_s DOUBLE, real_user_avg_s DOUBLE, delta_s DOUBLE, ratio DOUBLE")
-    text = markdown_report(completion, deltas, A.top_errors(rows), A.stuck_points(rows), deviation).first().markdown
+    text = markdown_report(completion, deltas, A.top_errors(rows), A.stuck_points(rows), deviation, differences, feedback).first().markdown
     assert "| Planned actions | 0 |" in text and "- **Match rate:** N/A" in text
+    assert "**Generated:** unknown" in text and "- **Extra actions:** a" in text and "Missing actions" not in text and text.endswith("## Qualitative Feedback\n\nToo slow.")
+    engagement = A.engagement_counts(spark.createDataFrame([("s", "CLICK")], "session_id STRING, action STRING"), rows)
+    stuck = spark.createDataFrame([("s", 1, "a", 2.0, "no button"), ("s", 2, "b", 3.0, None)], "session_id STRING, step BIGINT, action_name STRING, relative_s DOUBLE, reason STRING")
+    report = json.loads(report_json(completion, deltas, A.top_errors(rows), stuck, deviation, differences, engagement).first().report)
+    assert [x["reason"] for x in report["errors"]["stuck_details"]] == ["no button", "Timeout"]
+    assert report["deviation"]["extra_action_types"] == ["a"] and report["engagement"]["real_user_click_events"] == 1
+
+
+def test_sections_are_cut_at_headings(spark):
+    cases = [
+        ("", {}), (None, {}), ("## 1. friction   POINTS\nslow\n## 3. Flow Problems x\n y\n### Details\nz", {"Friction Points": "slow", "Flow Problems": "x\n y\n### Details\nz"}),
+        ("### **5. Specific Recommendations (ranked)**\n- a\n### Key Takeaway\nact", {"Specific Recommendations": "- a", "Key Takeaway": "act"}),
+        ("### 2. Friction Points\nno\n### 2. Accessibility Issues\nyes", {"Accessibility Issues": "yes"}), ("# 1. Friction Points\none mark is no heading", {}),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i INT, t STRING")
+    found = df.select("i", *[c.alias(k) for k, c in TX.markdown_sections(F.col("t")).items()]).collect()
+    for r in found:
+        assert {k: v for k, v in r.asDict().items() if k != "i" and v is not None} == cases[r.i][1]

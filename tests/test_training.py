@@ -58,6 +58,19 @@ def test_split_is_exact_for_a_hot_cluster(spark):
     assert split.exceptAll(TR.sequence_split(rows, "cluster_id", ["id"], seed=7)).count() > 0
 
 
+def test_split_labels_examples_where_they_are(spark):
+    """No exchange on the side of the examples, whatever Spark's own limit for broadcasts is."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for value in ("-1", "10m"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+            rows = spark.range(500).select(F.pmod("id", F.lit(3)).alias("cluster_id"), "id", F.lit("text").alias("content"))
+            plan = TR.sequence_split(rows, "cluster_id", ["id"])._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_next_action_fallbacks(spark):
     df = to_action_columns(spark.createDataFrame(
         [("s", 1, "CLICK", "", "", "", None), ("s", 2, "PAGE_LOAD", None, None, None, "/go/BACK"), ("s", 3, "PAGE_META", None, None, None, None)],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,16 +117,54 @@ SECTIONS = ["Friction Points", "Accessibility Issues", "Flow Problems", "Perform
 TAKEAWAY = "Key Takeaway"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _opened(line: Column, at: Column) -> Column:
+    """``(at, key, rest)`` of a line: which section it opens, 0 for a numbered heading of another title, null for none.
+
+    A heading has two hash marks or more; asterisks, case and repeated blanks do not matter.
+    """
+    def titled(h: Column) -> Column:
+        number, name = h["number"], h["name"]
+        key, rest = F.when(number.between(1, len(SECTIONS)), F.lit(0)), F.lit("")
+        for place, title in enumerate([*SECTIONS, TAKEAWAY], start=1):
+            meant = F.lower(name).startswith(title.lower()) & (number.isNull() if title == TAKEAWAY else number == place)
+            key, rest = F.when(meant, F.lit(place)).otherwise(key), F.when(meant, F.substring(name, len(title) + 1, F.length(name))).otherwise(rest)
+        return F.struct(at.alias("at"), key.alias("key"), rest.alias("rest"))
+
+    def parted(head: Column) -> Column:
+        number = F.substring_index(head, ".", 1).try_cast("int")
+        name = F.when(number.isNotNull(), F.ltrim(F.substring(head, F.instr(head, ".") + 1, F.length(head)))).otherwise(head)
+        return _let(F.struct(number.alias("number"), name.alias("name")), titled)
+
+    bare = F.translate(line, "*", "")
+    return F.when(F.ltrim(bare).startswith("##"), _let(F.trim(F.regexp_replace(F.regexp_extract(bare, r"^\s*##+(.*)", 1), r"\s+", " ")), parted))
+
+
 def markdown_sections(text: Column) -> dict[str, Column]:
-    """Body of each numbered section and of the takeaway, trimmed; null where the heading is missing."""
-    def body(pattern: str) -> Column:
-        return F.when(text.rlike(pattern), _strip(F.regexp_extract(text, pattern, 1)))
-
-    out = {}
-    for n, title in enumerate(SECTIONS, start=1):
-        words = title.replace(" ", r"\s*")
-        follow = rf"###?\s*\*?\*?{n + 1}\." if n < len(SECTIONS) else r"###?\s*\*?\*?Key\s*Take"
-        extra = "" if n < len(SECTIONS) else "[^*]*"
-        out[title] = body(rf"(?is)###?\s*\*?\*?{n}\.\s*{words}{extra}\*?\*?(.*?)(?={follow}|\z)")
-    out[TAKEAWAY] = body(r"(?is)###?\s*\*?\*?Key\s*Takeaway\*?\*?(.*?)\z")
-    return out
+    """Body of each numbered section and of the takeaway, trimmed; null where the heading is missing.
+
+    The text is cut at its headings.  What follows a title on its line belongs to the body, but for the
+    recommendations, whose title may have an addition.
+    """
+    lines = F.split(text, "\n")
+    read = F.struct(lines.alias("lines"), F.filter(F.transform(lines, _opened), lambda h: h["key"].isNotNull()).alias("heads"))
+
+    def body(place: int, title: str) -> Column:
+        def cut(r: Column) -> Column:
+            def between(s: Column) -> Column:
+                under = F.array_join(F.slice(r["lines"], s["own"]["at"] + 2, s["end"] - s["own"]["at"] - 1), "\n")
+                return _strip(under if title == SECTIONS[-1] else F.concat(s["own"]["rest"], F.lit("\n"), under))
+
+            def ended(own: Column) -> Column:
+                after = F.get(F.filter(r["heads"], lambda h: h["at"] > own["at"]), F.lit(0))["at"]
+                return F.when(own.isNotNull(), _let(F.struct(own.alias("own"), F.coalesce(after, F.size(r["lines"])).alias("end")), between))
+
+            return _let(F.get(F.filter(r["heads"], lambda h: h["key"] == place), F.lit(0)), ended)
+
+        return _let(read, cut)
+
+    return {title: body(place, title) for place, title in enumerate([*SECTIONS, TAKEAWAY], start=1)}

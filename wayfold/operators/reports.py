@@ -42,11 +42,26 @@ def metric_table(completion: DataFrame) -> Column:
     return F.concat(F.lit("### Completion\n| Metric | Value |\n|---|---|\n"), F.concat_ws("\n", *[F.concat(F.lit(f"| {k} | "), v, F.lit(" |")) for k, v in rows]))
 
 
-def markdown_report(completion: DataFrame, deltas: DataFrame, errors: DataFrame, stuck: DataFrame, deviation: DataFrame, title: str = "Session feedback report") -> DataFrame:
-    """``(session_id, page, markdown)``: metric tables of a session.
+def _reason(stuck: DataFrame) -> Column:
+    """Why an action was stuck; what only came too late has the reason ``Timeout``."""
+    return F.coalesce("reason", F.lit("Timeout")) if "reason" in stuck.columns else F.lit("Timeout")
 
-    ``completion`` is one row per session, ``deltas`` and ``errors`` one per action kind; the list of
-    stuck events, which can be long, is what makes further pages.
+
+def _kinds(differences: DataFrame, which: str) -> Column:
+    """Kinds of action under one difference, as sorted text; null where there are none."""
+    found = F.array_sort(F.collect_set(F.when(F.col("difference") == which, F.col("action"))))
+    return F.nullif(F.array_join(found, ", "), F.lit(""))
+
+
+def markdown_report(
+    completion: DataFrame, deltas: DataFrame, errors: DataFrame, stuck: DataFrame, deviation: DataFrame, differences: DataFrame,
+    feedback: DataFrame, title: str = "Session feedback report",
+) -> DataFrame:
+    """``(session_id, page, markdown)``: metric tables of a session and its written feedback.
+
+    ``completion`` is one row per session, ``deltas`` and ``errors`` one per action kind, ``differences`` one per
+    missing or extra kind; ``feedback`` holds ``session_id, generated_at, feedback``, either may be null.  The list of
+    stuck events (``reason`` is optional), which can be long, is what makes further pages.
     """
     timing = F.concat(
         F.lit("| "), "action_name", F.lit(" | "), _number("agent_avg_s"), F.lit("s | "), _number("real_user_avg_s"), F.lit("s | "),
@@ -54,17 +69,19 @@ def markdown_report(completion: DataFrame, deltas: DataFrame, errors: DataFrame,
     timings = _rows_text(deltas, timing, "action_name", "_timing")
     faults = _rows_text(errors, F.concat(F.lit("- **"), "action_name", F.lit("**: "), "first_errors"), "action_name", "_errors")
     stops = paged(stuck, ["session_id"], "step",
-                  F.concat(F.lit("- "), "action_name", F.lit(" at "), plain_seconds(F.col("relative_s")), F.lit("s: Timeout")), "_stops")
+                  F.concat(F.lit("- "), "action_name", F.lit(" at "), plain_seconds(F.col("relative_s")), F.lit("s: "), _reason(stuck)), "_stops")
     body = (
         completion.join(timings, "session_id", "left").join(faults, "session_id", "left")
         .join(deviation.select("session_id", "match_rate", "deviation_score"), "session_id", "left")
+        .join(differences.groupBy("session_id").agg(_kinds(differences, "missing").alias("_missing"), _kinds(differences, "extra").alias("_extra")), "session_id", "left")
+        .join(feedback.select("session_id", F.col("generated_at").cast("string").alias("_generated"), F.col("feedback").alias("_feedback")), "session_id", "left")
         .withColumn("page", F.lit(0).cast("long"))
         .join(stops, ["session_id", "page"], "full_outer")
     )
     listed = F.when(F.size("_stops") > 0, F.concat(F.lit("**Stuck events:**\n"), F.array_join("_stops", "\n")))
     first = F.concat_ws(
         "\n\n",
-        F.concat(F.lit(f"# {title}\n**Session:** "), F.col("session_id").cast("string")),
+        F.concat(F.lit(f"# {title}\n**Session:** "), F.col("session_id").cast("string"), F.lit("\n**Generated:** "), F.coalesce("_generated", F.lit("unknown"))),
         F.lit("---\n\n## Quantitative Metrics"),
         metric_table(completion),
         F.concat(F.lit("### Timing\n| Metric | Value |\n|---|---|\n| Agent duration | "), _number("agent_duration_s"), F.lit("s |\n| Real user duration | "),
@@ -73,21 +90,39 @@ def markdown_report(completion: DataFrame, deltas: DataFrame, errors: DataFrame,
         F.concat(F.lit("### Errors & Stuck Events\n- **Total errors:** "), _n("total_errors"), F.lit("\n- **Stuck events:** "), _n("total_stuck_events")),
         F.concat(F.lit("**Errors by action:**\n"), F.col("_errors")),
         listed,
-        F.concat(F.lit("### Policy Deviation\n- **Match rate:** "), _number("match_rate"), F.lit("\n- **Deviation score:** "), _number("deviation_score")),
+        F.concat(F.lit("### Policy Deviation\n- **Match rate:** "), _number("match_rate"), F.lit("\n- **Deviation score:** "), _number("deviation_score"),
+                 F.coalesce(F.concat(F.lit("\n- **Missing actions:** "), "_missing"), F.lit("")), F.coalesce(F.concat(F.lit("\n- **Extra actions:** "), "_extra"), F.lit(""))),
+        F.concat(F.lit("---\n\n## Qualitative Feedback\n\n"), F.col("_feedback")),
     )
     return body.select("session_id", "page", F.when(F.col("executed_actions").isNotNull(), first).otherwise(listed).alias("markdown"))
 
 
-def report_json(completion: DataFrame, deltas: DataFrame, deviation: DataFrame) -> DataFrame:
-    """``(session_id, report)``: the same metrics as one JSON document per session."""
+def report_json(
+    completion: DataFrame, deltas: DataFrame, errors: DataFrame, stuck: DataFrame, deviation: DataFrame, differences: DataFrame, engagement: DataFrame,
+) -> DataFrame:
+    """``(session_id, page, report)``: the same metrics as a JSON document, with ``engagement_counts``.
+
+    As in Markdown, a very long list of stuck events goes on in further documents that hold nothing else.
+    """
+    kinds = {which: F.array_sort(F.collect_set(F.when(F.col("difference") == which, F.col("action")))) for which in ("missing", "extra")}
+    apart = differences.groupBy("session_id").agg(*[x.alias(f"{which}_action_types") for which, x in kinds.items()])
+    faults = errors.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("action_name", "first_errors"))).alias("errors_by_action"))
+    details = paged(stuck, ["session_id"], "step", F.struct(F.col("action_name").alias("action"), "relative_s", _reason(stuck).alias("reason")), "stuck_details")
     per_action = deltas.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("action_name", "agent_avg_s", "real_user_avg_s", "delta_s", "ratio"))).alias("per_action_deltas"))
     joined = completion.join(per_action, "session_id", "left").join(deviation.drop("planned_length", "actual_length"), "session_id", "left")
-    return joined.select("session_id", F.to_json(F.struct(
+    for more in (apart, faults, engagement):
+        joined = joined.join(more, "session_id", "left")
+    joined = joined.withColumn("page", F.lit(0).cast("long")).join(details, ["session_id", "page"], "full_outer")
+    no_kinds = F.array().cast("array<string>")
+    whole = F.to_json(F.struct(
         "session_id",
         F.struct("planned_actions", "executed_actions", "successful_actions", "failed_actions", "completion_rate").alias("completion"),
         F.struct("agent_duration_s", "real_user_duration_s", "duration_ratio", "per_action_deltas").alias("timing"),
-        F.struct("total_errors", "total_stuck_events").alias("errors"),
-        F.struct("sequential_matches", "match_rate", "deviation_score").alias("deviation"))).alias("report"))
+        F.struct("total_errors", "total_stuck_events", "errors_by_action", "stuck_details").alias("errors"),
+        F.struct("sequential_matches", "match_rate", "deviation_score", *[F.coalesce(c, no_kinds).alias(c) for c in ("missing_action_types", "extra_action_types")]).alias("deviation"),
+        F.struct("agent_comments_written", "agent_votes_cast", "real_user_input_events", "real_user_click_events").alias("engagement")))
+    rest = F.to_json(F.struct("session_id", F.struct("stuck_details").alias("errors")))
+    return joined.select("session_id", "page", F.when(F.col("executed_actions").isNotNull(), whole).otherwise(rest).alias("report"))
 
 
 # Prompt wording is a parameter; these defaults only name the task.
@@ -119,11 +154,19 @@ def policy_prompt(descriptions: DataFrame, profiles: DataFrame, task: str = POLI
 
 
 def label_prompt(stats: DataFrame, excerpts: DataFrame, cluster: str, task: str = LABEL_TASK) -> DataFrame:
-    """``stats`` holds size and means per cluster, ``excerpts`` its first members (``rank, excerpt``)."""
+    """``stats`` is ``cluster_profile`` (size, means, traits, distributions), ``excerpts`` its first members (``rank, excerpt``)."""
+    def spread(c: str) -> Column:
+        """Counts by value, in the order of the values."""
+        entries = F.array_sort(F.map_entries(F.coalesce(c, F.create_map().cast("map<string, bigint>"))))
+        return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", "), F.lit("}"))
+
     item = F.struct("rank", F.concat(F.lit("--- User "), F.col("rank").cast("string"), F.lit(" ---\n"), "excerpt").alias("e"))
     samples = excerpts.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["e"]), "\n").alias("_samples"))
-    facts = F.concat(F.lit("- Users: "), F.col("size").cast("string"), F.lit("\n- Average session duration: "), _number("avg_duration_s"),
-                     F.lit("s\n- Average actions per session: "), _number("avg_actions"))
+    facts = F.concat(
+        F.lit("- Users: "), F.col("size").cast("string"), F.lit("\n- Dominant age group: "), _n("age_group", "unknown"), F.lit("\n- Dominant country: "), _n("country", "unknown"),
+        F.lit("\n- NYC familiarity: "), _n("nyc_familiarity", "unknown"), F.lit("\n- Average session duration: "), _number("avg_duration_s"),
+        F.lit("s\n- Average actions per session: "), _number("avg_actions"),
+        F.lit("\n- Age distribution: "), spread("age_distribution"), F.lit("\n- Country distribution: "), spread("country_distribution"))
     return stats.join(samples, cluster, "left").select(cluster, F.concat_ws(
         "\n\n", F.lit(task), _block("CLUSTER STATS", facts), _block("SAMPLE DESCRIPTIONS", F.coalesce("_samples", F.lit("")))).alias("prompt"))
 

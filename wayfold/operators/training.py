@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from wayfold.functions.exprs import fixed0, fixed1
 from wayfold.operators.filters import NON_USER_ACTIONS
 from wayfold.operators.sequence import with_lookback
+from wayfold.session import materialize
 
 WINDOW_SIZE = 5
 MIN_SESSION_ACTIONS = 3
 MIN_CLUSTER_EXAMPLES = 10
 SPLIT_SEED = 42
 SPLIT_BITS = 12
+MOST_CUTOFFS = 100_000
+"""Clusters whose cut-offs are broadcast; beyond them Spark chooses the join."""
 
 SYSTEM_TEXT = (
     "You act in a browser the way one particular kind of visitor would. You receive a product description, "
@@ -207,12 +210,14 @@ def sequence_split(
     """Adds ``split``: per cluster, the ``max(1, int(n * share))`` rows smallest by seeded hash are ``val``.
 
     Only one number per cluster, the cut-off, has to be found: counts per hash prefix locate the
-    bucket it lies in, and just that bucket is ranked.  The examples themselves are not shuffled
-    and the sizes are exact, however large a cluster is.  ``ids`` identify an example.
+    bucket it lies in, and just that bucket is ranked.  The keys are a stage table, so examples are
+    read for them and for the labels only.  The cut-offs are counted, and broadcast up to ``MOST_CUTOFFS``
+    clusters: examples are then labelled where they are, whatever Spark's own limit for broadcasts.
+    The sizes are exact, however large a cluster is.  ``ids`` identify an example.
     """
     place = F.struct(F.xxhash64(F.col(cluster) + F.lit(seed), *ids).alias("h"), *[F.col(c) for c in ids])
     bucket = F.shiftright("_at.h", 64 - SPLIT_BITS)
-    keys = examples.select(F.col(cluster).alias("_c"), place.alias("_at")).withColumn("_bucket", bucket)
+    keys = materialize(examples.select(F.col(cluster).alias("_c"), place.alias("_at")).withColumn("_bucket", bucket))
     per_bucket = keys.groupBy("_c", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_c")
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -223,7 +228,9 @@ def sequence_split(
         .select("_c", "_bucket", (F.col("_quota") - F.col("_before")).alias("_rank"))
     )
     ranked = keys.join(edges, ["_c", "_bucket"]).withColumn("_no", F.row_number().over(whole.orderBy("_at")))
-    cutoffs = ranked.filter(F.col("_no") == F.col("_rank")).select("_c", F.col("_at").alias("_last"))
+    cutoffs = materialize(ranked.filter(F.col("_no") == F.col("_rank")).select("_c", F.col("_at").alias("_last")))
+    if cutoffs.count() <= MOST_CUTOFFS:
+        cutoffs = F.broadcast(cutoffs)
     joined = examples.join(cutoffs, F.col(cluster) == F.col("_c"))
     return joined.withColumn("split", F.when(place <= F.col("_last"), F.lit("val")).otherwise(F.lit("train"))).drop("_c", "_last")
 

@@ -191,34 +191,54 @@ METRICS = """'### Completion' || nl || '| Metric | Value |' || nl || '|---|---|'
 @query("markdown_report", REPORT + FAULTS + """,
 tm AS (SELECT session_id, string_agg('| ' || action_name || ' | ' || agent_avg_s || 's | ' || real_user_avg_s || 's | ' || delta_s || 's | ' || ratio || 'x |', chr(10) ORDER BY action_name) AS t FROM deltas GROUP BY 1),
 er AS (SELECT session_id, string_agg('- **' || action_name || '**: ' || first_errors, chr(10) ORDER BY action_name) AS e FROM first_errors GROUP BY 1),
-st AS (SELECT session_id, string_agg('- ' || action_name || ' at ' || relative_s || 's: Timeout', chr(10) ORDER BY step) AS s FROM stuck GROUP BY 1)
-SELECT session_id, 0::BIGINT AS page, '# Session feedback report' || nl || '**Session:** ' || session_id || nl || nl || '---' || nl || nl || '## Quantitative Metrics' || nl || nl || """ + METRICS + """ || nl || nl
+st AS (SELECT session_id, string_agg('- ' || action_name || ' at ' || relative_s || 's: ' || CASE WHEN step % 2 = 0 THEN 'late ' || action_name ELSE 'Timeout' END, chr(10) ORDER BY step) AS s FROM stuck GROUP BY 1),
+kinds AS (SELECT DISTINCT session_id, action, 'did' AS side FROM actual UNION SELECT DISTINCT session_id, action, 'want' FROM planned),
+df AS (SELECT session_id, string_agg(action, ', ' ORDER BY action) FILTER (WHERE side = 'want') AS missing, string_agg(action, ', ' ORDER BY action) FILTER (WHERE side = 'did') AS extra
+  FROM (SELECT session_id, action, min(side) AS side FROM kinds GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1)
+SELECT session_id, 0::BIGINT AS page, '# Session feedback report' || nl || '**Session:** ' || session_id || nl || '**Generated:** ' || coalesce(CASE WHEN c_nationkey > 3 THEN '2024-01-02' END, 'unknown') || nl || nl || '---' || nl || nl || '## Quantitative Metrics' || nl || nl || """ + METRICS + """ || nl || nl
   || '### Timing' || nl || '| Metric | Value |' || nl || '|---|---|' || nl || '| Agent duration | ' || agent_duration_s || 's |' || nl || '| Real user duration | ' || coalesce(real_user_duration_s::VARCHAR, 'N/A')
   || 's |' || nl || '| Duration ratio | ' || duration_ratio || 'x |' || nl || nl
   || coalesce('### Per-Action Timing Comparison' || nl || '| Action | Agent Avg | Real User Avg | Delta | Ratio |' || nl || '|---|---|---|---|---|' || nl || t || nl || nl, '')
   || '### Errors & Stuck Events' || nl || '- **Total errors:** ' || total_errors || nl || '- **Stuck events:** ' || total_stuck_events || nl || nl
   || coalesce('**Errors by action:**' || nl || e || nl || nl, '') || coalesce('**Stuck events:**' || nl || s || nl || nl, '')
-  || '### Policy Deviation' || nl || '- **Match rate:** ' || coalesce(match_rate::VARCHAR, 'N/A') || nl || '- **Deviation score:** ' || deviation_score AS markdown
+  || '### Policy Deviation' || nl || '- **Match rate:** ' || coalesce(match_rate::VARCHAR, 'N/A') || nl || '- **Deviation score:** ' || deviation_score
+  || coalesce(nl || '- **Missing actions:** ' || missing, '') || coalesce(nl || '- **Extra actions:** ' || extra, '')
+  || coalesce(nl || nl || '---' || nl || nl || '## Qualitative Feedback' || nl || nl || 'Seen by ' || c_name, '') AS markdown
 FROM (SELECT *, chr(10) AS nl FROM completion) LEFT JOIN tm USING (session_id) LEFT JOIN er USING (session_id) LEFT JOIN st USING (session_id)
-LEFT JOIN (SELECT session_id, match_rate, deviation_score FROM deviation) USING (session_id)""")
+LEFT JOIN (SELECT session_id, match_rate, deviation_score FROM deviation) USING (session_id) LEFT JOIN df USING (session_id) LEFT JOIN customer ON c_custkey = session_id""")
 def markdown_report(t):
-    deviation = A.positional_match(*B.agent_sequences(t))
-    return R.markdown_report(QA._completion(t), QA._deltas(t), A.top_errors(B.stored_agent_log(t)), QA._stuck(t), deviation)
-
-
-@query("report_json", REPORT + """
-SELECT session_id, completion_rate, duration_ratio, total_errors, match_rate, n AS compared_actions FROM completion
-LEFT JOIN (SELECT session_id, match_rate FROM deviation) USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS n FROM deltas GROUP BY 1) USING (session_id)""")
+    sequences = B.agent_sequences(t)
+    stuck = QA._stuck(t).withColumn("reason", F.when(F.col("step") % 2 == 0, F.concat(F.lit("late "), "action_name")))
+    feedback = t.customer.select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_nationkey") > 3, F.lit("2024-01-02")).alias("generated_at"), F.concat(F.lit("Seen by "), "c_name").alias("feedback"))
+    return R.markdown_report(QA._completion(t), QA._deltas(t), A.top_errors(B.stored_agent_log(t)), stuck, A.positional_match(*sequences), A.sequence_differences(*sequences), feedback)
+
+
+@query("report_json", REPORT + FAULTS + """,
+kinds AS (SELECT DISTINCT session_id, action, 'did' AS side FROM actual UNION SELECT DISTINCT session_id, action, 'want' FROM planned),
+df AS (SELECT session_id, count(*) FILTER (WHERE side = 'want') AS missing, count(*) FILTER (WHERE side = 'did') AS extra
+  FROM (SELECT session_id, action, min(side) AS side FROM kinds GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1)
+SELECT session_id, completion_rate, duration_ratio, total_errors, match_rate, n AS compared_actions, coalesce(missing, 0) AS missing_kinds, coalesce(extra, 0) AS extra_kinds,
+  coalesce(e, 0) AS failing_kinds, s AS stuck_details, first_stuck, coalesce(clicks, 0) AS real_user_click_events FROM completion
+LEFT JOIN (SELECT session_id, match_rate FROM deviation) USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS n FROM deltas GROUP BY 1) USING (session_id) LEFT JOIN df USING (session_id)
+LEFT JOIN (SELECT session_id, count(*) AS e FROM first_errors GROUP BY 1) USING (session_id)
+LEFT JOIN (SELECT session_id, count(*) AS s, arg_min(relative_s, step) AS first_stuck FROM stuck GROUP BY 1) USING (session_id)
+LEFT JOIN (SELECT session_id, count(*) FILTER (WHERE action = 'CLICK') AS clicks FROM actions GROUP BY 1) USING (session_id)""")
 def report_json(t):
     """The JSON document is written and read back; its fields must survive."""
-    docs = R.report_json(QA._completion(t), QA._deltas(t), A.positional_match(*B.agent_sequences(t)))
+    sequences = B.agent_sequences(t)
+    docs = R.report_json(QA._completion(t), QA._deltas(t), A.top_errors(B.stored_agent_log(t)), QA._stuck(t), A.positional_match(*sequences), A.sequence_differences(*sequences),
+                         A.engagement_counts(B.action_kinds(t), B.stored_agent_log(t)))
 
     def at(path, kind):
         return F.get_json_object("report", path).cast(kind)
 
     return docs.select("session_id", at("$.completion.completion_rate", "double").alias("completion_rate"), at("$.timing.duration_ratio", "double").alias("duration_ratio"),
                        at("$.errors.total_errors", "long").alias("total_errors"), at("$.deviation.match_rate", "double").alias("match_rate"),
-                       F.json_array_length(F.get_json_object("report", "$.timing.per_action_deltas")).cast("long").alias("compared_actions"))
+                       *[F.json_array_length(F.get_json_object("report", path)).cast("long").alias(name) for path, name in (
+                           ("$.timing.per_action_deltas", "compared_actions"), ("$.deviation.missing_action_types", "missing_kinds"),
+                           ("$.deviation.extra_action_types", "extra_kinds"), ("$.errors.stuck_details", "stuck_details"))],
+                       F.coalesce(F.json_array_length(F.get_json_object("report", "$.errors.errors_by_action")), F.lit(0)).cast("long").alias("failing_kinds"),
+                       at("$.errors.stuck_details[0].relative_s", "double").alias("first_stuck"), at("$.engagement.real_user_click_events", "long").alias("real_user_click_events"))
 
 
 def _with_length(df, *keys):
@@ -253,13 +273,16 @@ def policy_prompt(t):
 WITH s AS (SELECT source, count(*) AS size, floor(sum(floor(n_chars / 10.0::DOUBLE * 100 + 0.5)::BIGINT) / 100.0::DOUBLE / count(*) * 10 + 0.5) / 10 AS avg_d, floor(sum(n_chars % 50) / count(*)::DOUBLE * 10 + 0.5) / 10 AS avg_a FROM documents GROUP BY 1),
 e AS (SELECT source, string_agg('--- User ' || rank || ' ---' || chr(10) || substr("text", 1, 500), chr(10) ORDER BY rank) AS e
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3 GROUP BY 1),
-p AS (SELECT source, 'Task.' || chr(10) || chr(10) || 'CLUSTER STATS:' || chr(10) || '- Users: ' || size || chr(10) || '- Average session duration: ' || avg_d || 's' || chr(10)
-  || '- Average actions per session: ' || avg_a || chr(10) || chr(10) || 'SAMPLE DESCRIPTIONS:' || chr(10) || e AS prompt FROM s JOIN e USING (source))
+l AS (SELECT source, string_agg(lang || ': ' || n, ', ' ORDER BY lang) AS langs, arg_min(lang, (-n, lang)) AS top_lang FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang <> '' GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT source, string_agg(v || ': ' || n, ', ' ORDER BY v) AS cs, arg_min(v, (-n, v)) AS top_c FROM (SELECT source, 'c' || (doc_id % 5) AS v, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT source, 'Task.' || chr(10) || chr(10) || 'CLUSTER STATS:' || chr(10) || '- Users: ' || size || chr(10) || '- Dominant age group: ' || coalesce(top_lang, 'unknown') || chr(10) || '- Dominant country: ' || top_c || chr(10) || '- NYC familiarity: unknown' || chr(10)
+  || '- Average session duration: ' || avg_d || 's' || chr(10) || '- Average actions per session: ' || avg_a || chr(10)
+  || '- Age distribution: {' || coalesce(langs, '') || '}' || chr(10) || '- Country distribution: {' || cs || '}' || chr(10) || chr(10) || 'SAMPLE DESCRIPTIONS:' || chr(10) || e AS prompt FROM s JOIN e USING (source) LEFT JOIN l USING (source) LEFT JOIN c USING (source))
 SELECT source, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def label_prompt(t):
     missing = F.lit(None).cast("string")
     members = t.documents.select("source", (F.col("n_chars") / 10.0).alias("duration_s"), F.pmod("n_chars", F.lit(50)).alias("n_actions"),
-                                 missing.alias("age_group"), missing.alias("country"), missing.alias("nyc_familiarity"))
+                                 F.col("lang").alias("age_group"), F.concat(F.lit("c"), F.pmod("doc_id", F.lit(5)).cast("string")).alias("country"), missing.alias("nyc_familiarity"))
     excerpts = C.cluster_excerpts(t.documents, "source", "doc_id", "text")
     return _with_length(R.label_prompt(C.cluster_profile(members, "source"), excerpts, "source", task="Task."), "source")
 
