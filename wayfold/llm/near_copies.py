@@ -8,9 +8,10 @@ tries miss 0.8 %, at 0.85 fewer than one in 10,000.
 The least hashes come from one sketch (bins filled in rounds, an earlier round always before a later one), which costs
 a few thousand hashes a text however many bins there are.
 
-Sets that are equal are one node.  A few fingerprints are asked first and give a spanning forest of links, so that
-large groups of near copies are joined by a few pairs for each text.  Then all fingerprints are asked across what is
-still apart, first for a forest again, then for every pair.
+Sets that are equal are one node.  Star rounds come first: of the nodes that share a whole fingerprint, each is asked
+against the one that meets the most others, which is the likely original, so that copies of one original are joined
+without a pair of every two.  The tries then ask what is still apart, first for a spanning forest of each run that
+prefers such nodes, then for every pair.
 
 Defined results: wordless and null texts are copies of each other; repeated rows are copies; the row that stays is that
 of the least doc_id (nulls last), of equal ids the one with the least text digest; empty input, empty output.
@@ -35,8 +36,12 @@ from wayfold.session import materialize
 
 WIDTH, PERCENT = 5, 80
 PRINTS, PRINT_BITS, BUDGET = 24, 30, 1
-#: Fingerprints that are asked first.
-FIRST = 3
+#: Star rounds; they decide on speed, not on results.
+STARS = 3
+#: Differing bits of all fingerprints beyond which a pair is not counted: similarity 0.8 has more with probability 3e-5.
+MOST_BITS = 104
+#: Pairs that are compared at once.
+CELLS = 1 << 20
 #: Hashes of a round of the sketch that are looked at together.
 TOGETHER = 4096
 
@@ -74,31 +79,32 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key(F.col("text"), F.col("doc_id")).alias("text_key"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *more]))
 
 
-def _cells(nodes: DataFrame, which: range) -> DataFrame:
-    """``t, fp, id``: a row for each asked fingerprint of each node."""
+def _cells(nodes: DataFrame) -> DataFrame:
+    """``t, fp, id``: a row for each fingerprint of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.int64).reshape(-1, PRINTS)[:, which.start : which.stop]
-            ids = np.repeat(batch.column("id").to_numpy(), len(which))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(which.start, which.stop, dtype=np.int32), len(bits))), pa.array(bits.reshape(-1)), pa.array(ids)], names=["t", "fp", "id"])
+            bits = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.int64)
+            ids = np.repeat(batch.column("id").to_numpy(), PRINTS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(PRINTS, dtype=np.int32), batch.num_rows)), pa.array(bits), pa.array(ids)], names=["t", "fp", "id"])
 
     return nodes.select("id", "prints").mapInArrow(run, "t int, fp long, id long")
 
 
 def _forest(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of each run that join what is apart in it."""
-    turned, side, ids, roots = (frame[c].to_numpy() for c in ("turned", "side", "id", "root"))
+    """Links of each run that join what is apart in it; those of nodes that meet many come first."""
+    turned, side, ids, roots, met = (frame[c].to_numpy() for c in ("turned", "side", "id", "root", "met"))
     out = []
     for lo, hi in trie.runs_of(frame):
         if (roots[lo:hi] == roots[lo]).all():
             continue
-        known = {}
-        for i, j in trie.run_pairs(turned[lo:hi].view(np.uint64), side[lo:hi], BUDGET):
-            x, y = (_find(known, int(roots[lo + k])) for k in (i, j))
+        known: dict[int, int] = {}
+        pairs = [(lo + i, lo + j) for i, j in trie.run_pairs(turned[lo:hi].view(np.uint64), side[lo:hi], BUDGET) if roots[lo + i] != roots[lo + j]]
+        for i, j in sorted(pairs, key=lambda p: (-max(met[p[0]], met[p[1]]), p)):
+            x, y = _find(known, int(roots[i])), _find(known, int(roots[j]))
             if x != y:
                 known[max(x, y)] = min(x, y)
-                out.append((ids[lo + i], ids[lo + j]))
+                out.append((ids[i], ids[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -109,16 +115,24 @@ def _find(known: dict[int, int], x: int) -> int:
 
 
 def _every(frame: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of fingerprints of each run that hold different components."""
-    turned, side, ids, lows, highs = (frame[c].to_numpy() for c in ("turned", "side", "id", "lo", "hi"))
-    out = []
+    """All pairs of each run that are in different components and whose fingerprints together allow the similarity."""
+    turned, side, ids, roots = (frame[c].to_numpy() for c in ("turned", "side", "id", "root"))
+    bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
+    out = [np.zeros((0, 2), np.int64)]
     for lo, hi in trie.runs_of(frame):
-        if (lows[lo:hi] == lows[lo]).all() and (highs[lo:hi] == lows[lo]).all():
+        if (roots[lo:hi] == roots[lo]).all():
             continue
-        for i, j in trie.run_pairs(turned[lo:hi].view(np.uint64), side[lo:hi], BUDGET):
-            if not lows[lo + i] == highs[lo + i] == lows[lo + j] == highs[lo + j]:
-                out.append((ids[lo + i], ids[lo + j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        run, kind = turned[lo:hi].view(np.uint64), side[lo:hi]
+        left, right = np.flatnonzero(kind != 2) + lo, np.flatnonzero(kind != 1) + lo
+        for a, b, c, d in trie.leaves(run[left - lo], run[right - lo], not kind.any(), BUDGET):
+            other = right[c:d]
+            for at in range(a, b, max(1, CELLS // (d - c))):
+                some = left[at : min(b, at + max(1, CELLS // (d - c)))]
+                i, j = np.nonzero((np.bitwise_count(turned[some, None] ^ turned[None, other]) <= BUDGET) & (roots[some, None] != roots[None, other]))
+                near = np.bitwise_count(bits[some[i]] ^ bits[other[j]]).sum(1, dtype=np.int64) <= MOST_BITS
+                out.append(np.stack([ids[some[i[near]]], ids[other[j[near]]]], 1))
+    pairs = np.concatenate(out)
+    return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}).drop_duplicates() if len(pairs) else pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _walked(groups: DataFrame, extra: list[str], give, run_limit: int) -> DataFrame:
@@ -129,26 +143,26 @@ def _walked(groups: DataFrame, extra: list[str], give, run_limit: int) -> DataFr
 
 
 def _asked(cells: DataFrame, run_limit: int) -> DataFrame:
-    """``a, b``: candidates that join what is apart, from cells (``t, fp, id, root``)."""
-    groups = materialize(cells.groupBy("t", "fp").agg(F.min(F.struct("id", "root")).alias("rep"), F.min("root").alias("lo"), F.max("root").alias("hi")))
+    """``a, b``: candidates that join what is apart, from cells (``t, fp, id, met, root``)."""
+    place = F.struct("met", "id", "root")
+    groups = materialize(cells.groupBy("t", "fp").agg(F.max(place).alias("rep"), F.min("root").alias("lo"), F.max("root").alias("hi")))
     mixed_groups = groups.filter("lo < hi").select("t", "fp", "rep")
     stars = cells.join(mixed_groups, ["t", "fp"]).filter(F.col("root") != F.col("rep.root")).select(F.col("rep.id").alias("a"), F.col("id").alias("b"))
-    walks = _walked(groups.select("t", "fp", "rep.id", "rep.root"), ["id", "root"], _forest, run_limit)
+    walks = _walked(groups.select("t", "fp", "rep.id", "rep.root", "rep.met"), ["id", "root", "met"], _forest, run_limit)
     return _distinct(stars.unionByName(walks))
 
 
+def _starred(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: the members of each fingerprint with the one that meets the most others; and the cells apart from it."""
+    place = F.struct("met", "id", "root")
+    groups = cells.groupBy("t", "fp").agg(F.max(place).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "fp", "hub")
+    star = materialize(cells.join(groups, ["t", "fp"]).filter(F.col("root") != F.col("hub.root")).select("t", "fp", "id", "met", F.col("hub.id").alias("hub")))
+    return _distinct(star.select(F.col("hub").alias("a"), F.col("id").alias("b"))), star.drop("hub")
+
+
 def _apart(cells: DataFrame, run_limit: int) -> DataFrame:
-    """``a, b``: every pair of different components within the budget of some fingerprint."""
-    groups = materialize(cells.groupBy("t", "fp").agg(F.min("id").alias("id"), F.min("root").alias("lo"), F.max("root").alias("hi")))
-    other = cells.select(F.col("t"), F.col("fp"), F.col("id").alias("id_"), F.col("root").alias("root_"))
-    equal = cells.join(groups.filter("lo < hi").select("t", "fp"), ["t", "fp"]).join(other, ["t", "fp"]).filter("id < id_ AND root <> root_").select(F.col("id").alias("a"), F.col("id_").alias("b"))
-    numbered = groups.withColumn("id", F.monotonically_increasing_id())
-    numbered = materialize(numbered)
-    walks = _walked(numbered.select("t", "fp", "id", "lo", "hi"), ["id", "lo", "hi"], _every, run_limit).distinct()
-    members = cells.join(numbered.select("t", "fp", F.col("id").alias("g")), ["t", "fp"]).select("g", "id", "root")
-    left, right = members.select(F.col("g").alias("a"), F.col("id").alias("x"), F.col("root").alias("x_root")), members.select(F.col("g").alias("b"), F.col("id").alias("y"), F.col("root").alias("y_root"))
-    close = walks.join(left, "a").join(right, "b").filter("x_root <> y_root").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return _distinct(equal.unionByName(close))
+    """``a, b``: every pair of different components within the budget of some fingerprint, from cells with ``bits``."""
+    return _distinct(_walked(cells.select("t", "fp", "id", "root", "bits"), ["id", "root", "bits"], _every, run_limit))
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -165,15 +179,24 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, run_limit: int = trie.R
     rows = materialize(_sketched(docs))
     nodes = rows.groupBy("node").agg(F.min(F.struct("text_key", "n", "prints")).alias("x"))
     nodes = materialize(nodes.select("node", "x.*").withColumn("id", F.monotonically_increasing_id()))
-    asked = _asked(_cells(nodes, range(FIRST)).withColumn("root", F.col("id")), run_limit)
-    links = alike(asked, nodes, docs, WIDTH, percent)
+    cells = _cells(nodes)
+    shared = cells.groupBy("t", "fp").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    shared = materialize(cells.join(shared, ["t", "fp"]))
+    met = materialize(shared.groupBy("id").agg(F.sum("many").alias("met")))
+    apart, asked, links = shared.join(met, "id").drop("many").withColumn("root", F.col("id")), None, None
+    for _ in range(STARS):
+        pairs, apart = _starred(apart)
+        pairs = pairs if asked is None else materialize(pairs.join(asked, ["a", "b"], "left_anti"))
+        found = alike(pairs, nodes, docs, WIDTH, percent)
+        asked, links = (pairs, found) if asked is None else (asked.unionByName(pairs), links.unionByName(found))
+        apart = _rooted(apart, links)
+    known = nodes.join(met, "id", "left").withColumn("met", F.coalesce("met", F.lit(0)))
     for search in (_asked, _apart):
         if search is _apart:  # who has no candidate at all has none here
             some = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            nodes_left = nodes.join(some, "id", "left_semi")
-        else:
-            nodes_left = nodes
-        more = search(_rooted(_cells(nodes_left, range(PRINTS)), links), run_limit).join(asked, ["a", "b"], "left_anti")
+            known = known.join(some, "id", "left_semi")
+        rooted = materialize(_rooted(known.select("id", "met", "prints"), links))
+        more = search(_cells(rooted).join(rooted.select("id", "met", "root", F.col("prints").alias("bits")), "id"), run_limit).join(asked, ["a", "b"], "left_anti")
         more = materialize(more)
         links = links.unionByName(alike(more, nodes, docs, WIDTH, percent))
         asked = asked.unionByName(more)
