@@ -136,12 +136,20 @@ def test_first_fit_decreasing_against_the_list_version(lengths):
     assert packing.first_fit_decreasing(lengths, 100) == want
 
 
+def test_ids_are_those_of_the_named_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.tokenizer_path())
+    for text in ("", "a<|endoftext|> b <|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext", "\n <|endoftext|>\n", "Ärger \U0001f600 x" * 50, "<|ENDOFTEXT|>"):
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(small):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(small, group_rows=64).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:

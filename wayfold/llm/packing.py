@@ -36,16 +36,20 @@ def tokenizer_path() -> str:
 def encoder(path: str):
     """Byte-level BPE of the ranks at ``path``; same ids as ``byte_bpe_50k.json`` gives (tested), four times as fast.
 
-    Strings of special tokens in a text are ordinary text.
+    As there, the tokenizer's added tokens are one id each where a text holds them.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 class Tournament:
