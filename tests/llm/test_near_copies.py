@@ -106,3 +106,22 @@ def test_block_edits_against_all_pairs(spark, limit):
     for i in range(len(texts)):
         for j in range(i):
             assert (root[i] == root[j]) == (want[i] == want[j]), (i, j, shared(sets[i], sets[j]))
+
+
+def test_a_close_pair_is_given_by_one_block_only():
+    rng = np.random.default_rng(4)
+    left = np.stack([N.prints(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(40)])
+    right = left.copy()
+    for row in right:
+        for t in rng.choice(N.PRINTS, 20, replace=False):
+            row[t] ^= np.uint64(1) << np.uint64(63 - rng.integers(0, N.PRINT_BITS))
+            if rng.random() < 0.6:
+                row[t] ^= np.uint64(1) << np.uint64(63 - rng.integers(0, N.PRINT_BITS))
+    given = sum(N._first_met(left, right, b).astype(int) for b in range(N.PRINTS * (N.BUDGET + 1)))
+    assert (given == 1).all()
+    for b in range(N.PRINTS * (N.BUDGET + 1)):  # and that block is one in which the pair is walked
+        t, k = divmod(b, N.BUDGET + 1)
+        at, width = N.trie.blocks(N.BUDGET, N.PRINT_BITS)[k]
+        met = ((left[:, t] ^ right[:, t]) << np.uint64(at)) >> np.uint64(64 - width) == 0
+        assert (met & (np.bitwise_count(left[:, t] ^ right[:, t]) <= N.BUDGET))[N._first_met(left, right, b)].all()
+    assert not N._first_met(left, left[::-1].copy(), 0).any()

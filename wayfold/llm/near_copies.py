@@ -114,9 +114,22 @@ def _find(known: dict[int, int], x: int) -> int:
     return x
 
 
+def _first_met(left: np.ndarray, right: np.ndarray, block: int) -> np.ndarray:
+    """Which pairs are close enough over all fingerprints, and meet in ``block`` before any other; so a pair comes once."""
+    apart = left ^ right
+    bits = np.bitwise_count(apart)
+    first = (bits <= BUDGET).argmax(1)
+    edges = [at for at, _ in trie.blocks(BUDGET, PRINT_BITS)]
+    at_first, own = apart[np.arange(len(apart)), first], np.full(len(apart), len(edges) - 1)
+    for k in range(len(edges) - 2, -1, -1):
+        inside = (at_first << np.uint64(edges[k])) >> np.uint64(64 - (edges[k + 1] - edges[k]))
+        own = np.where(inside == 0, k, own)
+    return (bits.sum(1, dtype=np.int64) <= MOST_BITS) & (first * (BUDGET + 1) + own == block)
+
+
 def _every(frame: pd.DataFrame) -> pd.DataFrame:
     """All pairs of each run that are in different components and whose fingerprints together allow the similarity."""
-    turned, side, ids, roots = (frame[c].to_numpy() for c in ("turned", "side", "id", "root"))
+    turned, side, ids, roots, blocks = (frame[c].to_numpy() for c in ("turned", "side", "id", "root", "block"))
     bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
     out = [np.zeros((0, 2), np.int64)]
     for lo, hi in trie.runs_of(frame):
@@ -129,7 +142,7 @@ def _every(frame: pd.DataFrame) -> pd.DataFrame:
             for at in range(a, b, max(1, CELLS // (d - c))):
                 some = left[at : min(b, at + max(1, CELLS // (d - c)))]
                 i, j = np.nonzero((np.bitwise_count(turned[some, None] ^ turned[None, other]) <= BUDGET) & (roots[some, None] != roots[None, other]))
-                near = np.bitwise_count(bits[some[i]] ^ bits[other[j]]).sum(1, dtype=np.int64) <= MOST_BITS
+                near = _first_met(bits[some[i]], bits[other[j]], int(blocks[lo]))
                 out.append(np.stack([ids[some[i[near]]], ids[other[j[near]]]], 1))
     pairs = np.concatenate(out)
     return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}).drop_duplicates() if len(pairs) else pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})

@@ -61,7 +61,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return run(text)
 
 
-def _blocks(k: int, bits: int = BITS) -> list[tuple[int, int]]:
+def blocks(k: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, bits) of the k + 1 blocks of the highest ``bits``, from the highest bit."""
     edges = [round(bits * i / (k + 1)) for i in range(k + 2)]
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
@@ -138,7 +138,7 @@ def _bit_links(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     turned, side = frame["turned"].to_numpy(np.int64).view(np.uint64), frame["side"].to_numpy()
     cells = []
     for lo, hi in runs_of(frame):
-        back = _blocks(k)[int(frame["block"].iat[lo])][0]
+        back = blocks(k)[int(frame["block"].iat[lo])][0]
         for pair in _forest(turned[lo:hi], side[lo:hi], k):
             cells.append(tuple(((x >> back) | (x << (BITS - back))) & (2**BITS - 1) for x in pair))
     pairs = np.array(cells, dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -170,13 +170,13 @@ def _turn(fp: Column, by: int) -> Column:
 
 def turned(fps: list[Column], k: int, bits: int = BITS) -> Column:
     """One entry for each block of each fingerprint, that block leading."""
-    cells = [(fp, at, width) for fp in fps for at, width in _blocks(k, bits)]
+    cells = [(fp, at, width) for fp in fps for at, width in blocks(k, bits)]
     return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(_turn(fp, at), BITS - width).alias("run"), _turn(fp, at).alias("turned")) for i, (fp, at, width) in enumerate(cells)]))
 
 
 def parted(rows: DataFrame, k: int, run_limit: int, extra: list[str], bits: int = BITS) -> list[DataFrame]:
     """``rows`` (``block, run, turned, side, spent`` and ``extra``) in tables whose runs have at most ``run_limit`` rows."""
-    depth, ready = max(w for _, w in _blocks(k, bits)) + 1, []
+    depth, ready = max(w for _, w in blocks(k, bits)) + 1, []
     thin = not extra  # wider rows: runs of one row cost less in the join than a shuffle to leave them out
     while True:
         sizes = rows.groupBy("block", "run").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("n > 1 AND (lo = 0 OR lo < hi)")
