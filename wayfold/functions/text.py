@@ -76,7 +76,10 @@ def extract_id(body: Column) -> Column:
 
 
 def action_log_line() -> Column:
-    """The row's action as a line of the session log; null for kinds the log leaves out."""
+    """The row's action as a line of the session log; null for kinds the log leaves out.
+
+    Fixed values: the wording of the five kinds of line is the log's format.
+    """
     kind = F.col("action")
 
     def text(c: str) -> Column:

@@ -125,7 +125,7 @@ FRICTION_REASONS = {
     "failure": " failure(s) — agent could not complete this action",
     "error": " error(s) encountered",
     "slowdown": "x slower than real user",
-    "mean": ("High average duration (", "s) — may indicate loading or rendering delays"),
+    "mean": "High average duration ({mean}s) — may indicate loading or rendering delays",
     "skipped": "x skipped (probability) — agent uncertain about interaction",
 }
 TIER_COLOURS = [(5.0, "red"), (3.0, "amber"), (1.5, "yellow")]
@@ -169,7 +169,7 @@ def friction_items(agent: DataFrame, deltas: DataFrame) -> DataFrame:
         F.when(failures > 0, F.concat(count, F.lit(FRICTION_REASONS["failure"]))),
         F.when(failures > 0, F.concat(count, F.lit(FRICTION_REASONS["error"]))),
         tiered(SLOWDOWN_TIERS, lambda _, note: F.concat(fixed1(slow), F.lit(FRICTION_REASONS["slowdown"] + note)), F.lit(None)),
-        F.when(mean > SLOW_MEAN_S, F.concat(F.lit(FRICTION_REASONS["mean"][0]), fixed1(mean), F.lit(FRICTION_REASONS["mean"][1]))),
+        F.when(mean > SLOW_MEAN_S, F.replace(F.lit(FRICTION_REASONS["mean"]), F.lit("{mean}"), fixed1(mean))),
         F.when(skipped > 0, F.concat(skipped.cast("string"), F.lit(FRICTION_REASONS["skipped"]))),
     ))
     severity = None
