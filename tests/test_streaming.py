@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import online as O
@@ -26,19 +28,45 @@ def drain(writer, checkpoint):
 def test_dedupe_across_batches_and_reruns(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     land(spark, [("a", 1, at(0)), ("b", 1, at(0)), ("a", 1, at(1))], src)
-    write = J.dedupe_to_table(out)
+    store = J.batches_to_table(out)
+    fails = []
+
+    def write(batch, batch_id):
+        store(batch, batch_id)
+        if fails:
+            raise RuntimeError(fails.pop())
 
     def run():
-        drain(spark.readStream.schema(SCHEMA).parquet(src).writeStream.foreachBatch(write), ck)
+        drain(J.dedupe_stream(spark.readStream.schema(SCHEMA).parquet(src)).writeStream.foreachBatch(write), ck)
 
     run()
-    land(spark, [("b", 1, at(2)), ("c", 2, at(2))], src)
+    land(spark, [("b", 1, at(2)), ("c", 2, at(2)), (None, 2, at(2))], src)
+    fails.append("lost after the batch was stored")
+    with pytest.raises(Exception, match="lost after"):
+        run()
+    run()  # the batch is run again and replaces its own rows
+    land(spark, [("c", 1, at(3)), (None, 1, at(3)), ("d", 2, at(3))], src)
     run()
-    ids = lambda: sorted(r.session_id for r in spark.read.parquet(out).collect())
-    assert ids() == ["a", "b", "c"]
-    # A batch that is run again replaces its own rows.
-    write(spark.createDataFrame([("b", 1, at(2)), ("c", 2, at(2))], SCHEMA), 1)
-    assert ids() == ["a", "b", "c"]
+    assert sorted(str(r.session_id) for r in spark.read.parquet(out).collect()) == ["None", "a", "b", "c", "d"]
+
+
+def test_dedupe_looks_up_only_its_own_ids(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    land(spark, [(f"s{i}", 1, at(0)) for i in range(500)], src)
+    stream = J.dedupe_stream(spark.readStream.schema(SCHEMA).parquet(src))
+    read = []
+
+    def run():
+        query = J.start(stream.writeStream.foreachBatch(J.batches_to_table(out)), ck, once=True)
+        query.awaitTermination()
+        read.append(query.lastProgress)
+
+    run()
+    land(spark, [("s1", 1, at(1)), ("new", 1, at(1))], src)
+    run()
+    state = read[-1]["stateOperators"][0]
+    assert state["numRowsTotal"] == 501 and state["numRowsUpdated"] == 1
+    assert read[-1]["numInputRows"] == 2  # nothing of what earlier batches stored
 
 
 def test_counts_reset_after_a_retrain(spark, tmp_path):
@@ -85,6 +113,62 @@ def test_stuck_stream_closes_on_gaps(spark, tmp_path):
     assert got == [("s", 25.0, 3), ("s", 42.0, 2)]
 
 
+def test_stuck_clock_reports_each_pause_once(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = "session_id STRING, ts TIMESTAMP"
+
+    def come(*rows):
+        spark.createDataFrame([(s, None if at_ is None else base + dt.timedelta(seconds=at_)) for s, at_ in rows], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def rows():
+        return sorted((str(r.session_id), (r.last_action - base).total_seconds(), (r.stuck_at - r.last_action).total_seconds(), r.actions)
+                      for r in spark.read.schema("session_id STRING, last_action TIMESTAMP, stuck_at TIMESTAMP, actions BIGINT").parquet(out).collect())
+
+    def until(n):
+        for _ in range(120):
+            if query.exception():
+                raise query.exception()
+            if query.recentProgress and len(rows()) >= n:
+                break
+            time.sleep(0.5)
+        return rows()
+
+    come(("s", 0), ("s", 2), ("s", 5), ("s", 9), (None, 1), ("s", None))  # a pause of three seconds is in time, four is not
+    writer = J.stuck_clock(spark.readStream.schema(schema).parquet(src), timeout_s=3).writeStream.format("parquet").option("path", out)
+    query = J.start(writer, ck, every="1 second")
+    try:
+        gap = 3.000001
+        first = [("None", 1.0, gap, 1), ("s", 5.0, gap, 3), ("s", 9.0, gap, 1)]
+        assert until(3) == first  # the last pauses are reported although the stream is silent
+        come(("s", 8), ("s", 30), ("s", 31), ("s", 40))
+        assert until(5) == first + [("s", 31.0, gap, 2), ("s", 40.0, gap, 1)]
+    finally:
+        query.stop()
+
+
+def test_model_is_fetched_again_only_when_a_new_one_is_published(spark, tmp_path):
+    path = str(tmp_path / "model")
+    labels = spark.createDataFrame([(1, "one")], "cluster_id BIGINT, label STRING")
+
+    def centres(x):
+        return spark.createDataFrame([(1, [x]), (2, [10.0])], "cluster_id BIGINT, centroid ARRAY<DOUBLE>")
+
+    J.publish_model(centres(0.0), labels, path, 1)
+    model = J.LatestModel(spark, path)
+    write = J.classify_to_table(str(tmp_path / "rows"), model, at_least=1)
+    batch = spark.createDataFrame([("a", 5, [6.0]), ("b", 5, [9.0]), ("c", 0, None), ("d", 5, None)], "session_id STRING, num_actions BIGINT, embedding ARRAY<DOUBLE>")
+    write(batch, 0)
+    held = model()
+    assert model() is held and model.version == 1
+    J.publish_model(centres(7.0), labels, path, 2)
+    write(batch, 1)
+    assert model() is not held and model.version == 2
+    got = {(r.batch, r.session_id): (r.status, r.stage, r.cluster_id, r.cluster_label) for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert got[0, "a"][2] == 2 and got[1, "a"] == ("completed", "classify", 1, "one")
+    assert got[1, "c"][:2] == ("failed", "parse") and got[1, "d"][:2] == ("failed", "embed")
+
+
 def test_new_recordings_are_read_once(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.exprs import epoch_micros
 from wayfold.functions.vectors import centroid_means
+from wayfold.plans import bindings as B
 from wayfold.plans.q_catalogue import STORE, processed, retrains
 from wayfold.plans.q_text import ID_SQL, webhook_bodies
 from wayfold.plans.registry import Tables, query
@@ -43,11 +44,31 @@ def stream_new_recordings(t):
     return t.spark.read.parquet(f"{out}/rows")
 
 
+@query("stream_landed_recordings", "WITH " + B.SNAPSHOTS_SQL + """,
+landed AS (SELECT session_id, event_id // 1000 AS part, count(*) AS snapshots, sum(ts_ms)::BIGINT AS ms_sum FROM snap GROUP BY 1, 2),
+near AS (SELECT session_id, part, snapshots, ms_sum, r_regionkey AS c, row_number() OVER (PARTITION BY session_id, part ORDER BY abs(snapshots - 3 * r_regionkey), r_regionkey) AS r FROM landed CROSS JOIN region)
+SELECT session_id || ':' || part AS session_id, snapshots, ms_sum, c::BIGINT AS cluster_id, r_name AS cluster_label FROM near JOIN region ON r_regionkey = c WHERE r = 1""")
+def stream_landed_recordings(t):
+    """Recording parts that land as files, taken in several batches, each classified by the model of its time."""
+    out = _folder(t)
+    docs = B.recordings(t).select(F.struct(F.concat_ws(":", "session_id", "part").alias("id"), "snapshots").alias("data"))
+    docs.repartition(3, "data.id").write.json(f"{out}/landing")
+    centres = t.region.select(F.col("r_regionkey").alias("cluster_id"), F.array((F.col("r_regionkey") * 3).cast("double")).alias("centroid"))
+    J.publish_model(centres, t.region.select(F.col("r_regionkey").alias("cluster_id"), F.col("r_name").alias("label")), f"{out}/model", 1)
+    ms = F.aggregate("snapshots", F.lit(0).cast("long"), lambda total, s: total + s["timestamp"])
+    size = F.size("snapshots").cast("long")
+    parts = J.new_recordings(t.spark, f"{out}/landing", max_files=1, one_per_file=False).select(
+        "session_id", size.alias("num_actions"), F.array(size.cast("double")).alias("embedding"), ms.cast("string").alias("description"))
+    _drain(parts.writeStream.foreachBatch(J.classify_to_table(f"{out}/rows", J.LatestModel(t.spark, f"{out}/model"), at_least=0)), out)
+    return t.spark.read.parquet(f"{out}/rows").select(
+        "session_id", F.col("num_actions").alias("snapshots"), F.col("description_preview").cast("long").alias("ms_sum"), "cluster_id", "cluster_label")
+
+
 @query("stream_dedupe", "SELECT DISTINCT user_id AS session_id FROM events")
 def stream_dedupe(t):
     out = _folder(t)
     rows = _streams(t).events.select(F.col("user_id").alias("session_id"))
-    _drain(rows.writeStream.foreachBatch(J.dedupe_to_table(f"{out}/rows")), out)
+    _drain(J.dedupe_stream(rows).writeStream.foreachBatch(J.batches_to_table(f"{out}/rows")), out)
     return t.spark.read.parquet(f"{out}/rows").select("session_id")
 
 
@@ -63,7 +84,8 @@ def stream_classify(t):
     labels = t.region.select(F.col("r_regionkey").cast("long").alias("cluster_id"), F.col("r_name").alias("label"))
     rows = _streams(t).embeddings.select(
         F.col("vec_id").alias("session_id"), F.col("label").alias("num_actions"), F.when(F.pmod("vec_id", F.lit(11)) != 0, F.col("embedding")).alias("embedding"))
-    _drain(rows.writeStream.foreachBatch(J.classify_to_table(f"{out}/rows", centroid_means(t.embeddings, "label"), labels)), out)
+    J.publish_model(centroid_means(t.embeddings, "label"), labels, f"{out}/model", 1)
+    _drain(rows.writeStream.foreachBatch(J.classify_to_table(f"{out}/rows", J.LatestModel(t.spark, f"{out}/model"))), out)
     return t.spark.read.parquet(f"{out}/rows").select("session_id", "status", "stage", "cluster_id", "cluster_label")
 
 
@@ -95,3 +117,15 @@ def stream_stuck(t):
     _drain(stuck.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"), out)
     return t.spark.read.parquet(f"{out}/rows").select(
         "session_id", epoch_micros(F.col("last_action")).alias("last_action_us"), epoch_micros(F.col("stuck_at")).alias("stuck_us"))
+
+
+@query("stream_stuck_clock", """
+WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events)
+SELECT session_id, us AS last_action_us, us + 21600000001 AS stuck_us FROM e WHERE nxt - us > 21600000000""")
+def stream_stuck_clock(t):
+    """Pauses by keyed state and timers; the input ends before the clock could report the last one of a session."""
+    out = _folder(t)
+    actions = _streams(t).events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    _drain(J.stuck_clock(actions, timeout_s=21_600).writeStream.format("parquet").option("path", f"{out}/rows"), out)
+    return t.spark.read.parquet(f"{out}/rows").select(
+        "session_id", epoch_micros(F.col("last_action")).alias("last_action_us"), epoch_micros(F.col("stuck_at")).alias("stuck_us"))

@@ -1,22 +1,23 @@
 """Structured Streaming jobs of the online path.
 
 Per-batch results are written under ``batch=<id>`` and replaced when a batch is run again, so a
-restart after a lost executor or driver repeats nothing.  What must be remembered between batches
-is a table, not task memory; every group is reduced before it is shuffled.
+restart after a lost executor or driver repeats nothing.  What is remembered for each key is keyed
+state in RocksDB, which a batch asks for its own keys only; what is counted is a table of counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wayfold.functions.text import extract_id
 from wayfold.functions.vectors import nearest_centroid
 from wayfold.operators.agent import STUCK_TIMEOUT_S
-from wayfold.operators.catalogue import not_yet_processed
 from wayfold.operators.clusters import attach_cluster_label
 from wayfold.operators.filters import MIN_ACTIONS_ONLINE
 from wayfold.operators.online import last_retrains
@@ -27,9 +28,18 @@ POLL = "60 seconds"
 PREVIEW_CHARS = 200
 
 
-def new_recordings(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
-    """Recordings as they land in a folder, each file once."""
-    raw = spark.readStream.schema(RECORDING).option("multiLine", True).option("maxFilesPerTrigger", max_files).json(path)
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Queries started from now on keep their state in RocksDB: on disk, with only its changes written per batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def new_recordings(spark: SparkSession, path: str, max_files: int = 1_000, one_per_file: bool = True) -> DataFrame:
+    """Recordings as they land in a folder, each file once; one document per file, or one per line."""
+    raw = spark.readStream.schema(RECORDING).option("multiLine", one_per_file).option("maxFilesPerTrigger", max_files).json(path)
     return raw.select(F.col("data.id").alias("session_id"), F.col("data.person").alias("person"), F.col("data.snapshots").alias("snapshots"),
                       id_from_name(F.col("_metadata.file_name"), RECORDING_NAME).alias("file_session_id"))
 
@@ -56,14 +66,20 @@ def _table(spark: SparkSession, path: str, schema: str, before: int | None = Non
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def dedupe_to_table(path: str, id_: str = "session_id") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: appends the rows whose id no earlier batch has stored."""
+def dedupe_stream(stream: DataFrame, id_: str = "session_id") -> DataFrame:
+    """The first row of each id over the whole life of the stream.
+
+    Ids seen are keyed state, parted by their hash: a batch looks up its own ids, and no batch reads the history.
+    The state of a batch is committed with the batch, so that one that failed is decided again alike.
+    """
+    keyed_state(stream.sparkSession)
+    return stream.dropDuplicates([id_])
+
+
+def batches_to_table(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: stores each batch, and replaces it when it is run again."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        kind = dict(batch.dtypes)[id_]
-        fresh = batch.dropDuplicates([id_])
-        # The history is narrowed by the (much smaller) batch first, so it is scanned but not shuffled.
-        seen = _table(batch.sparkSession, path, f"{id_} {kind}", before=batch_id).join(fresh.select(id_), id_, "left_semi")
-        _replace(not_yet_processed(fresh, seen, id_), path, batch_id)
+        _replace(batch, path, batch_id)
 
     return write
 
@@ -96,9 +112,38 @@ def classify_rows(batch: DataFrame, centroids: DataFrame, labels: DataFrame, at_
     return done.unionByName(failed, allowMissingColumns=True)
 
 
-def classify_to_table(path: str, centroids: DataFrame, labels: DataFrame, at_least: int = MIN_ACTIONS_ONLINE) -> Callable[[DataFrame, int], None]:
+MODEL = "cluster_id BIGINT, centroid ARRAY<DOUBLE>, label STRING"
+
+
+def publish_model(centroids: DataFrame, labels: DataFrame, path: str, version: int) -> None:
+    """Stores a model version (centroids with their labels); it counts once its number is listed, which comes last."""
+    rows = centroids.join(labels, "cluster_id", "left").selectExpr("CAST(cluster_id AS BIGINT) AS cluster_id", "CAST(centroid AS ARRAY<DOUBLE>) AS centroid", "label")
+    rows.write.mode("overwrite").parquet(f"{path}/versions/{version}")
+    centroids.sparkSession.createDataFrame([(version,)], "version BIGINT").coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+class LatestModel:
+    """The newest published model of a folder: each batch asks for its number, only a new one is fetched."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path
+        self.version: int | None = None
+        self._rows: DataFrame | None = None
+
+    def __call__(self) -> DataFrame:
+        newest = self._spark.read.schema("version BIGINT").parquet(f"{self._path}/published").agg(F.max("version")).first()[0]
+        if newest != self.version:
+            self._rows = self._spark.read.schema(MODEL).parquet(f"{self._path}/versions/{newest}")
+            self.version = newest
+        return self._rows
+
+
+def classify_to_table(path: str, model: Callable[[], DataFrame], at_least: int = MIN_ACTIONS_ONLINE) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: outcomes by the model that ``model()`` names for the batch (``LatestModel``)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        _replace(classify_rows(batch, centroids, labels, at_least), path, batch_id)
+        rows = model()
+        labels = rows.filter(F.col("label").isNotNull()).select("cluster_id", "label")
+        _replace(classify_rows(batch, rows.select("cluster_id", "centroid"), labels, at_least), path, batch_id)
 
     return write
 
@@ -152,3 +197,76 @@ def stuck_stream(actions: DataFrame, time: str = "ts", timeout_s: int = STUCK_TI
         .agg(F.max(time).alias("last_action"), F.count(F.lit(1)).alias("actions"))
         .select("session_id", "last_action", F.col("w.end").alias("stuck_at"), "actions")
     )
+
+
+class StuckTimer(StatefulProcessor):
+    """Remembers the latest action of a session and wakes up when nothing followed it."""
+
+    OUTPUT = "session_id STRING, last_action TIMESTAMP, stuck_at TIMESTAMP, actions BIGINT"
+
+    def __init__(self, timeout_s: int):
+        self._gap = timeout_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        # ``told``: the gap after the latest action was reported by the clock; ``wake``: the timer that is set.
+        self._seen = handle.getValueState("seen", "last BIGINT, actions BIGINT, told BOOLEAN, wake BIGINT")
+
+    def _rows(self, key, found: list[tuple[int, int]]) -> pd.DataFrame:
+        """Rows of (latest action, number of actions)."""
+        last = np.array([f[0] for f in found], np.int64)
+        return pd.DataFrame({
+            "session_id": [key[0]] * len(found), "last_action": pd.to_datetime(last, unit="us"),
+            "stuck_at": pd.to_datetime(last + self._gap + 1, unit="us"), "actions": [f[1] for f in found]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([batch["us"].to_numpy(np.int64) for batch in rows]))
+        last, actions, told, wake = self._seen.get() if self._seen.exists() else (None, 0, False, None)
+        found = []
+        if last is not None:
+            late, times = int((times <= last).sum()), times[times > last]
+            actions += 0 if told else late
+            if len(times):
+                if times[0] - last > self._gap:
+                    if not told:
+                        found.append((last, actions))
+                    actions = 0
+                told = False
+        if len(times):
+            runs = np.split(times, np.flatnonzero(np.diff(times) > self._gap) + 1)
+            for run in runs[:-1]:
+                found.append((int(run[-1]), actions + len(run)))
+                actions = 0
+            last, actions = int(runs[-1][-1]), actions + len(runs[-1])
+        if not told:
+            if wake is not None:
+                self._handle.deleteTimer(wake)
+            wake = timerValues.getCurrentProcessingTimeInMs() + self._gap // 1000 + 1
+            self._handle.registerTimer(wake)
+        self._seen.update((last, actions, told, wake))
+        if found:
+            yield self._rows(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, actions, _, _ = self._seen.get()
+        self._seen.update((last, actions, True, None))
+        yield self._rows(key, [(last, actions)])
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_clock(actions: DataFrame, time: str = "ts", timeout_s: int = STUCK_TIMEOUT_S) -> DataFrame:
+    """``stuck_stream`` that needs no later action: ``(session_id, last_action, stuck_at, actions)``.
+
+    A pause between two actions is reported when the second one comes, and one at the end when the clock has gone on
+    for the time-out since the latest action arrived; each pause once.  Actions that come late count for the pause
+    that is open.  Rows without a time are left out; a null id is a session.  A batch holds eight bytes for each new
+    action of a session while it sorts them.
+    """
+    keyed_state(actions.sparkSession)
+    kind = actions.schema["session_id"].dataType
+    # Ids pass as text: pandas has no whole numbers with nulls.
+    rows = actions.filter(F.col(time).isNotNull()).select(F.col("session_id").cast("string").alias("session_id"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+    found = rows.groupBy("session_id").transformWithStateInPandas(StuckTimer(timeout_s), StuckTimer.OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return found.withColumn("session_id", F.col("session_id").cast(kind))
