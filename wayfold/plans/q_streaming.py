@@ -126,6 +126,7 @@ def stream_stuck_clock(t):
     """Pauses by keyed state and timers; the input ends before the clock could report the last one of a session."""
     out = _folder(t)
     actions = _streams(t).events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    _drain(J.stuck_clock(actions, timeout_s=21_600).writeStream.format("parquet").option("path", f"{out}/rows"), out)
+    writer = J.stuck_clock(actions, timeout_s=21_600).writeStream.format("parquet").option("path", f"{out}/rows")
+    J.stop_when_idle(J.start(writer, f"{out}/checkpoint", every="1 second"))
     return t.spark.read.parquet(f"{out}/rows").select(
         "session_id", epoch_micros(F.col("last_action")).alias("last_action_us"), epoch_micros(F.col("stuck_at")).alias("stuck_us"))

@@ -7,13 +7,15 @@ state in RocksDB, which a batch asks for its own keys only; what is counted is a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.functions.text import extract_id
 from wayfold.functions.vectors import nearest_centroid
@@ -50,6 +52,17 @@ def start(writer: DataStreamWriter, checkpoint: str, once: bool = False, every:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def stop_when_idle(polling: StreamingQuery, pause_s: float = 0.2) -> None:
+    """Stops a polling job after its first batch without new rows; one that waits for timers never ends by itself."""
+    try:
+        while polling.isActive and not (polling.lastProgress and polling.lastProgress["numInputRows"] == 0):
+            time.sleep(pause_s)
+        if polling.exception():
+            raise polling.exception()
+    finally:
+        polling.stop()
+
+
 def _replace(batch: DataFrame, path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -199,74 +212,65 @@ def stuck_stream(actions: DataFrame, time: str = "ts", timeout_s: int = STUCK_TI
     )
 
 
-class StuckTimer(StatefulProcessor):
-    """Remembers the latest action of a session and wakes up when nothing followed it."""
+PAUSES = "session_id STRING, last_action TIMESTAMP, stuck_at TIMESTAMP, actions BIGINT"
+#: Latest action of a session, actions since the last pause, and whether the clock has reported the pause after it.
+LATEST = "last BIGINT, actions BIGINT, told BOOLEAN"
 
-    OUTPUT = "session_id STRING, last_action TIMESTAMP, stuck_at TIMESTAMP, actions BIGINT"
 
-    def __init__(self, timeout_s: int):
-        self._gap = timeout_s * 1_000_000
+def _pauses(timeout_s: int) -> Callable:
+    gap = timeout_s * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        # ``told``: the gap after the latest action was reported by the clock; ``wake``: the timer that is set.
-        self._seen = handle.getValueState("seen", "last BIGINT, actions BIGINT, told BOOLEAN, wake BIGINT")
-
-    def _rows(self, key, found: list[tuple[int, int]]) -> pd.DataFrame:
-        """Rows of (latest action, number of actions)."""
+    def rows(key: tuple, found: list[tuple[int, int]]) -> pd.DataFrame:
         last = np.array([f[0] for f in found], np.int64)
         return pd.DataFrame({
-            "session_id": [key[0]] * len(found), "last_action": pd.to_datetime(last, unit="us"),
-            "stuck_at": pd.to_datetime(last + self._gap + 1, unit="us"), "actions": [f[1] for f in found]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([batch["us"].to_numpy(np.int64) for batch in rows]))
-        last, actions, told, wake = self._seen.get() if self._seen.exists() else (None, 0, False, None)
+            "session_id": pd.Series([key[0]] * len(found), dtype=object), "last_action": pd.to_datetime(last, unit="us"),
+            "stuck_at": pd.to_datetime(last + gap + 1, unit="us"), "actions": [f[1] for f in found]})
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, actions, _ = state.get
+            state.update((last, actions, True))
+            yield rows(key, [(last, actions)])
+            return
+        times = np.sort(np.concatenate([batch["us"].to_numpy(np.int64) for batch in batches]))
+        last, actions, told = state.get if state.exists else (None, 0, False)
         found = []
         if last is not None:
             late, times = int((times <= last).sum()), times[times > last]
-            actions += 0 if told else late
+            actions += late
             if len(times):
-                if times[0] - last > self._gap:
+                if told or times[0] - last > gap:
                     if not told:
                         found.append((last, actions))
                     actions = 0
                 told = False
         if len(times):
-            runs = np.split(times, np.flatnonzero(np.diff(times) > self._gap) + 1)
-            for run in runs[:-1]:
-                found.append((int(run[-1]), actions + len(run)))
+            runs = np.split(times, np.flatnonzero(np.diff(times) > gap) + 1)
+            for part in runs[:-1]:
+                found.append((int(part[-1]), actions + len(part)))
                 actions = 0
             last, actions = int(runs[-1][-1]), actions + len(runs[-1])
+        state.update((last, actions, told))
         if not told:
-            if wake is not None:
-                self._handle.deleteTimer(wake)
-            wake = timerValues.getCurrentProcessingTimeInMs() + self._gap // 1000 + 1
-            self._handle.registerTimer(wake)
-        self._seen.update((last, actions, told, wake))
+            state.setTimeoutDuration(gap // 1000)
         if found:
-            yield self._rows(key, found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, actions, _, _ = self._seen.get()
-        self._seen.update((last, actions, True, None))
-        yield self._rows(key, [(last, actions)])
+            yield rows(key, found)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def stuck_clock(actions: DataFrame, time: str = "ts", timeout_s: int = STUCK_TIMEOUT_S) -> DataFrame:
+def stuck_clock(actions: DataFrame, at: str = "ts", timeout_s: int = STUCK_TIMEOUT_S) -> DataFrame:
     """``stuck_stream`` that needs no later action: ``(session_id, last_action, stuck_at, actions)``.
 
     A pause between two actions is reported when the second one comes, and one at the end when the clock has gone on
-    for the time-out since the latest action arrived; each pause once.  Actions that come late count for the pause
-    that is open.  Rows without a time are left out; a null id is a session.  A batch holds eight bytes for each new
-    action of a session while it sorts them.
+    for the time-out since the latest action arrived; each pause once, and the first action after a report of the
+    clock begins anew.  Actions that come late count for the pause that is open.  Rows without a time are left out; a
+    null id is a session.  A batch holds eight bytes for each new action of a session while it sorts them.  Started
+    with ``once`` such a job would wait for its timers for ever; let it poll, and stop it (``stop_when_idle``).
     """
     keyed_state(actions.sparkSession)
     kind = actions.schema["session_id"].dataType
     # Ids pass as text: pandas has no whole numbers with nulls.
-    rows = actions.filter(F.col(time).isNotNull()).select(F.col("session_id").cast("string").alias("session_id"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    found = rows.groupBy("session_id").transformWithStateInPandas(StuckTimer(timeout_s), StuckTimer.OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    rows = actions.filter(F.col(at).isNotNull()).select(F.col("session_id").cast("string").alias("session_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    found = rows.groupBy("session_id").applyInPandasWithState(_pauses(timeout_s), PAUSES, LATEST, "append", GroupStateTimeout.ProcessingTimeTimeout)
     return found.withColumn("session_id", F.col("session_id").cast(kind))
