@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wayfold.llm import bootstrap_pii as P
 from wayfold.llm import crossparse, divergence, hash_tree, mixing, packing, quartile_digest
@@ -209,6 +210,51 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert redacted[100] == "please phone <phone> today" and redacted[101] == rows[41][1]
 
 
+def test_identifiers_in_several_groups(spark):
+    rows = [(i, f"please phone +1 555 555 {1000 + i} today and thanks {i}") for i in range(40)]
+    rows += [(100, "please phone 0171 234 5678 today"), (101, "please phone (017) 555-7713 today"), (102, "please phone 0171 234 5678 today"), (103, "in 2019 2020 2021 and 1 2 3"), (104, None), (104, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.find(docs).collect()
+    found = {r["doc_id"]: r["spans"] for r in got}
+    assert len(got) == len(rows)
+    assert found[100] == found[102] == "phone:13:26" and found[101] == "phone:13:27" and found[103] == "" and found[104] == ""
+    texts = {r["doc_id"]: r["text"] for r in P.redact(docs.withColumns({"text_key": F.lit(1), "more": F.lit(2)})).collect()}
+    assert texts[100] == texts[101] == "please phone <phone> today" and texts[103] == rows[43][1]
+
+
+def test_patterns_against_a_plain_scoring(small):
+    """The bootstrap once more with plain sets over all texts."""
+    said = [f"please phone +1 555 555 {1000 + i} today or mail a{i}@b.org now" for i in range(20)] + [f"please phone 0171 234 {1000 + i} today" for i in range(4)]
+    said += [f"dial 0171 234 {1000 + i % 4} at {i}, or mail code{i % 9}1234567 now" for i in range(30)]
+    small = small.select("text").unionByName(small.sparkSession.createDataFrame([(t,) for t in said], "text string"))
+    texts = {r["text"] for r in small.collect() if r["text"] is not None}
+    found = {(k, before, after, t[a:b]) for t in texts for k, a, b, before, after in P.instances(t)}
+    edges = [(k, tok, p) for k, before, after, tok in found for p in ((before, after), (before, "*")) if before and not any("0" <= c <= "9" for c in before)]
+    seeds = {(tok, k) for k, _, _, tok in found if k}
+    known, patterns = seeds, {}
+    for _ in range(P.ROUNDS):
+        kinds = collections.defaultdict(set)
+        for tok, k in known:
+            kinds[tok].add(k)
+        every, by = collections.defaultdict(set), collections.defaultdict(lambda: collections.defaultdict(set))
+        for _, tok, p in edges:
+            every[p].add(tok)
+            for k in kinds[tok]:
+                by[p][k].add(tok)
+        patterns = {}
+        for p, all_ in every.items():
+            n, k = max((len(by[p][k]), k) for k in P.KINDS)
+            if n >= P.MIN_SUPPORT and n >= P.MIN_CONFIDENCE * len(all_):
+                patterns[p] = k
+        held = collections.defaultdict(list)
+        for k, tok, p in edges:
+            if k is None and p in patterns:
+                held[tok].append(patterns[p])
+        known = seeds | {(tok, min(ks)) for tok, ks in held.items()}
+    got = {(r["before"], r["after"]): r["k"] for r in P.learn_patterns(P.find_instances(small)).collect()}
+    assert got == patterns and patterns
+
+
 def test_digests_against_a_plain_version(small):
     docs = sorted(((r["doc_id"], r["text"]) for r in small.collect()))
     found = {r["doc_id"]: r for r in quartile_digest.fingerprint_documents(small, ranges=7).collect()}

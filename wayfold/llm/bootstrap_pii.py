@@ -2,12 +2,14 @@
 
 The spans of the base patterns are seed entities.  The words around them become lexical patterns (a kind, the
 word before and the word after); Spark counts for each pattern in how many different texts it holds an entity
-and in how many any other identifier-like token, and keeps the confident ones.  Tokens that confident patterns
-hold become entities of the next round and score patterns anew.  The graph of patterns and instances is a
-table of counts; only confident patterns, at most ``MAX_PATTERNS``, are read back.
+and in how many any other identifier-like instance, and keeps the confident ones.  Instances that confident
+patterns hold become entities of the next round and score patterns anew.  Instances are words with an @ or mostly
+of digits, and digit groups set apart by blanks, dots, brackets or hyphens.  The graph of patterns and instances
+is a table of counts, and patterns are a table too, joined to the instances of each different text: none is
+dropped, and nothing is read back to the driver.
 
 Defined results: null text is empty and has no span; repeated rows get equal spans; found spans never overlap
-a base span; equal texts count once as evidence; empty input, empty output.
+a base span or each other; equal texts count once as evidence; empty input, empty output.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import fresh
 from wayfold.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: A pattern is confident with so many different supporting tokens and such a share of entities among its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 8, 0.8
-MAX_PATTERNS = 10_000
+#: Digits of an identifier written in several groups: from those asked of a word to those of the longest card.
+RUN_DIGITS = range(7, 20)
 
 #: The base patterns of the contract. An e-mail is grown from its @, which gives the same matches in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,6 +43,8 @@ _DIGIT = re.compile(r"[0-9]")
 #: An identifier-like token: it is four characters or longer and has a digit or an @ (asked once a token, in linear time).
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]{4,}")
 _MARK = re.compile(r"[0-9@]")
+#: Digit groups set apart by blanks, dots, brackets or hyphens, beside no letter or @.
+_RUN = re.compile(r"(?<![\w@])\(?\+?[0-9][\x20().0-9-]*[0-9](?![\w@])")
 
 
 def luhn(digits: str) -> bool:
@@ -105,13 +111,21 @@ def instances(text: str) -> list[tuple[str | None, int, int, str, str]]:
 
     for a, b, k in spans:
         out.append((k, a, b, *around(a, b)))
+    runs = []
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if " " in m.group() and sum("0" <= c <= "9" for c in m.group()) in RUN_DIGITS and free(a, b):
+            runs.append((a, b))
+            out.append((None, a, b, *around(a, b)))
+    tops = [a for a, _ in runs]
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         if not _MARK.search(text, a, b):
             continue
         while b > a and text[b - 1] in ".,;:!?)'\"":
             b -= 1
-        if b - a >= 4 and free(a, b) and _looks_private(text[a:b]):
+        i = bisect_right(tops, b - 1)
+        if b - a >= 4 and free(a, b) and (i == 0 or runs[i - 1][1] <= a) and _looks_private(text[a:b]):
             out.append((None, a, b, *around(a, b)))
     return out
 
@@ -122,76 +136,96 @@ def _looks_private(token: str) -> bool:
     return "@" in token[1:-1] or (digits >= 7 and 2 * digits >= len(token))
 
 
+_FOUND = "text_key string, kind string, start int, stop int, before string, after string, token string"
+
+
 def _instances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _FOUND.split(", ")]
     for batch in batches:
         rows = []
-        for text in batch["text"]:
-            rows += [(k, before, after, text[a:b]) for k, a, b, before, after in instances(text)]
-        yield pd.DataFrame(rows, columns=["kind", "before", "after", "token"])
-
-
-def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> dict[tuple[str, str], str]:
-    """Confident patterns: (word before, word after) with ``*`` for any -> kind."""
-    found = docs.filter("text IS NOT NULL").select("text").mapInPandas(_instances, "kind string, before string, after string, token string")
-    found = materialize(found.distinct())  # an edge between a pattern and an instance, whatever the number of copies
-    edges = found.select("kind", "token", F.explode(F.array(F.struct("before", "after"), F.struct("before", F.lit("*").alias("after")))).alias("p")).filter("p.before <> '' AND p.before RLIKE '^[^0-9]+$'")
-    known = found.filter("kind IS NOT NULL").select("token", "kind").distinct()
-    patterns: dict[tuple[str, str], str] = {}
+        for key, text in zip(batch["text_key"], batch["text"]):
+            rows += [(key, k, a, b, before, after, text[a:b]) for k, a, b, before, after in instances(text)]
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _text_key() -> Column:
+    """Names a text; equal texts have equal spans, so that no row needs a number."""
+    return F.sha2(F.col("text"), 256)
+
+
+def find_instances(docs: DataFrame) -> DataFrame:
+    """Instances of every different text, base spans among them: ``text_key, kind, start, stop, before, after, token``."""
+    return materialize(docs.filter("text IS NOT NULL").select(_text_key().alias("text_key"), "text").mapInPandas(_instances, _FOUND).distinct())
+
+
+def learn_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Confident patterns of ``find_instances``: ``before, after`` (``*`` for any) and the kind ``k``."""
+    # An edge between a pattern and an instance, whatever the number of texts.
+    edges = found.select("kind", "token", "before", "after").distinct()
+    edges = materialize(edges.select("kind", "token", F.explode(F.array(F.struct("before", "after"), F.struct("before", F.lit("*").alias("after")))).alias("p")).filter(
+        "p.before <> '' AND p.before RLIKE '^[^0-9]+$'"))
+    seeds = materialize(found.filter("kind IS NOT NULL").select("token", "kind").distinct())
+    known, before, patterns = seeds, None, None
     for _ in range(rounds):
         marked = edges.select("token", "p").distinct().join(known, "token", "left")
         scored = marked.groupBy("p").agg(F.countDistinct("token").alias("all"), *[F.countDistinct(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in KINDS])
         best = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("k")) for k in KINDS])
         good = scored.withColumn("b", best).filter((F.col("b.n") >= MIN_SUPPORT) & (F.col("b.n") >= MIN_CONFIDENCE * F.col("all")))
-        rows = good.orderBy(F.desc("b.n"), "p").limit(MAX_PATTERNS).select("p.before", "p.after", "b.k").collect()
-        new = {(r["before"], r["after"]): r["k"] for r in rows}
-        if new == patterns:
+        patterns = materialize(good.select("p.before", "p.after", "b.k"))
+        now = patterns.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("before", "after", "k"))).first()
+        if now == before:
             break
-        patterns = new
-        table = docs.sparkSession.createDataFrame([(b, a, k) for (b, a), k in patterns.items()], "before string, after string, k string")
-        held = edges.filter("kind IS NULL").select("token", "p.before", "p.after").join(table, ["before", "after"]).groupBy("token").agg(F.min("k").alias("kind"))
-        known = materialize(found.filter("kind IS NOT NULL").select("token", "kind").distinct().unionByName(held))
+        before = now
+        held = edges.filter("kind IS NULL").select("token", "p.before", "p.after").join(patterns, ["before", "after"]).groupBy("token").agg(F.min("k").alias("kind"))
+        known = materialize(seeds.unionByName(held))
     return patterns
 
 
-def all_spans(text: str | None, patterns: dict[tuple[str, str], str]) -> tuple[list, list]:
-    """Base spans, and those with what the patterns add; both by kind as listed, then start."""
-    base = base_spans(text or "")
-    more = []
-    if patterns:
-        for kind, a, b, before, after in instances(text or ""):
-            hit = patterns.get((before, after)) or patterns.get((before, "*"))
-            if kind is None and hit:
-                more.append((hit, a, b))
-    return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
+def spans_by_text(docs: DataFrame) -> DataFrame:
+    """``text_key, more``: what the patterns add to the base spans of a text, for the texts where they add any."""
+    found = find_instances(docs)
+    patterns = learn_patterns(found)
+    asked = found.filter("kind IS NULL").select("text_key", "start", "stop", "before", "after")
+    exact = patterns.filter("after <> '*'").withColumnRenamed("k", "_exact")
+    wide = patterns.filter("after = '*'").select("before", F.col("k").alias("_wide"))
+    hits = asked.join(exact, ["before", "after"], "left").join(wide, "before", "left").withColumn("kind", F.coalesce("_exact", "_wide")).filter("kind IS NOT NULL")
+    # A stage table, so that few hits are known to be few, and the documents are not shuffled for them.
+    return materialize(hits.groupBy("text_key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("more")))
+
+
+def _every(text: str, more) -> tuple[list, list]:
+    """Base spans, and those with ``more``; both by kind as listed, then start."""
+    base = base_spans(text)
+    added = [] if more is None else [(m["kind"], m["start"], m["stop"]) for m in more]
+    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def _joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def spans_of(text: Column, patterns: dict[tuple[str, str], str]) -> Column:
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            base, every = all_spans(t, patterns)
-            rows.append((*[sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+DESCRIBED = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+
 
-    return run(text)
+def _described(texts: pd.Series, added: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, more in zip(texts, added):
+        base, every = _every(t or "", more)
+        rows.append((*[sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
+    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, base counts and digest, and all spans of every row."""
-    patterns = learn_patterns(docs)
-    return docs.select("doc_id", spans_of(F.col("text"), patterns).alias("s")).select("doc_id", "s.*")
+    rows = docs.select("doc_id", "text", _text_key().alias("text_key")).join(spans_by_text(docs), "text_key", "left")
+    return rows.select("doc_id", F.pandas_udf(_described, DESCRIBED)("text", "more").alias("s")).select("doc_id", "s.*")
 
 
-def redacted(text: str | None, patterns: dict[tuple[str, str], str]) -> str | None:
+def redacted(text: str | None, more=None) -> str | None:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
     if text is None:
         return None
-    spans = sorted((a, b, k) for k, a, b in all_spans(text, patterns)[1])
+    spans = sorted((a, b, k) for k, a, b in _every(text, more)[1])
     out, at = [], 0
     for a, b, k in spans:
         if a >= at:
@@ -200,15 +234,16 @@ def redacted(text: str | None, patterns: dict[tuple[str, str], str]) -> str | No
     return "".join(out) + text[at:] if spans else text
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced, and ``n_chars`` (where it exists) of changed texts set anew."""
-    patterns = learn_patterns(docs)
+def _redacted(texts: pd.Series, added: pd.Series) -> pd.Series:
+    return pd.Series([redacted(t, more) for t, more in zip(texts, added)], dtype=object)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, patterns) for t in texts], dtype=object)
 
-    cells = {"text": run(F.col("text"))}
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data replaced, and ``n_chars`` (where it exists) of changed texts set anew."""
+    key, more = fresh("text_key", docs.columns), fresh("more", docs.columns)
+    hits = spans_by_text(docs).select(F.col("text_key").alias(key), F.col("more").alias(more))
+    rows = docs.withColumn(key, _text_key()).join(hits, key, "left")
+    cells = {"text": F.pandas_udf(_redacted, "string")(F.col("text"), F.col(more))}
     if "n_chars" in docs.columns:
         cells["n_chars"] = F.when(cells["text"].eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length(cells["text"]).cast("long"))
-    return docs.withColumns(cells)
+    return rows.withColumns(cells).select(docs.columns)
