@@ -89,6 +89,33 @@ def test_language_held_out_accuracy(spark):
     assert len(held) > 200 and sum(held) >= 0.99 * len(held)
 
 
+def test_many_letters_and_many_languages(spark, monkeypatch):
+    """Three scripts of 2,000 letters each, learned one language at a time and together; emoji are no letters."""
+    rng = np.random.default_rng(7)
+    scripts = {"aa": range(0x4E00, 0x4E00 + 2000), "bb": range(0x6000, 0x6000 + 2000), "cc": range(0x20000, 0x20000 + 2000)}
+
+    def prose(lang, n):
+        return "".join(chr(c) for c in rng.choice(list(scripts[lang]), n))
+
+    learned = [(i, prose(lang, 4000), lang) for lang in scripts for i in range(1, 40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    asked = [(1000 + i, prose(lang, 60), None) for i, lang in enumerate(list(scripts) * 20)] + [(2000, "\U0001F600\U0001F680 \U0001F600", None), (2001, "123", None)]
+    docs = spark.createDataFrame(learned + asked, "doc_id long, text string, lang string")
+    together = sorted(map(tuple, crossparse.identify_documents(docs).collect()))
+    found = {i: lang for i, _, lang, _ in together}
+    assert all(found[1000 + i] == lang for i, lang in enumerate(list(scripts) * 20))
+    assert found[2000] == found[2001] == "und" and all(found[i] == lang for i, _, lang in learned if len([1 for x in learned if x[0] == i]) == 1)
+    monkeypatch.setattr(crossparse, "LANGUAGES_AT_ONCE", 1)
+    assert sorted(map(tuple, crossparse.identify_documents(docs).collect())) == together
+
+
+def test_spelling_is_unambiguous():
+    learned = np.repeat(np.arange(2, 5002), np.arange(5000, 0, -1) // 500 + 1)
+    spell = crossparse.Spelling(learned, 5010)
+    words = [tuple(spell(np.array([k])).tolist()) for k in range(2, 5002)]
+    assert len(set(words)) == 5000 and max(map(max, words)) < crossparse.ALPHABET
+    assert tuple(spell(np.array([0, 3, 5005, 4000])).tolist()) == (0, *words[1], 1, *words[3998])
+
+
 def test_undetermined(odd):
     found = {(r["doc_id"], r["lang_pred"], r["score"]) for r in crossparse.identify_documents(odd).collect() if r["doc_id"] in (0, 1, 2)}
     assert found == {(i, "und", 0.0) for i in range(3)}

@@ -4,9 +4,11 @@ Labelled text of each language becomes a suffix automaton.  A document is parsed
 phrases that occur in a language's text; the number of phrases, times the logarithm of the amount of text
 learned and divided by the document's length, estimates its entropy under that language, and the least wins.
 
-Learned is a bounded sample: at most ``LEARN_CHARS`` characters of each of at most ``MAX_LANGUAGES`` languages
-(the largest), from the rows of least hash.  Every text is parsed whole, in blocks of ``BLOCK`` characters that
-many texts share step by step; a block's end ends a phrase.
+Learned is a bounded sample of each language: at most ``LEARN_CHARS`` characters, from the rows of least hash.
+Every language is learned, ``LANGUAGES_AT_ONCE`` in one pass over the documents.  Every learned letter counts as
+itself: a language spells its rarer letters with several codes, so that the tables stay narrow in any script.
+Every text is parsed whole, in blocks of ``BLOCK`` characters that many texts share step by step; a block's end
+ends a phrase.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned;
 ties go to the first language by code point; repeated rows get equal results; empty input, empty output.
@@ -15,19 +17,24 @@ ties go to the first language by code point; repeated rows get equal results; em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import seeded_hash
+from wayfold.session import materialize
 
 SEED = 4
 LEARN_CHARS = 20_000
 LEARN_ROWS = 400
-MAX_LANGUAGES = 64
-ALPHABET = 96
+LANGUAGES_AT_ONCE = 64
+#: Codes of a language: no letter, a letter not learned, then single letters; where there are more letters than
+#: codes, the commonest up to ``SINGLES`` keep one code, and the others take first and later digits of 16 values.
+ALPHABET, SINGLES, DIGIT = 96, 64, 16
+POINTS = 0x110000
 BLOCK = 512
 BATCH_BLOCKS = 8192
 
@@ -36,29 +43,58 @@ def normal(text: str) -> str:
     return text.lower()
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """1 for the code points that are letters, else 0."""
+    return np.fromiter((chr(c).isalpha() for c in range(POINTS)), np.uint8, POINTS)
+
+
 def alphabet(texts: dict[str, str]) -> np.ndarray:
-    """Codes of the basic plane: 0 what is no letter, 1 letters not learned, then the commonest learned letters."""
-    table = np.zeros(65536, np.uint8)
-    for c in range(65536):
-        if chr(c).isalpha():
-            table[c] = 1
+    """Numbers of code points: 0 what is no letter, 1 letters not learned, then the learned letters, commonest first."""
     seen: dict[str, int] = {}
     for t in texts.values():
-        for c in t:
-            if c.isalpha() and ord(c) < 65536:
+        for c in normal(t):
+            if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
-    for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2]):
+    table = letters().astype(np.min_scalar_type(len(seen) + 2))
+    for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))):
         table[ord(c)] = i + 2
     return table
 
 
 def encode(text: str, table: np.ndarray) -> np.ndarray:
-    """Codes of the text, with runs of what is no letter as one 0."""
+    """Numbers of the text's characters, with runs of what is no letter as one 0."""
     points = np.frombuffer(normal(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(points < 65536, table[np.minimum(points, 65535)], 1).astype(np.uint8)
+    codes = table[points]
     return codes[~((codes == 0) & (np.r_[1, codes[:-1]] == 0))] if len(codes) else codes
 
 
+class Spelling:
+    """How one language writes the numbers of ``encode`` in its ``ALPHABET`` codes."""
+
+    def __init__(self, learned: np.ndarray, numbers: int):
+        counts = np.bincount(learned, minlength=numbers)
+        counts[:2] = 0
+        own = np.flatnonzero(counts)
+        own = own[np.argsort(-counts[own], kind="stable")]
+        self.rank = np.ones(numbers, np.int32)
+        self.rank[0] = 0
+        self.rank[own] = np.arange(2, len(own) + 2)
+        self.digits = 0
+        if len(own) + 2 > ALPHABET:
+            self.digits = next(d for d in range(1, 6) if DIGIT**d >= len(own) + 2 - SINGLES)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        rank = self.rank[numbers]
+        if not self.digits:
+            return rank
+        times = np.where(rank >= SINGLES, self.digits, 1)
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        rank = np.repeat(rank, times)
+        digit = (rank - SINGLES) // DIGIT ** np.maximum(self.digits - 1 - place, 0) % DIGIT
+        return np.where(rank < SINGLES, rank, np.where(place == 0, SINGLES, SINGLES + DIGIT) + digit)
+
+
 def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     """Transitions of the suffix automaton; state 0 is the start."""
     step, link, length, last = [{}], [-1], [0], 0
@@ -108,7 +144,9 @@ class Model:
         self.langs = sorted(texts)
         self.table = alphabet(texts)
         coded = [encode(texts[g], self.table) for g in self.langs]
-        self.automata = [automaton_table(suffix_automaton(x)) for x in coded]
+        numbers = int(self.table.max()) + 1
+        self.spelled = [Spelling(x, numbers) for x in coded]
+        self.automata = [automaton_table(suffix_automaton(spell(x))) for spell, x in zip(self.spelled, coded)]
         self.logs = np.array([np.log2(len(x) + 1) for x in coded])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -120,29 +158,27 @@ class Model:
         total = np.zeros((len(texts), len(self.langs)))
         for lo in range(0, len(parts), BATCH_BLOCKS):
             some, of = parts[lo : lo + BATCH_BLOCKS], np.array(owner[lo : lo + BATCH_BLOCKS])
-            sizes = np.array([len(p) for p in some])
-            order = np.argsort(-sizes, kind="stable")
-            grid = np.zeros((BLOCK, len(some)), np.int32)
-            for k, i in enumerate(order):
-                grid[: sizes[i], k] = some[i]
-            live = np.searchsorted(-sizes[order], -np.arange(BLOCK), side="left")
-            for g, table in enumerate(self.automata):
+            plain = None
+            for g, (spell, table) in enumerate(zip(self.spelled, self.automata)):
+                if spell.digits:
+                    order, live, grid = _grid([spell(x) for x in some])
+                else:
+                    plain = plain or _grid(some)
+                    order, live, grid = plain[0], plain[1], spell.rank[plain[2]]
                 state = np.zeros(len(some), np.int32)
                 count = np.ones(len(some), np.int32)
-                for t in range(BLOCK):
-                    n = live[t]
-                    if not n:
-                        break
+                for codes, n in zip(grid, live):
                     state[:n] *= ALPHABET
-                    state[:n] += grid[t, :n]
+                    state[:n] += codes[:n]
                     to = table[state[:n]]
                     count[:n] += to & 1
                     np.right_shift(to, 1, out=state[:n])
                 np.add.at(total[:, g], of[order], count)
         return total
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list = [("und", 0.0)] * len(texts)
+    def nearest(self, texts: list[str | None]) -> list[tuple[float | None, str | None, float | None]]:
+        """(least rate, its language, next rate) of each text; nulls where the text has no letter."""
+        out: list = [(None, None, None)] * len(texts)
         coded = [encode(t or "", self.table) for t in texts]
         rows = [i for i, c in enumerate(coded) if self.langs and (c > 0).any()]
         if not rows:
@@ -151,42 +187,72 @@ class Model:
         for i, r in zip(rows, rate):
             best = int(np.argmin(r))
             rest = np.delete(r, best)
-            out[i] = (self.langs[best], float(1 - r[best] / rest.min()) if len(rest) and rest.min() > 0 else 1.0)
+            out[i] = (float(r[best]), self.langs[best], float(rest.min()) if len(rest) else None)
         return out
 
 
+def _grid(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts by length, the longest first: their order, how many are left at each step, and their codes by step."""
+    sizes = np.array([len(p) for p in parts])
+    order = np.argsort(-sizes, kind="stable")
+    grid = np.zeros((sizes.max(), len(parts)), np.int32)
+    for k, i in enumerate(order):
+        grid[: sizes[i], k] = parts[i]
+    return order, np.searchsorted(-sizes[order], -np.arange(len(grid)), side="left"), grid
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, learn_chars: int = LEARN_CHARS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """A model of the labelled rows ``doc_id, text, lang``: the sample has a fixed largest size."""
+def learn(docs: DataFrame, learn_chars: int = LEARN_CHARS, at_once: int | None = None) -> Iterator[Model]:
+    """Models of the labelled rows ``doc_id, text, lang``, ``at_once`` languages each: of every language a sample of fixed largest size."""
     own = Window.partitionBy("lang").orderBy("h", "doc_id")
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text", seeded_hash(SEED, F.col("doc_id")).alias("h"))
-    few = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     ranked = labelled.select("lang", "doc_id", "h", F.substring("text", 1, learn_chars).alias("text")).withColumn("r", F.row_number().over(own)).filter(F.col("r") <= LEARN_ROWS)
-    kept = ranked.join(F.broadcast(few.select("lang")), "lang").withColumn("upto", F.sum(F.char_length("text")).over(own)).filter(F.col("upto") - F.char_length("text") < learn_chars)
+    kept = ranked.withColumn("upto", F.sum(F.char_length("text")).over(own)).filter(F.col("upto") - F.char_length("text") < learn_chars)
+    sample = materialize(kept.select("lang", "h", "doc_id", "text"))
     texts: dict[str, str] = {}
-    for r in kept.orderBy("lang", "h", "doc_id").select("lang", "text").collect():
+    for r in sample.orderBy("lang", "h", "doc_id").select("lang", "text").toLocalIterator():
+        if r["lang"] not in texts and len(texts) == (at_once or LANGUAGES_AT_ONCE):
+            yield Model(texts)
+            texts = {}
         texts[r["lang"]] = (texts.get(r["lang"], "") + "\n" + r["text"])[: learn_chars + 1]
-    return Model(texts)
+    yield Model(texts)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row."""
+def _nearest(model: Model, docs: DataFrame) -> Column:
+    """``rate, lang, next`` of ``text`` among the model's languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for lo in range(0, len(batch), 512):
-                found += shared.value.predict(list(batch["text"].iloc[lo : lo + 512]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for lo in range(0, len(texts), 512):
+            found += shared.value.nearest(list(texts.iloc[lo : lo + 512]))
+        return pd.DataFrame(found, columns=["rate", "lang", "next"])
+
+    return F.pandas_udf(run, "rate double, lang string, next double")(F.col("text"))
+
+
+def identify(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
+    """``doc_id, lang_pred, score`` for every row: the nearest language of all models."""
+    out = docs.select("doc_id", "text")
+    for turn, model in enumerate(models):
+        if turn:  # a task holds one model at a time
+            out = materialize(out)
+        found = _nearest(model, docs)
+        if turn:
+            out = out.withColumn("_found", found).withColumn("_near", F.struct(
+                F.least("_near.rate", "_found.rate").alias("rate"),
+                F.least(F.struct("_near.rate", "_near.lang"), F.struct("_found.rate", "_found.lang"))["lang"].alias("lang"),
+                F.least(F.greatest("_near.rate", "_found.rate"), "_near.next", "_found.next").alias("next"))).drop("_found")
+        else:
+            out = out.withColumn("_near", found)
+    score = F.when(F.col("_near.lang").isNull(), 0.0).when(F.col("_near.next") > 0, 1 - F.col("_near.rate") / F.col("_near.next")).otherwise(1.0)
+    return out.select("doc_id", F.coalesce("_near.lang", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
     """Learns from the rows that are not held out, predicts all: ``doc_id, held_out, lang_pred, score``."""
-    model = learn(docs.filter(~held_out(F.col("doc_id"))))
-    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    models = learn(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, models).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
