@@ -208,10 +208,17 @@ def held_out(doc_id):
 def learn(docs: DataFrame, learn_chars: int = LEARN_CHARS, at_once: int | None = None) -> Iterator[Model]:
     """Models of the labelled rows ``doc_id, text, lang``, ``at_once`` languages each: of every language a sample of fixed largest size."""
     own = Window.partitionBy("lang").orderBy("h", "doc_id")
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text", seeded_hash(SEED, F.col("doc_id")).alias("h"))
-    ranked = labelled.select("lang", "doc_id", "h", F.substring("text", 1, learn_chars).alias("text")).withColumn("r", F.row_number().over(own)).filter(F.col("r") <= LEARN_ROWS)
-    kept = ranked.withColumn("upto", F.sum(F.char_length("text")).over(own)).filter(F.col("upto") - F.char_length("text") < learn_chars)
-    sample = materialize(kept.select("lang", "h", "doc_id", "text"))
+
+    def first(rows: DataFrame, size: Column) -> DataFrame:
+        """The first rows of each language, up to the one that completes the sample."""
+        ranked = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= LEARN_ROWS)
+        return ranked.withColumn("upto", F.sum(size).over(own)).filter(F.col("upto") - size < learn_chars)
+
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.substring("text", 1, learn_chars).alias("text"), seeded_hash(SEED, F.col("doc_id")).alias("h"))
+    # Where each sample ends is found on rows without texts, so that texts beyond it are never shuffled.
+    ends = first(labelled.select("lang", "doc_id", "h", F.char_length("text").alias("n")), F.col("n")).groupBy("lang").agg(F.max(F.struct("h", "doc_id")).alias("_end"))
+    wanted = labelled.join(materialize(ends), "lang").filter(F.struct("h", "doc_id") <= F.col("_end"))
+    sample = materialize(first(wanted, F.char_length("text")).select("lang", "h", "doc_id", "text"))
     texts: dict[str, str] = {}
     for r in sample.orderBy("lang", "h", "doc_id").select("lang", "text").toLocalIterator():
         if r["lang"] not in texts and len(texts) == (at_once or LANGUAGES_AT_ONCE):
