@@ -119,6 +119,28 @@ def save_model(t):
     return nearest_centroid(points, WR.load_centroids(t.spark, out)).select("vec_id", "cluster_id")
 
 
+@query("load_older_model", "WITH" + CENTROIDS + "SELECT vec_id, arg_min(cluster_id, d) AS cluster_id FROM dist GROUP BY 1")
+def load_older_model(t):
+    """Only the older model is stored, so that classification falls back to it."""
+    out = _folder(t)
+    points = t.embeddings.select("vec_id", "embedding")
+    WR.save_model(K.fit_kmeans(points, 5, starts=1), centroid_means(t.embeddings, "label"), out, "old")
+    return nearest_centroid(points, WR.load_centroids(t.spark, out)).select("vec_id", "cluster_id")
+
+
+@query("inventory_of_files", """
+WITH kept(folder, step, files) AS (
+  SELECT 'recordings', 'download', count(*) FROM supplier UNION ALL SELECT 'parsed', 'parse', count(*) FROM nation UNION ALL SELECT 'descriptions', 'describe', count(*) FROM region
+  UNION ALL SELECT 'embeddings', 'embed', 0 UNION ALL SELECT 'clusters', 'cluster', 0 UNION ALL SELECT 'training', 'training', 0 UNION ALL SELECT 'models', 'finetune', 0 UNION ALL SELECT 'reports', 'agents', 0)
+SELECT folder, step, files, files > 0 AS done FROM kept""")
+def inventory_of_files(t):
+    """One file for each row, as stored sessions are, written into some of the expected folders and counted there."""
+    out = _folder(t)
+    for folder, rows in {"recordings": t.supplier, "parsed": t.nation, "descriptions": t.region}.items():
+        rows.select(rows.columns[0]).write.option("maxRecordsPerFile", 1).json(f"{out}/{folder}")
+    return RD.inventory(t.spark, out)
+
+
 @query("parse_recordings", "WITH " + B.SNAPSHOTS_SQL + QS.RUNS + """,
 steps AS (
   SELECT session_id, CASE WHEN kind = 'INPUT' THEN CASE WHEN k % 5 = 0 THEN k ELSE 2 * k END END AS text_length, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS step
