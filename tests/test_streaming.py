@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import online as O
+from wayfold.plans.q_streaming import StreamTables, stream_classify
+from wayfold.plans.registry import Tables
 from wayfold.streaming import jobs as J
 
 SCHEMA = "session_id STRING, cluster_id BIGINT, processed_at TIMESTAMP"
@@ -201,3 +203,15 @@ def test_retrain_admission(spark):
     assert sorted(r.status for r in O.admit_retrain(requests, history).collect()) == ["no_data", "started"]
     running = spark.createDataFrame([("j", "fine_tuning")], "job_id STRING, status STRING")
     assert {r.status for r in O.admit_retrain(requests, running).collect()} == {"already_running"}
+
+
+def test_streams_of_tables_that_are_one_file_or_folders_of_files(spark, tmp_path):
+    vectors = [(i, i % 5, [float(i % 5), 1.0]) for i in range(1, 41)]
+    spark.createDataFrame(vectors, "vec_id LONG, label LONG, embedding ARRAY<FLOAT>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"r{i}") for i in range(5)], "r_regionkey LONG, r_name STRING").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "region.parquet")
+    rows = {r.session_id: (r.status, r.stage, r.cluster_id, r.cluster_label) for r in stream_classify(Tables(spark, str(tmp_path))).collect()}
+    assert len(rows) == 40
+    assert rows[3] == ("completed", "classify", 3, "r3") and rows[33] == ("failed", "embed", None, None) and rows[6] == ("failed", "parse", None, None)
+    drain(StreamTables(spark, str(tmp_path)).region.writeStream.format("parquet").option("path", str(tmp_path / "copy")), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 5

@@ -17,11 +17,12 @@ from wayfold.streaming import jobs as J
 
 
 class StreamTables(Tables):
-    """The same tables read as streams of landed files."""
+    """The same tables read as streams of landed files: a table is one file, or a folder of them."""
 
     def __getattr__(self, name):
         schema = Tables(self.spark, self.folder).__getattr__(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        # A pattern, since a stream takes only a folder by its plain name.
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
 
 
 def _folder(t) -> str:
