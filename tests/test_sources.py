@@ -119,3 +119,17 @@ def test_answers_and_targets(spark):
     assert [tuple(r) for r in targets.select(TX.parse_scroll_target(F.col("t")), TX.parse_explore_scroll(F.col("t"))).collect()] == [(300, 300), (-2000, -400), (300, -400), (-12, -12)]
     fields = spark.createDataFrame([('"Title" : a: b',), ("plain",)], "t STRING")
     assert [tuple(r[0]) for r in fields.select(TX.split_type_target(F.col("t"))).collect()] == [("Title", "a: b"), ("plain", None)]
+
+
+def test_files_of_one_row_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from wayfold.plans import q_sinks
+    from wayfold.plans.registry import Tables
+
+    for name, n in (("supplier", 1_001), ("nation", 7), ("region", 3)):
+        spark.range(n).select("id").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(q_sinks, "_folder", lambda t: str(tmp_path / "out"))
+    found = {r.folder: (r.files, r.done) for r in q_sinks.inventory_of_files(Tables(spark, str(tmp_path))).collect()}
+    assert found["recordings"] == (1_001, True) and found["parsed"] == (7, True) and found["descriptions"] == (3, True) and found["models"] == (0, False)
+    files = list((tmp_path / "out" / "recordings").glob("part-*.json"))
+    assert sorted(json.loads(f.read_text())["id"] for f in files) == list(range(1_001))
+    assert len({f.name.split("-")[1] for f in files}) == 5

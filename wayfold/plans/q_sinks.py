@@ -23,10 +23,19 @@ from wayfold.sources import readers as RD
 from wayfold.sources import writers as WR
 
 
+#: Files that one task writes where every row is a file.
+FILES_A_TASK = 250
+
+
 def _folder(t) -> str:
     return f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
 
 
+def _one_file_each(rows, path: str) -> None:
+    """A file for each row, by as many tasks as the rows need, however few files the table is in."""
+    rows.repartition(rows.count() // FILES_A_TASK + 1).write.option("maxRecordsPerFile", 1).json(path)
+
+
 @query("read_recordings", "WITH " + B.SNAPSHOTS_SQL + """
 SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS snapshots, count(DISTINCT event_id // 1000) AS parts, sum(ts_ms)::BIGINT AS ms_sum, count(*) FILTER (WHERE kind = 'BAD') AS unreadable FROM snap GROUP BY 1""")
 def read_recordings(t):
@@ -137,7 +146,7 @@ def inventory_of_files(t):
     """One file for each row, as stored sessions are, written into some of the expected folders and counted there."""
     out = _folder(t)
     for folder, rows in {"recordings": t.supplier, "parsed": t.nation, "descriptions": t.region}.items():
-        rows.select(rows.columns[0]).write.option("maxRecordsPerFile", 1).json(f"{out}/{folder}")
+        _one_file_each(rows.select(rows.columns[0]), f"{out}/{folder}")
     return RD.inventory(t.spark, out)
 
 
