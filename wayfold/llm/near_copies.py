@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from wayfold.llm import simhash_trie as trie
 from wayfold.llm.common import fresh
-from wayfold.llm.graph import components
+from wayfold.llm.graph import Rooted
 from wayfold.llm.shingles import STEP, alike, mixed, set_digest, shingle_set, text_key
 from wayfold.session import materialize
 
@@ -182,11 +182,6 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
 
 
-def _rooted(cells: DataFrame, links: DataFrame) -> DataFrame:
-    near = materialize(components(links)).withColumnRenamed("node", "id")
-    return cells.join(near, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
 def near_copies(docs: DataFrame, percent: int = PERCENT, run_limit: int = trie.RUN_LIMIT) -> DataFrame:
     """``doc_id, text_key, root``: rows that a chain of near copies connects have one ``root``."""
     rows = materialize(_sketched(docs))
@@ -196,24 +191,24 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, run_limit: int = trie.R
     shared = cells.groupBy("t", "fp").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     shared = materialize(cells.join(shared, ["t", "fp"]))
     met = materialize(shared.groupBy("id").agg(F.sum("many").alias("met")))
-    apart, asked, links = shared.join(met, "id").drop("many").withColumn("root", F.col("id")), None, None
+    apart, asked, roots = shared.join(met, "id").drop("many").withColumn("root", F.col("id")), None, Rooted()
     for _ in range(STARS):
         pairs, apart = _starred(apart)
         pairs = pairs if asked is None else materialize(pairs.join(asked, ["a", "b"], "left_anti"))
-        found = alike(pairs, nodes, docs, WIDTH, percent)
-        asked, links = (pairs, found) if asked is None else (asked.unionByName(pairs), links.unionByName(found))
-        apart = _rooted(apart, links)
+        roots.add(alike(pairs, nodes, docs, WIDTH, percent))
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        apart = roots.name(apart)
     known = nodes.join(met, "id", "left").withColumn("met", F.coalesce("met", F.lit(0)))
     for search in (_asked, _apart):
         if search is _apart:  # who has no candidate at all has none here
             some = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             known = known.join(some, "id", "left_semi")
-        rooted = materialize(_rooted(known.select("id", "met", "prints"), links))
+        rooted = materialize(roots.name(known.select("id", "met", "prints")))
         more = search(_cells(rooted).join(rooted.select("id", "met", "root", F.col("prints").alias("bits")), "id"), run_limit).join(asked, ["a", "b"], "left_anti")
         more = materialize(more)
-        links = links.unionByName(alike(more, nodes, docs, WIDTH, percent))
+        roots.add(alike(more, nodes, docs, WIDTH, percent))
         asked = asked.unionByName(more)
-    ids = _rooted(nodes.select("node", "id"), links).select("node", "root")
+    ids = roots.name(nodes.select("node", "id")).select("node", "root")
     return rows.select("doc_id", "text_key", "node").join(ids, "node").select("doc_id", "text_key", "root")
 
 
