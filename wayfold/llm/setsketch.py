@@ -9,10 +9,11 @@ parts (mergeable), and two sets agree in a register about as often as their simi
    other in all bands with probability 3e-6.
 3. Star rounds: each list links its members to the one that meets the most others in all lists, then those still apart
    to the next such one.  Copies of one original are joined to it so, without a pair of every two of them.
-4. Then lists that still hold different components give all their pairs across components: small lists by a join, larger
-   ones in tiles of ``TILE`` nodes, so that no list is in one task.
+4. Then lists that still hold different components have all their pairs across components asked: small lists by a join,
+   larger ones in tiles of ``TILE`` nodes, so that no list is in one task and no pair of a large list is a row.
 5. A pair is judged by the joint likelihood of its registers and set sizes, and is dropped only where similarity 0.8 is
-   less likely than the best one by a factor of ``exp(SLACK)``; what remains is counted on the full sets.
+   less likely than the best one by a factor of ``exp(SLACK)``; what remains is counted on the full sets, in large lists
+   within the tile.
 
 Only components are wanted, so pairs within one component are not asked again; every other pair of step 2 is.
 
@@ -30,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.graph import components
-from wayfold.llm.shingles import STEP, alike, mixed, set_digest, shingle_set, text_key
+from wayfold.llm.graph import Rooted
+from wayfold.llm.shingles import STEP, alike, mixed, set_digest, shingle_set, shingled, text_key
 from wayfold.session import materialize
 
 SHINGLE = 2
@@ -45,8 +46,8 @@ BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
 SLACK = 9.0
 #: Star rounds before all remaining pairs are asked: they decide on speed, not on results.
 STARS = 3
-#: Nodes of a list whose pairs one task looks at; lists up to ``SHORT`` are joined.
-TILE, SHORT = 1024, 32
+#: Nodes of a list whose pairs one task looks at, and their shingles; lists up to ``SHORT`` are joined.
+TILE, ELEMENTS, SHORT = 1024, 1 << 20, 8
 
 _SALTS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * STEP)
 _ODD = _SALTS | np.uint64(1)
@@ -123,7 +124,7 @@ def _rows_of(column: pa.Array) -> np.ndarray:
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """``key, id``: one row for each band of each node."""
+    """``key, band, id``: one row for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +133,10 @@ def banded(nodes: DataFrame) -> DataFrame:
             for i in range(ROWS):
                 key = mixed(key * STEP + cells[:, :, i])
             ids = np.repeat(batch.column("id").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(ids)], names=["key", "band", "id"])
 
-    return nodes.select("id", "regs").mapInArrow(run, "key long, id long")
+    return nodes.select("id", "regs").mapInArrow(run, "key long, band int, id long")
 
 
 def _judged(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -152,50 +154,104 @@ def _judged(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of different components that share a list (``key, id, many, root``)."""
+def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b``: links that join the different components that share a list (``key, id, many, root``)."""
     few, other = held.filter(F.col("many") <= SHORT), held.select("key", F.col("id").alias("id_"), F.col("root").alias("root_"))
-    short = few.join(other, "key").filter("id < id_ AND root <> root_").select(F.col("id").alias("a"), F.col("id_").alias("b"))
-    tiles = F.ceil(F.col("many") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    long = held.filter(F.col("many") > SHORT).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    short = few.join(other, "key").filter("id < id_ AND root <> root_").select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
+    near = alike(_judged(short, nodes, percent), nodes, docs, width, percent)
+    return near.unionByName(_linked(materialize(_met(held.filter(F.col("many") > SHORT), nodes, percent)), nodes, docs, width, percent))
+
+
+def _met(held: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``key, s, t, id, root, own, asks``: members of each tile of the long lists with a likely pair there.
+
+    Every such pair has a member that ``asks``: all do but those of the tile's largest component.  A pair counts in the
+    first band in which it agrees only.
+    """
+    sized = held.join(nodes.select("id", "n", "regs"), "id")
+    weight = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / ELEMENTS)).cast("int").alias("tiles"))
+    long = sized.join(weight, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keys = [F.col("key"), F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t")]
-    spread = long.join(nodes.select("id", "n", "regs"), "id").select(*keys, "own", "id", "root", "n", "regs")
-    spread = spread.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "own", "id")
+    spread = long.select(*keys, "id", "root", "own", "band", "n", "regs").repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held_back = None, []
-        for batch in batches:
-            tile = np.stack([batch.column(c).to_numpy() for c in "key s t".split()], 1)
-            cuts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1)]) if len(tile) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(tile)]):
-                if tuple(tile[lo]) != now:
-                    yield from pairs_of(held_back)
-                    now, held_back = tuple(tile[lo]), []
-                held_back.append(batch.slice(lo, hi - lo))
-        yield from pairs_of(held_back)
-
-    def pairs_of(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not pieces:
-            return
-        rows = pa.Table.from_batches(pieces).combine_chunks()
-        own, ids, root, n = (rows[c].to_numpy() for c in ("own", "id", "root", "n"))
-        regs, within = _rows_of(rows["regs"]), rows["s"][0] == rows["t"][0]
-        for i in range(len(ids)):
-            at = np.flatnonzero((root != root[i]) & ((ids > ids[i]) if within else (own > own[i])))
-            at = at[np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * PERCENT]
-            if len(at):
-                at = at[likely(np.broadcast_to(regs[i], (len(at), REGISTERS)), regs[at], np.broadcast_to(n[i], len(at)), n[at])]
-                a, b = np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return short.unionByName(spread.mapInArrow(run, "a long, b long")).distinct()
-
-
-def _roots(held: DataFrame, links: DataFrame) -> DataFrame:
-    """``held`` with the component that ``links`` give each node."""
-    near = materialize(components(links)).withColumnRenamed("node", "id")
-    return held.join(near, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        for rows in _tiles(batches):
+            own, root, n = (rows[c].to_numpy() for c in ("own", "root", "n"))
+            regs, within, band = _rows_of(rows["regs"]), rows["s"][0] == rows["t"][0], rows["band"][0].as_py()
+            bands, outside = regs.reshape(-1, BANDS, ROWS), np.flatnonzero(root != _largest(root))
+            asks, met = np.zeros(len(own), bool), np.zeros(len(own), bool)
+            for i in outside:
+                at = np.flatnonzero((root != root[i]) & (within | (own != own[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
+                at = at[(bands[at] == bands[i]).all(2).argmax(1) == band]
+                at = at[likely(np.broadcast_to(regs[i], (len(at), REGISTERS)), regs[at], np.broadcast_to(n[i], len(at)), n[at], percent)] if len(at) else at
+                asks[i], met[at] = len(at) > 0, True
+            some = rows.select(["key", "s", "t", "id", "root", "own"]).append_column("asks", pa.array(asks)).filter(pa.array(asks | met))
+            yield from some.combine_chunks().to_batches()
+
+    return spread.mapInArrow(run, "key long, s int, t int, id long, root long, own int, asks boolean")
+
+
+def _linked(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b``: a spanning forest of the links between components in each tile, counted on the full sets there.
+
+    Who asks is counted against all others of its tile at once, so that a pair is never a row.
+    """
+    sets = members.join(shingled(members.select("id").distinct(), nodes, docs, width).withColumnRenamed("s", "s_"), "id")
+    spread = sets.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches):
+            ids, root, own = (rows[c].to_numpy() for c in ("id", "root", "own"))
+            within, lists = rows["s"][0] == rows["t"][0], rows["s_"].combine_chunks()
+            ends, n = np.cumsum(lists.value_lengths().to_numpy()), lists.value_lengths().to_numpy().astype(np.int64)
+            _, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            holders = np.repeat(np.arange(len(ids)), n)[np.argsort(codes, kind="stable")]
+            many = np.bincount(codes)
+            first = np.cumsum(many) - many
+            known: dict[int, int] = {}
+            out = []
+            for i in np.flatnonzero(rows["asks"].to_numpy()):
+                mine = codes[ends[i] - n[i] : ends[i]]
+                before = np.cumsum(many[mine]) - many[mine]
+                who = holders[np.repeat(first[mine] - before, many[mine]) + np.arange(many[mine].sum())]
+                same = np.bincount(who, minlength=len(ids))
+                for j in np.flatnonzero((100 * same >= percent * (n + n[i] - same)) & (root != root[i]) & (within | (own != own[i]))):
+                    x, y = _found(known, int(root[i])), _found(known, int(root[j]))
+                    if x != y:
+                        known[max(x, y)] = min(x, y)
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return materialize(spread.mapInArrow(run, "a long, b long"))
+
+
+def _largest(root: np.ndarray) -> int:
+    values, many = np.unique(root, return_counts=True)
+    return values[many.argmax()]
+
+
+def _found(known: dict[int, int], x: int) -> int:
+    while x in known:
+        x = known[x]
+    return x
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile (``key, s, t``), of rows in that order."""
+    now, held_back = None, []
+    for batch in batches:
+        tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "s", "t")], 1)
+        cuts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1)]) if len(tile) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(tile)]):
+            if tuple(tile[lo]) != now:
+                if held_back:
+                    yield pa.Table.from_batches(held_back).combine_chunks()
+                now, held_back = tuple(tile[lo]), []
+            held_back.append(batch.slice(lo, hi - lo))
+    if held_back:
+        yield pa.Table.from_batches(held_back).combine_chunks()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -208,21 +264,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     # who meets the most others is the likely original of a group of copies
     met = materialize(held.groupBy("id").agg(F.sum("many").alias("met")))
     ranked = materialize(held.join(met, "id").select("key", "id", F.struct("met", "id").alias("place")))
-    now, links = ranked.withColumn("root", F.col("id")), None
+    now, roots = ranked.withColumn("root", F.col("id")), Rooted()
     for _ in range(STARS):
         hubs = now.groupBy("key").agg(F.max(F.struct("place", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         star = now.join(hubs.select("key", F.col("hub.place.id").alias("hub"), F.col("hub.root").alias("hub_root")), "key").filter("root <> hub_root")
         pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = alike(_judged(pairs, nodes, percent), nodes, docs, width, percent)
-        links = found if links is None else links.unionByName(found)
+        roots.add(alike(_judged(pairs, nodes, percent), nodes, docs, width, percent))
         # next time another one is asked by those that are still apart from it
         apart = star.select("key", "id", "place")
-        now = materialize(_roots(apart, links))
-    now = materialize(_roots(held.select("key", "id", "many"), links))
+        now = materialize(roots.name(apart))
+    now = materialize(roots.name(held.select("key", "band", "id", "many")))
     open_lists = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = _judged(_across(now.join(open_lists, "key", "left_semi"), nodes), nodes, percent)
-    links = links.unionByName(alike(rest, nodes, docs, width, percent))
-    named = _roots(nodes.select("id", "node", "least"), links)
+    roots.add(_across(now.join(open_lists, "key", "left_semi"), nodes, docs, width, percent))
+    named = roots.name(nodes.select("id", "node", "least"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialize(named.join(least, "root").select("node", "component_id"))
     return _attached(rows, ids)

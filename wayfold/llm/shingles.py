@@ -50,13 +50,11 @@ def text_key(text: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))))
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose full sets share at least ``percent`` per cent of their union.
+def shingled(asked: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, s``: the full sets of the nodes ``asked`` (``id``, no repeats).
 
-    ``nodes`` has ``id`` and the ``text_key`` of one of its rows in ``docs``.  Only texts that a pair asks for are moved.
+    ``nodes`` has ``id`` and the ``text_key`` of one of its rows in ``docs``.  Only texts that are asked for are moved.
     """
-    pairs = materialize(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = nodes.join(asked, "id").select("id", "text_key")
     texts = docs.select(text_key(F.col("text"), F.col("doc_id")).alias("text_key"), "text").join(wanted, "text_key").select("id", "text")
 
@@ -68,11 +66,21 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perce
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), lists], names=["id", "s"])
 
+    return materialize(texts.mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose full sets share at least ``percent`` per cent of their union."""
+    pairs = materialize(pairs)
+    if pairs.isEmpty():
+        return pairs
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.select(["a", "b"]).filter(pa.array([shared(s.values.to_numpy(), t.values.to_numpy(), percent) for s, t in zip(batch.column("s"), batch.column("t"))], pa.bool_()))
 
-    found = materialize(texts.mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]))
+    found = shingled(asked, nodes, docs, width)
     both = pairs.join(found.select(F.col("id").alias("a"), "s"), "a").join(found.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     return materialize(both.select("a", "b", "s", "t").mapInArrow(count, "a long, b long"))
 
