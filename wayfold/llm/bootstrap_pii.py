@@ -19,11 +19,11 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import fresh
+from wayfold.llm.common import TOGETHER, fresh, record_batches
 from wayfold.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -139,13 +139,17 @@ def _looks_private(token: str) -> bool:
 _FOUND = "text_key string, kind string, start int, stop int, before string, after string, token string"
 
 
-def _instances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in _FOUND.split(", ")]
-    for batch in batches:
-        rows = []
-        for key, text in zip(batch["text_key"], batch["text"]):
-            rows += [(key, k, a, b, before, after, text[a:b]) for k, a, b, before, after in instances(text)]
-        yield pd.DataFrame(rows, columns=names)
+_FOUND_ARROW = pa.schema([(n, pa.int32() if kind == "int" else pa.string()) for n, kind in map(str.split, _FOUND.split(", "))])
+
+
+def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for key, text in zip(batch.column("text_key"), batch.column("text")):
+                key, text = key.as_py(), text.as_py()
+                yield from ((key, k, a, b, before, after, text[a:b]) for k, a, b, before, after in instances(text))
+
+    return record_batches(rows(), _FOUND_ARROW)
 
 
 def _text_key() -> Column:
@@ -155,7 +159,7 @@ def _text_key() -> Column:
 
 def find_instances(docs: DataFrame) -> DataFrame:
     """Instances of every different text, base spans among them: ``text_key, kind, start, stop, before, after, token``."""
-    return materialize(docs.filter("text IS NOT NULL").select(_text_key().alias("text_key"), "text").mapInPandas(_instances, _FOUND).distinct())
+    return materialize(docs.filter("text IS NOT NULL").select(_text_key().alias("text_key"), "text").mapInArrow(_instances, _FOUND).distinct())
 
 
 def learn_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -207,18 +211,20 @@ def _joined(spans: list) -> str:
 DESCRIBED = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def _described(texts: pd.Series, added: pd.Series) -> pd.DataFrame:
+def _described(texts: pa.Array, added: pa.Array) -> pa.Array:
     rows = []
     for t, more in zip(texts, added):
-        base, every = _every(t or "", more)
+        base, every = _every(t.as_py() or "", more.as_py())
         rows.append((*[sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+    fields = [c.split() for c in DESCRIBED.split(", ")]
+    cells = zip(*rows) if rows else [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64() if kind == "long" else pa.string()) for c, (_, kind) in zip(cells, fields)], names=[n for n, _ in fields])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, base counts and digest, and all spans of every row."""
     rows = docs.select("doc_id", "text", _text_key().alias("text_key")).join(spans_by_text(docs), "text_key", "left")
-    return rows.select("doc_id", F.pandas_udf(_described, DESCRIBED)("text", "more").alias("s")).select("doc_id", "s.*")
+    return rows.select("doc_id", F.arrow_udf(_described, DESCRIBED)("text", "more").alias("s")).select("doc_id", "s.*")
 
 
 def redacted(text: str | None, more=None) -> str | None:
@@ -234,8 +240,10 @@ def redacted(text: str | None, more=None) -> str | None:
     return "".join(out) + text[at:] if spans else text
 
 
-def _redacted(texts: pd.Series, added: pd.Series) -> pd.Series:
-    return pd.Series([redacted(t, more) for t, more in zip(texts, added)], dtype=object)
+def _redacted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, added in batches:
+        for lo in range(0, len(texts), TOGETHER):
+            yield pa.array([redacted(t.as_py(), more.as_py()) for t, more in zip(texts.slice(lo, TOGETHER), added.slice(lo, TOGETHER))], pa.string())
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -243,7 +251,7 @@ def redact(docs: DataFrame) -> DataFrame:
     key, more = fresh("text_key", docs.columns), fresh("more", docs.columns)
     hits = spans_by_text(docs).select(F.col("text_key").alias(key), F.col("more").alias(more))
     rows = docs.withColumn(key, _text_key()).join(hits, key, "left")
-    cells = {"text": F.pandas_udf(_redacted, "string")(F.col("text"), F.col(more))}
+    cells = {"text": F.arrow_udf(_redacted, "string")(F.col("text"), F.col(more))}
     if "n_chars" in docs.columns:
         cells["n_chars"] = F.when(cells["text"].eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length(cells["text"]).cast("long"))
     return rows.withColumns(cells).select(docs.columns)

@@ -1,15 +1,19 @@
-"""What the operators of this folder share: words, null-safe text, unused column names, seeded hashes."""
+"""What the operators of this folder share: words, null-safe text, unused column names, seeded hashes, Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of code points that are none of these six.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
+#: Rows that are Python objects at once: ten thousand texts, or what is found in them, fill a worker, which keeps that memory.
+TOGETHER = 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -17,6 +21,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def record_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows in Arrow batches of at most ``TOGETHER``; no row is asked for before its batch is."""
+    rows = iter(rows)
+    while some := list(islice(rows, TOGETHER)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import record_batches
 from wayfold.session import materialize
 
 LENGTH = 2048
@@ -85,16 +87,20 @@ def first_fit_decreasing(lengths: list[int], room: int = LENGTH) -> list[int]:
     return bins
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, length: int) -> Iterator[pd.DataFrame]:
+_PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens")])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
-    for batch in batches:
-        out = []
-        for doc, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
-            ids = np.array([*encode(text), END_ID], dtype="<u4")
-            out += [(doc, row, s, min(length, len(ids) - s), zlib.crc32(ids[s : s + length].tobytes()), len(ids)) for s in range(0, len(ids), length)]
-        frame = pd.DataFrame(out, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc, row, text in zip(batch.column("doc_id"), batch.column("row"), batch.column("text")):
+                doc, row = doc.as_py(), row.as_py()
+                ids = np.array([*encode(text.as_py()), END_ID], dtype="<u4")
+                yield from ((doc, row, s, min(length, len(ids) - s), zlib.crc32(ids[s : s + length].tobytes()), len(ids)) for s in range(0, len(ids), length))
+
+    return record_batches(rows(), _PIECES)
 
 
 def _pack_group(group: pd.DataFrame, room: int) -> pd.DataFrame:
@@ -115,7 +121,7 @@ def pack(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS, pa
     path = path or tokenizer_path()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     schema = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialize(rows.mapInPandas(lambda it: _pieces(it, path, length), schema))
+    pieces = materialize(rows.mapInArrow(lambda it: _pieces(it, path, length), schema))
     full = pieces.filter(F.col("length") == length).withColumn("at", F.monotonically_increasing_id())
     alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < length)

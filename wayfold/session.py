@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+MOST_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -39,6 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks of this session get Arrow batches of ``BATCH_BYTES`` at most, unless it asks for smaller ones.
+
+    Spark fills a batch with 10,000 rows, which are tens of MB of texts: the executor's native memory and each Python
+    worker hold some of them at once, and keep the room.  Rows and results are the same.
+    """
+    number, unit = re.fullmatch(r"(-?[0-9]+)\s*([kmgtp]?)i?b?", spark.conf.get(MOST_BYTES).strip().lower()).groups()
+    bound = int(number) << (10 * " kmgtp".index(unit or " "))
+    if not 0 < bound <= BATCH_BYTES:
+        spark.conf.set(MOST_BYTES, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a stage table into the shared folder and continue from it.
 
