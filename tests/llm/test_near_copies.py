@@ -125,3 +125,38 @@ def test_a_close_pair_is_given_by_one_block_only():
         met = ((left[:, t] ^ right[:, t]) << np.uint64(at)) >> np.uint64(64 - width) == 0
         assert (met & (np.bitwise_count(left[:, t] ^ right[:, t]) <= N.BUDGET))[N._first_met(left, right, b)].all()
     assert not N._first_met(left, left[::-1].copy(), 0).any()
+
+
+def test_buckets_never_leave_out_a_near_copy():
+    rng = np.random.default_rng(3)
+    kept = []
+    for n in (0, 1, 40, 150, 900, 200_000):  # of the last, most buckets say 255
+        pool = rng.integers(0, 2**64, n + n // 2, dtype=np.uint64)
+        for part in (0, 0.05, 0.1, 0.12, 0.2, 0.4):
+            left, right = np.unique(pool[:n]), np.unique(pool[int(part * n) : int(part * n) + n])
+            rows = [np.array([x]) for x in (N.buckets(left), N.buckets(right), len(left), len(right))]
+            possible, near = N.can_share(*rows, 80)[0], len(left) + len(right) == 0 or shared(set(left.tolist()), set(right.tolist())) >= 0.8
+            assert possible or not near
+            kept.append(possible and not near)
+    assert kept[2 * 6 + 5] is kept[3 * 6 + 5] is kept[3 * 6 + 4] is np.False_
+
+
+def test_a_crowd_below_the_similarity_is_not_asked_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+
+    def spaced(edits):
+        words, at = list(base), 10 + rng.integers(0, 20) + 30 * np.arange(edits)
+        for i in at:
+            words[i] = f"changed{rng.integers(10**9)}"
+        return words
+
+    close, far = [spaced(1) for _ in range(360)], [spaced(4) for _ in range(240)]  # 0.94 and 0.76 like the base
+    again = [words[:140] + [f"again{i}"] + words[141:] for i, words in enumerate(far[:3])]
+    texts = [" ".join(words) for words in [base, *close, *far, *again]]
+    asked, alike = [], N.alike
+    monkeypatch.setattr(N, "alike", lambda pairs, *rest: asked.append(pairs.count()) or alike(pairs, *rest))
+    root = {r["doc_id"]: r["root"] for r in N.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert len({root[i] for i in range(361)}) == 1
+    assert all(root[361 + i] == root[601 + i] for i in range(3)) and len(set(root.values())) == 241
+    assert sum(asked[4:]) < 20 * len(texts), asked  # of 59,000 candidates

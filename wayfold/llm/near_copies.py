@@ -13,6 +13,11 @@ against the one that meets the most others, which is the likely original, so tha
 without a pair of every two.  The tries then ask what is still apart, first for a spanning forest of each run that
 prefers such nodes, then for every pair.
 
+In a crowd (many copies of one original that are less alike to each other than to it) every pair would be the square of
+its size.  Nodes of a crowd therefore carry how many hashes of their set fall into each of ``BUCKETS`` buckets: sets
+differ in at least as many hashes as these numbers do, so a pair for which that is too many is no near copy, and is not
+asked.  This leaves out no link; it decides on speed only.
+
 Defined results: wordless and null texts are copies of each other; repeated rows are copies; the row that stays is that
 of the least doc_id (nulls last), of equal ids the one with the least text digest; empty input, empty output.
 """
@@ -31,7 +36,7 @@ from pyspark.sql import types as T
 from wayfold.llm import simhash_trie as trie
 from wayfold.llm.common import fresh
 from wayfold.llm.graph import Rooted
-from wayfold.llm.shingles import STEP, alike, mixed, set_digest, shingle_set, text_key
+from wayfold.llm.shingles import STEP, alike, mixed, set_digest, shingle_set, shingled, text_key
 from wayfold.session import materialize
 
 WIDTH, PERCENT = 5, 80
@@ -40,8 +45,10 @@ PRINTS, PRINT_BITS, BUDGET = 24, 30, 1
 STARS = 3
 #: Differing bits of all fingerprints beyond which a pair is not counted: similarity 0.8 has more with probability 3e-5.
 MOST_BITS = 104
-#: Pairs that are compared at once.
-CELLS = 1 << 20
+#: Pairs that are compared at once; of those with buckets.
+CELLS, BUCKETED = 1 << 20, 4096
+#: Buckets (a power of two, a byte each) of the hashes of a set, for nodes that meet ``CROWD`` in all fingerprints.
+BUCKETS, CROWD = 512, 24
 #: Hashes of a round of the sketch that are looked at together.
 TOGETHER = 4096
 
@@ -91,6 +98,33 @@ def _cells(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "prints").mapInArrow(run, "t int, fp long, id long")
 
 
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each bucket by their highest bits, 255 at most."""
+    at = (hashes >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def _bucketed(crowd: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, buckets`` of the nodes of ``crowd`` (``id``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [buckets(s.values.to_numpy().view(np.uint64)).tobytes() for s in batch.column("s")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells, pa.binary())], names=["id", "buckets"])
+
+    return shingled(crowd.select("id"), nodes, docs, WIDTH).mapInArrow(run, "id long, buckets binary")
+
+
+def can_share(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets, by buckets (a row each) and sizes, can share ``percent`` per cent of their union.
+
+    Sets that differ in d hashes have buckets that differ by d in all at most, also where 255 is the most they say.
+    """
+    apart = (np.maximum(left, right) - np.minimum(left, right)).sum(1, dtype=np.int64)
+    same = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+    return 100 * same >= percent * (n + m - same)
+
+
 def _forest(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of each run that join what is apart in it; those of nodes that meet many come first."""
     turned, side, ids, roots, met = (frame[c].to_numpy() for c in ("turned", "side", "id", "root", "met"))
@@ -127,10 +161,21 @@ def _first_met(left: np.ndarray, right: np.ndarray, block: int) -> np.ndarray:
     return (bits.sum(1, dtype=np.int64) <= MOST_BITS) & (first * (BUDGET + 1) + own == block)
 
 
-def _every(frame: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of each run that are in different components and whose fingerprints together allow the similarity."""
-    turned, side, ids, roots, blocks = (frame[c].to_numpy() for c in ("turned", "side", "id", "root", "block"))
+def _every(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """All pairs of each run that are in different components and whose fingerprints and buckets allow the similarity."""
+    turned, side, ids, roots, blocks, n = (frame[c].to_numpy() for c in ("turned", "side", "id", "root", "block", "n"))
     bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
+    held = frame["buckets"].str.len().to_numpy() > 0
+    place, counts = np.cumsum(held) - 1, np.frombuffer(b"".join(frame["buckets"]), np.uint8).reshape(-1, BUCKETS)
+
+    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        both = np.flatnonzero(good & held[i] & held[j])
+        for lo in range(0, len(both), BUCKETED):
+            at = both[lo : lo + BUCKETED]
+            good[at] = can_share(counts[place[i[at]]], counts[place[j[at]]], n[i[at]], n[j[at]], percent)
+        return good
+
     out = [np.zeros((0, 2), np.int64)]
     for lo, hi in trie.runs_of(frame):
         if (roots[lo:hi] == roots[lo]).all():
@@ -143,7 +188,9 @@ def _every(frame: pd.DataFrame) -> pd.DataFrame:
                 some = left[at : min(b, at + max(1, CELLS // (d - c)))]
                 i, j = np.nonzero((np.bitwise_count(turned[some, None] ^ turned[None, other]) <= BUDGET) & (roots[some, None] != roots[None, other]))
                 near = _first_met(bits[some[i]], bits[other[j]], int(blocks[lo]))
-                out.append(np.stack([ids[some[i[near]]], ids[other[j[near]]]], 1))
+                i, j = some[i[near]], other[j[near]]
+                asked = possible(i, j)
+                out.append(np.stack([ids[i[asked]], ids[j[asked]]], 1))
     pairs = np.concatenate(out)
     return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}).drop_duplicates() if len(pairs) else pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -173,9 +220,13 @@ def _starred(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _distinct(star.select(F.col("hub").alias("a"), F.col("id").alias("b"))), star.drop("hub")
 
 
-def _apart(cells: DataFrame, run_limit: int) -> DataFrame:
-    """``a, b``: every pair of different components within the budget of some fingerprint, from cells with ``bits``."""
-    return _distinct(_walked(cells.select("t", "fp", "id", "root", "bits"), ["id", "root", "bits"], _every, run_limit))
+def _apart(cells: DataFrame, run_limit: int, percent: int) -> DataFrame:
+    """``a, b``: every pair of different components within the budget of some fingerprint that can be near copies.
+
+    From cells with ``bits``, ``n`` and ``buckets`` (empty: not known).
+    """
+    extra = ["id", "root", "bits", "n", "buckets"]
+    return _distinct(_walked(cells.select("t", "fp", *extra), extra, lambda frame: _every(frame, percent), run_limit))
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -199,15 +250,16 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, run_limit: int = trie.R
         asked = pairs if asked is None else asked.unionByName(pairs)
         apart = roots.name(apart)
     known = nodes.join(met, "id", "left").withColumn("met", F.coalesce("met", F.lit(0)))
-    for search in (_asked, _apart):
-        if search is _apart:  # who has no candidate at all has none here
-            some = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            known = known.join(some, "id", "left_semi")
-        rooted = materialize(roots.name(known.select("id", "met", "prints")))
-        more = search(_cells(rooted).join(rooted.select("id", "met", "root", F.col("prints").alias("bits")), "id"), run_limit).join(asked, ["a", "b"], "left_anti")
-        more = materialize(more)
-        roots.add(alike(more, nodes, docs, WIDTH, percent))
-        asked = asked.unionByName(more)
+    rooted = materialize(roots.name(known.select("id", "met", "prints")))
+    more = materialize(_asked(_cells(rooted).join(rooted.select("id", "met", "root"), "id"), run_limit).join(asked, ["a", "b"], "left_anti"))
+    roots.add(alike(more, nodes, docs, WIDTH, percent))
+    asked = asked.unionByName(more)
+    some = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # who has no candidate at all has none below
+    rooted = materialize(roots.name(known.join(some, "id", "left_semi").select("id", "met", "n", "prints")))
+    wide = rooted.join(_bucketed(rooted.filter(F.col("met") >= CROWD), nodes, docs), "id", "left")
+    wide = materialize(wide.select("id", "root", "n", F.col("prints").alias("bits"), F.coalesce("buckets", F.lit(b"")).alias("buckets")))
+    more = _apart(_cells(rooted).join(wide, "id"), run_limit, percent).join(asked, ["a", "b"], "left_anti")
+    roots.add(alike(more, nodes, docs, WIDTH, percent))
     ids = roots.name(nodes.select("node", "id")).select("node", "root")
     return rows.select("doc_id", "text_key", "node").join(ids, "node").select("doc_id", "text_key", "root")
 
